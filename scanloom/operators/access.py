@@ -65,7 +65,7 @@ def has_access(catalog: Catalog, requests: DataFrame, level_name: str, needed: C
     supers = superusers(catalog).select(F.col("id").alias("user_id"), F.lit(True).alias("_super")).distinct()
     return (placed.join(best, ["user_id", "experiment_id"], "left").join(supers, "user_id", "left")
             .withColumn("allowed", F.coalesce(F.col("_super"), F.lit(False)) | F.coalesce(F.col("_has") >= needed, F.lit(False)))
-            .drop("_has", "_super", "experiment_id"))
+            .drop("_has", "_super", *([] if level_name == "experiment" else ["experiment_id"])))
 
 
 def dataset_threshold(kind: str | Column = "kind") -> Column:
@@ -127,8 +127,8 @@ def users_with_access(catalog: Catalog, experiment_id: int, user_id: int) -> Dat
     grants = catalog.access.where(F.col("experiment_id") == experiment_id)
     manages = (grants.where((F.col("user_id") == user_id) & (F.col("privilege") == MANAGE)).select("user_id")
                .unionAll(superusers(catalog).where(F.col("id") == user_id).select(F.col("id").alias("user_id"))))
-    flag = F.broadcast(manages.agg((F.count(F.lit(1)) > 0).alias("_all")))  # exactly one row
-    seen = grants.join(flag, F.col("_all") | (F.col("user_id") == user_id), "left_semi")
+    everyone = manages.agg(F.count(F.lit(1)) > 0).scalar()
+    seen = grants.where(everyone | (F.col("user_id") == user_id))
     return seen.join(catalog.user.select(F.col("id").alias("user_id"), "uid"), "user_id").select(
         "uid", privilege_name("privilege").alias("privilege"))
 

@@ -56,8 +56,8 @@ def by_exam(value: str, column: str = "session_exam") -> Column:
 
 def by_operator(users: DataFrame, uid: str, sessions: DataFrame, column: str = "session_operator_id") -> DataFrame:
     """Sessions run by ``uid``; an unknown uid selects the sessions without an operator."""
-    found = users.where(F.col("uid") == _ascii(uid)).agg(F.max("id").alias("_operator"))  # exactly one row
-    return sessions.join(F.broadcast(found), F.col(column).eqNullSafe(F.col("_operator")), "left_semi")
+    operator = users.where(F.col("uid") == _ascii(uid)).agg(F.max("id")).scalar()
+    return sessions.where(F.col(column).eqNullSafe(operator))
 
 
 def date_from(value: str, column: str = "session_timestamp") -> Column:

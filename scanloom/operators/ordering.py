@@ -23,29 +23,34 @@ def _range_count(df: DataFrame) -> int:
 
 
 def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], amount: Column, name: str = "total",
-                  ranges: int | None = None) -> DataFrame:
-    """Add ``name``: the sum of ``amount`` over this row and all earlier ones of its group.
+                  ranges: int | None = None, how: str = "sum") -> DataFrame:
+    """Add ``name``: the sum (or ``how="max"``: the maximum) of ``amount`` over this and all earlier rows.
 
     ``order`` must be a total order inside each group. The range numbering is written out once, because
-    the sums per range and the rows themselves must agree on it even when a task is repeated.
+    the totals per range and the rows themselves must agree on it even when a task is repeated.
     """
     by, order = list(by), list(order)
     n = ranges or _range_count(df)
+    fold = F.sum if how == "sum" else F.max
     placed = (df.withColumn("_amount", amount).repartitionByRange(n, *by, *order)
               .withColumn("_range", F.spark_partition_id()))
     placed = cut_lineage(placed)
-    sums = placed.groupBy("_range", *by).agg(F.sum("_amount").alias("_sum"))
+    sums = placed.groupBy("_range", *by).agg(fold("_amount").alias("_sum"))
     before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)
-    carry = sums.select("_range", *by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
+    carry = sums.select("_range", *by, fold("_sum").over(before).alias("_carry"))
     if not by:
         carry = F.broadcast(carry)  # one row per range: at most ``n`` rows
     inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = placed.withColumn("_local", F.sum("_amount").over(inside))
-    return (local.join(carry, ["_range", *by])
-            .withColumn(name, F.col("_carry") + F.col("_local"))
-            .drop("_range", "_carry", "_local", "_amount"))
+    local = placed.withColumn("_local", fold("_amount").over(inside))
+    joined = (F.coalesce(F.col("_carry"), F.lit(0)) + F.col("_local") if how == "sum"
+              else F.greatest("_carry", "_local"))  # greatest skips NULLs
+    keys = F.lit(True)
+    for key in ["_range", *by]:
+        keys = keys & local[key].eqNullSafe(carry[key])
+    return (local.join(carry, keys).select(*[local[c] for c in local.columns], "_carry")
+            .withColumn(name, joined).drop("_range", "_carry", "_local", "_amount"))
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "row_number",
@@ -85,6 +90,14 @@ def near(df: DataFrame, by: Sequence[str], index: str, before: int, after: int,
     return spread.where("_block = _own").drop("_block", "_own")
 
 
+def chunked_lists(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str = "items",
+                  chunk: int = 10_000) -> DataFrame:
+    """Ordered values per group as lists of at most ``chunk`` items; ``part`` 0, 1, … numbers a group's lists."""
+    numbered = row_numbers(df, by, order, "_n").withColumn("part", F.floor((F.col("_n") - 1) / chunk))
+    packed = numbered.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("_n", value))).alias("_items"))
+    return packed.withColumn(name, F.transform("_items", lambda i: i[value])).drop("_items")
+
+
 def previous(df: DataFrame, by: Sequence[str], index: str, value: str, name: str, block: int = 4096) -> DataFrame:
     """``value`` of the row one position earlier on a dense index (NULL for the first)."""
     return near(df, by, index, 1, 0, lambda w: {name: F.lag(value, 1).over(w)}, block)
