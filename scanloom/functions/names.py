@@ -79,8 +79,9 @@ def primary_file(filenames, filetype) -> Column:
     names = _c(filenames)
     first = F.try_element_at(names, F.lit(1))
     chosen = first
+    matching = lambda rule: F.filter(names, lambda f: f.rlike(rule))
     for kind, rule in PRIMARY_FILE_RULES.items():
-        hits = F.filter(names, lambda f, rule=rule: f.rlike(rule))
+        hits = matching(rule)
         chosen = F.when(_c(filetype) == kind, F.try_element_at(hits, F.lit(1))).otherwise(chosen)
     return F.when(F.size(names) <= 1, first).otherwise(chosen)
 

@@ -107,6 +107,7 @@ def _subjects(catalog: Catalog, fresh: DataFrame, experiments: DataFrame) -> tup
     known = F.when(F.col("how") == "code", F.col("_by_code")).when(F.col("how") == "name", F.col("_by_name"))
     asks = asks.withColumn("_known", known).select(
         "exam_uid", "arrival_seq", "experiment_id", "how", "subj_code", "subj_firstname", "subj_lastname", "subj_dob", "_known")
+    asks = cut_lineage(asks)
     new = asks.where("_known is null")
     # the creator of a coded subject is the first session with its code; an unnamed session creates its own
     coded = new.where("how = 'code'").groupBy("experiment_id", "subj_code").agg(F.min("arrival_seq").alias("_creator"))
@@ -157,8 +158,8 @@ def ingest(catalog: Catalog, records: DataFrame, now) -> Catalog:
     epoch_key, data_key = ["series_uid", "acq_no"], ["series_uid", "acq_no", "filetype"]
     stored_epochs = catalog.epoch.select(F.col("uid").alias("series_uid"), F.col("acq").alias("acq_no"), F.col("id").alias("epoch_id"))
     stored_sessions = catalog.session.select(F.col("uid").alias("exam_uid"), F.col("id").alias("session_id"))
-    new_epochs = _absent(first_arrivals(ready, epoch_key), stored_epochs, epoch_key)
-    new_sessions = _absent(first_arrivals(new_epochs, ["exam_uid"]), stored_sessions, ["exam_uid"])
+    new_epochs = cut_lineage(_absent(first_arrivals(ready, epoch_key), stored_epochs, epoch_key))
+    new_sessions = cut_lineage(_absent(first_arrivals(new_epochs, ["exam_uid"]), stored_sessions, ["exam_uid"]))
 
     wanted = first_arrivals(new_sessions.select("group_gid", "exp_name", "arrival_seq"), ["group_gid", "exp_name"])
     owners = catalog.research_group.select(F.col("gid").alias("group_gid"), F.col("id").alias("owner_id"))
@@ -171,6 +172,7 @@ def ingest(catalog: Catalog, records: DataFrame, now) -> Catalog:
     access = catalog.access.unionByName(_fill(grants, catalog.access, {c: F.col(c) for c in grants.columns}))
 
     subject_of, new_subjects = _subjects(catalog, new_sessions, experiments)
+    subject_of = cut_lineage(subject_of)
     users = catalog.user.groupBy(F.col("uid").alias("operator")).agg(F.min("id").alias("operator_id"))
     starts = new_epochs.groupBy("exam_uid").agg(F.min("timestamp").alias("_start"))
     born = _next_ids(new_sessions.join(subject_of, "exam_uid").join(users, "operator", "left").join(starts, "exam_uid", "left"),

@@ -22,32 +22,24 @@ def asof(probe: DataFrame, build: DataFrame, by: Sequence[str], at: str, values:
     """
     by, values = list(by), list(values)
     backward = direction == "backward"
-    bucket = F.floor(F.col(at) / F.lit(float(width)))
     payload = F.struct(F.col(at).alias("matched_at"), *values)
-    hits = (build.where(F.col(at).isNotNull()).groupBy(*by, at)
-            .agg(F.min(payload).alias("_hit")).withColumn("_bucket", bucket))
-    asks = probe.select(*by, at).where(F.col(at).isNotNull()).distinct().withColumn("_bucket", bucket)
-    edge = (F.max if backward else F.min)("_hit")
-    filled = hits.groupBy(*by, "_bucket").agg(edge.alias("_edge"))
-    every = (filled.unionByName(asks.select(*by, "_bucket").distinct().withColumn(
-        "_edge", F.lit(None).cast(filled.schema["_edge"].dataType)))
-        .groupBy(*by, "_bucket").agg(F.max("_edge").alias("_edge")))
+    hits = build.select(*by, at, payload.alias("_hit"), F.lit(False).alias("_ask"))
+    asks = probe.select(*by, at, F.lit(None).cast(hits.schema["_hit"].dataType).alias("_hit"), F.lit(True).alias("_ask"))
+    # one row per distinct time, combined before the shuffle
+    slots = (hits.unionByName(asks).where(F.col(at).isNotNull())
+             .withColumn("_bucket", F.floor(F.col(at) / F.lit(float(width))))
+             .groupBy(*by, "_bucket", at).agg(F.min("_hit").alias("_hit"), F.bool_or("_ask").alias("_ask")))
+    edges = slots.groupBy(*by, "_bucket").agg((F.max if backward else F.min)("_hit").alias("_edge"))
     step = F.col("_bucket").asc() if backward else F.col("_bucket").desc()
-    over_buckets = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.select(*by, "_bucket", F.last("_edge", ignorenulls=True).over(over_buckets).alias("_carry"))
-    # a build row at the probe's own time counts only when inclusive: it then sorts before the probe
-    rank = 0 if inclusive else 2
-    both = (hits.select(*by, at, "_bucket", "_hit", F.lit(rank).alias("_rank"), F.lit(False).alias("_ask"))
-            .unionByName(asks.select(*by, at, "_bucket", F.lit(None).cast(hits.schema["_hit"].dataType)
-                                     .alias("_hit"), F.lit(1).alias("_rank"), F.lit(True).alias("_ask"))))
+    earlier = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    carry = edges.select(*by, "_bucket", F.last("_edge", ignorenulls=True).over(earlier).alias("_carry"))
     time = F.col(at).asc() if backward else F.col(at).desc()
-    inside = Window.partitionBy(*by, "_bucket").orderBy(time, "_rank").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_found", F.last("_hit", ignorenulls=True).over(inside)).where("_ask")
-    joined = found.join(carry, [*by, "_bucket"], "left")
+    inside = Window.partitionBy(*by, "_bucket").orderBy(time).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    found = slots.withColumn("_found", F.last("_hit", ignorenulls=True).over(inside)).where("_ask")
     best = F.coalesce("_found", "_carry")
-    return joined.select(*by, at, best["matched_at"].alias("matched_at"),
-                         *[best[v].alias(v) for v in values])
+    return found.join(carry, [*by, "_bucket"]).select(
+        *by, at, best["matched_at"].alias("matched_at"), *[best[v].alias(v) for v in values])
 
 
 def range_join(left: DataFrame, right: DataFrame, by: Sequence[str], low: str, high: str, point: str,

@@ -302,6 +302,8 @@ def series_oracle(body: str) -> str:
     order = [n for n in ("voxel", "brain_mask", "motion", "signal", "timing") if n in wanted]
     ctes = ", ".join(f"{n} as ({SERIES[n]})" for n in order)
     body = body.strip()
+    if not order:
+        return body
     for head in ("with recursive ", "with "):
         if body.lower().startswith(head):
             return f"{head}{ctes}, " + body[len(head):]
