@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -26,6 +28,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared checkpoint folder, for intermediate tables and stream checkpoints."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isEmpty():
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = current.get()
+    return f"{folder.rstrip('/')}/scanloom-{label}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Write ``df`` to the checkpoint folder the cluster names and read it back.
 
