@@ -11,35 +11,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def asof(probe: DataFrame, build: DataFrame, by: Sequence[str], at: str, values: Sequence[str],
-         direction: str = "backward", inclusive: bool = True, width: float = 64.0) -> DataFrame:
-    """For every distinct (``by``, ``at``) of ``probe``: the nearest ``build`` row at or before/after it.
-
-    ``at`` is numeric on both sides (seconds for times). Time is cut into ``width``-long buckets, and both
-    sides are first reduced to distinct (``by``, ``at``), so a window group holds at most one bucket's
-    distinct times. A probe without a match in its bucket takes the edge of the nearest filled bucket,
-    found over one row per bucket. Returns ``by``, ``at``, ``matched_at`` and ``values`` (NULL if none).
+def bracket(probe: DataFrame, build: DataFrame, by: Sequence[str], at: str, values: Sequence[str] = (),
+            inclusive: bool = True, width: float = 64.0) -> DataFrame:
+    """The nearest ``build`` rows on both sides of every distinct (``by``, ``at``) of ``probe``.
+
+    ``at`` is numeric on both sides (seconds for times). Returns ``by``, ``at`` and two structs ``before`` and
+    ``after`` (``matched_at`` and ``values``; NULL if none); rows at the probe's own time count on both sides only
+    if ``inclusive``. Time is cut into ``width``-long buckets. Both sides are first reduced together to one row
+    per distinct time, so a window group holds at most one bucket's distinct times. Where a bucket has no match,
+    the edge of the nearest filled bucket is taken, found over one row per bucket. Unused sides are pruned.
     """
-    by, values = list(by), list(values)
-    backward = direction == "backward"
+    by = list(by)
     payload = F.struct(F.col(at).alias("matched_at"), *values)
     hits = build.select(*by, at, payload.alias("_hit"), F.lit(False).alias("_ask"))
     asks = probe.select(*by, at, F.lit(None).cast(hits.schema["_hit"].dataType).alias("_hit"), F.lit(True).alias("_ask"))
-    # one row per distinct time, combined before the shuffle
     slots = (hits.unionByName(asks).where(F.col(at).isNotNull())
              .withColumn("_bucket", F.floor(F.col(at) / F.lit(float(width))))
              .groupBy(*by, "_bucket", at).agg(F.min("_hit").alias("_hit"), F.bool_or("_ask").alias("_ask")))
-    edges = slots.groupBy(*by, "_bucket").agg((F.max if backward else F.min)("_hit").alias("_edge"))
-    step = F.col("_bucket").asc() if backward else F.col("_bucket").desc()
-    earlier = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.select(*by, "_bucket", F.last("_edge", ignorenulls=True).over(earlier).alias("_carry"))
-    time = F.col(at).asc() if backward else F.col(at).desc()
-    inside = Window.partitionBy(*by, "_bucket").orderBy(time).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    found = slots.withColumn("_found", F.last("_hit", ignorenulls=True).over(inside)).where("_ask")
-    best = F.coalesce("_found", "_carry")
+    edges = slots.groupBy(*by, "_bucket").agg(F.max("_hit").alias("_high"), F.min("_hit").alias("_low"))
+    rising, falling = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+                       for o in (F.col("_bucket").asc(), F.col("_bucket").desc()))
+    carry = edges.select(
+        *by, "_bucket",
+        F.last("_high", ignorenulls=True).over(rising).alias("_carry_b"),
+        F.last("_low", ignorenulls=True).over(falling).alias("_carry_a"))
+    inside = Window.partitionBy(*by, "_bucket")
+    reach = Window.currentRow if inclusive else -1
+    down = inside.orderBy(F.col(at).asc()).rowsBetween(Window.unboundedPreceding, reach)
+    up = inside.orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, reach)
+    found = (slots.withColumn("_b", F.last("_hit", ignorenulls=True).over(down))
+             .withColumn("_a", F.last("_hit", ignorenulls=True).over(up)).where("_ask"))
     return found.join(carry, [*by, "_bucket"]).select(
-        *by, at, best["matched_at"].alias("matched_at"), *[best[v].alias(v) for v in values])
+        *by, at, F.coalesce("_b", "_carry_b").alias("before"), F.coalesce("_a", "_carry_a").alias("after"))
+
+
+def asof(probe: DataFrame, build: DataFrame, by: Sequence[str], at: str, values: Sequence[str],
+         direction: str = "backward", inclusive: bool = True, width: float = 64.0) -> DataFrame:
+    """One side of ``bracket``: ``by``, ``at``, ``matched_at`` and ``values``."""
+    side = "before" if direction == "backward" else "after"
+    rows = bracket(probe, build, by, at, values, inclusive, width)
+    return rows.select(*by, at, F.col(side)["matched_at"].alias("matched_at"), *[F.col(side)[v].alias(v) for v in values])
+
+
+def _closer(at: str, value: str) -> Column:
+    """Struct (distance, gap, value) of the nearer side of a bracket row; the earlier side on ties."""
+    option = lambda side: F.when(F.col(side).isNotNull(), F.struct(
+        F.abs(F.col(side)["matched_at"] - F.col(at)).alias("distance"), (F.col(side)["matched_at"] - F.col(at)).alias("gap"),
+        F.col(side)[value].alias(value)))
+    return F.least(option("before"), option("after"))
 
 
 def range_join(left: DataFrame, right: DataFrame, by: Sequence[str], low: str, high: str, point: str,
@@ -69,25 +88,12 @@ def nearest_sibling(epochs: DataFrame, bad: DataFrame) -> DataFrame:
         F.col("id").alias("bad_id"), F.col("timestamp").alias("bad_ts"), *same)
     good = marked.join(bad.select("id"), "id", "left_anti").select(
         F.col("id").alias("good_id"), F.col("timestamp").alias("good_ts"), *same)
-    return _closest_in_time(broken, good, same)
-
-
-def _closest_in_time(broken: DataFrame, good: DataFrame, same: Sequence[str]) -> DataFrame:
-    """Nearest good time per bad time: one as-of search backwards, one forwards, never all pairs."""
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
     asks = broken.withColumn("at", seconds("bad_ts"))
-    hits = good.withColumn("at", seconds("good_ts")).withColumn("good", F.col("good_id"))
-    day = 86400.0
-    back = asof(asks, hits, same, "at", ["good"], "backward", True, day).select(
-        *same, "at", F.col("matched_at").alias("b_at"), F.col("good").alias("b_id"))
-    ahead = asof(asks, hits, same, "at", ["good"], "forward", True, day).select(
-        *same, "at", F.col("matched_at").alias("a_at"), F.col("good").alias("a_id"))
-    both = asks.join(back, [*same, "at"], "left").join(ahead, [*same, "at"], "left")
-    option = lambda when, good: F.when(F.col(good).isNotNull(), F.struct(
-        F.abs(F.col("at") - F.col(when)).alias("gap"), F.col(good).alias("good_id")))
-    best = F.least(option("b_at", "b_id"), option("a_at", "a_id"))
-    return both.select("bad_id", best["good_id"].alias("good_id"), best["gap"].alias("gap_seconds")).where(
-        "good_id is not null")
+    near_by = bracket(asks, good.withColumn("at", seconds("good_ts")), same, "at", ["good_id"], True, 86400.0)
+    chosen = near_by.select(*same, "at", _closer("at", "good_id").alias("_best"))
+    return asks.join(chosen, [*same, "at"]).where("_best is not null").select(
+        "bad_id", F.col("_best.good_id").alias("good_id"), F.col("_best.distance").alias("gap_seconds"))
 
 
 def calibration_scan(epochs: DataFrame, psd_prefix: str = "mux") -> DataFrame:
@@ -112,17 +118,10 @@ def calibration_scan(epochs: DataFrame, psd_prefix: str = "mux") -> DataFrame:
     asks = targets.join(single, place, "left").withColumn(
         "tier", F.when(F.col("single"), 0).when(F.col("num_mux_cal_cycle") < 2, 1)).where("tier is not null")
     by = [*place, "tier", "pe1"]
-    prior = asof(asks, pool, by, "at", ["calibration_id"], "backward", True, 256.0).select(
-        *by, "at", F.col("matched_at").alias("b_at"), F.col("calibration_id").alias("b_id"))
-    later = asof(asks, pool, by, "at", ["calibration_id"], "forward", True, 256.0).select(
-        *by, "at", F.col("matched_at").alias("a_at"), F.col("calibration_id").alias("a_id"))
-    option = lambda when, which: F.when(F.col(which).isNotNull(), F.struct(
-        F.abs(F.col(when) - F.col("at")).alias("distance"), (F.col(when) - F.col("at")).alias("gap"),
-        F.col(which).alias("id")))
-    best = F.least(option("b_at", "b_id"), option("a_at", "a_id"))
-    met = asks.join(prior, [*by, "at"], "left").join(later, [*by, "at"], "left")
-    return met.select("epoch_id", best["id"].alias("calibration_id"),
-                      best["gap"].cast("int").alias("series_gap")).where("calibration_id is not null")
+    chosen = bracket(asks, pool, by, "at", ["calibration_id"], True, 256.0).select(
+        *by, "at", _closer("at", "calibration_id").alias("_best"))
+    return asks.join(chosen, [*by, "at"]).where("_best is not null").select(
+        "epoch_id", F.col("_best.calibration_id").alias("calibration_id"), F.col("_best.gap").cast("int").alias("series_gap"))
 
 
 def physio_files(scans: DataFrame, files: DataFrame, lag_seconds: int = 30) -> DataFrame:
@@ -131,28 +130,14 @@ def physio_files(scans: DataFrame, files: DataFrame, lag_seconds: int = 30) -> D
     ``scans``: epoch_id, psd, timestamp. ``files``: name, psd, ts. Only recordings dated on the (lagged) scan
     day or the day after qualify. Both sides are reduced to distinct (psd, time) before they meet.
     """
-    begin = F.col("timestamp") + F.make_dt_interval(secs=F.lit(lag_seconds))
-    asks = scans.withColumn("begin", begin).select("epoch_id", "psd", "begin")
-    days = asks.select("psd", "begin").distinct().withColumn(
-        "day", F.explode(F.array(F.to_date("begin"), F.date_add(F.to_date("begin"), 1))))
-    starts = files.select("psd", "ts").distinct().withColumn("day", F.to_date("ts"))
-    first = _first_start(days, starts)
-    return (asks.join(first, ["psd", "begin"]).join(files.select("psd", "ts", "name"), ["psd", "ts"])
-            .select("epoch_id", "ts", "name"))
-
-
-def _first_start(days: DataFrame, starts: DataFrame) -> DataFrame:
-    """Earliest start per (psd, begin): an as-of search inside one day, else the next day's first start."""
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
-    asks = days.select("psd", "begin", "day", (F.to_date("begin") == F.col("day")).alias("same_day"))
-    today = asof(asks.where("same_day").withColumn("at", seconds("begin")),
-                 starts.withColumn("at", seconds("ts")), ["psd", "day"], "at", ["ts"], "forward", True, 3600.0)
-    today = today.select("psd", "day", "at", F.col("ts").alias("today_ts"))
-    first_of_day = starts.groupBy("psd", "day").agg(F.min("ts").alias("tomorrow_ts"))
-    base = asks.where("same_day").withColumn("at", seconds("begin"))
-    found = (base.join(today, ["psd", "day", "at"], "left")
-             .join(first_of_day.withColumn("day", F.date_sub("day", 1)), ["psd", "day"], "left"))
-    return found.select("psd", "begin", F.coalesce("today_ts", "tomorrow_ts").alias("ts")).where("ts is not null")
+    asks = scans.select("epoch_id", "psd", (F.col("timestamp") + F.make_dt_interval(secs=F.lit(lag_seconds))).alias("begin"))
+    asks = asks.withColumn("at", seconds("begin"))
+    first = asof(asks, files.withColumn("at", seconds("ts")), ["psd"], "at", ["ts"], "forward", True, 3600.0).where("ts is not null")
+    chosen = asks.join(first.select("psd", "at", "ts"), ["psd", "at"]).where(
+        F.to_date("ts") <= F.date_add(F.to_date("begin"), 1))
+    return chosen.select("epoch_id", "psd", "ts").join(files.select("psd", "ts", "name"), ["psd", "ts"]).select(
+        "epoch_id", "ts", "name")
 
 
 @F.pandas_udf(T.DoubleType())

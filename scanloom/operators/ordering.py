@@ -53,9 +53,19 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], amount
             .withColumn(name, joined).drop("_range", "_carry", "_local", "_amount"))
 
 
+#: Largest group that is numbered by a plain window, when its size is known.
+WINDOW_LIMIT = 1_000_000
+
+
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "row_number",
-                ranges: int | None = None) -> DataFrame:
-    """1, 2, 3 … per group in the given total order."""
+                ranges: int | None = None, largest: int | None = None) -> DataFrame:
+    """1, 2, 3 … per group in the given total order.
+
+    ``largest`` is the size of the largest group where the caller has counted it: groups known to be small are
+    numbered by one window, all others by range partitions.
+    """
+    if by and largest is not None and largest <= WINDOW_LIMIT:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     return running_total(df, by, order, F.lit(1).cast("long"), name, ranges)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.catalog import Catalog
-from scanloom.operators.matching import asof, range_join
+from scanloom.operators.matching import asof, bracket, range_join
 from scanloom.operators.ordering import convolve, near
 from scanloom.session import cut_lineage
 
@@ -89,11 +89,10 @@ def slice_times(timing: DataFrame) -> DataFrame:
 
 def trigger_neighbours(times: DataFrame, triggers: DataFrame, timing: DataFrame) -> DataFrame:
     """Last trigger before and first after each slice time; 0 and the scan's end where there is none."""
-    build = triggers.select("acq_id", "time")
-    before = asof(times, build, ["acq_id"], "time", [], "backward", False).withColumnRenamed("matched_at", "_b")
-    after = asof(times, build, ["acq_id"], "time", [], "forward", False).withColumnRenamed("matched_at", "_a")
+    sides = bracket(times, triggers.select("acq_id", "time"), ["acq_id"], "time", [], False)
+    sides = sides.select("acq_id", "time", F.col("before.matched_at").alias("_b"), F.col("after.matched_at").alias("_a"))
     scan = scan_lengths(timing).select("acq_id", (F.col("nframes") * F.col("tr")).alias("_end"))
-    return (times.join(before, ["acq_id", "time"], "left").join(after, ["acq_id", "time"], "left").join(scan, "acq_id")
+    return (times.join(sides, ["acq_id", "time"]).join(scan, "acq_id")
             .select(*times.columns, F.coalesce("_b", F.lit(0.0)).alias("t1"), F.coalesce("_a", "_end").alias("t2")))
 
 
@@ -261,9 +260,10 @@ def heart_rates(triggers: DataFrame, low: float = 30.0, high: float = 180.0) ->
 def interpolate_rate(times: DataFrame, rates: DataFrame) -> DataFrame:
     """Rate at slice times: linear between beats, clamped at the ends, 0 with two or fewer plausible beats."""
     count = rates.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n"))
-    back = asof(times, rates, ["acq_id"], "time", ["rate"], "backward", True).select("acq_id", "time", F.col("matched_at").alias("x0"), F.col("rate").alias("y0"))
-    ahead = asof(times, rates, ["acq_id"], "time", ["rate"], "forward", True).select("acq_id", "time", F.col("matched_at").alias("x1"), F.col("rate").alias("y1"))
-    rows = times.join(back, ["acq_id", "time"], "left").join(ahead, ["acq_id", "time"], "left").join(count, "acq_id", "left")
+    sides = bracket(times, rates, ["acq_id"], "time", ["rate"], True).select(
+        "acq_id", "time", F.col("before.matched_at").alias("x0"), F.col("before.rate").alias("y0"),
+        F.col("after.matched_at").alias("x1"), F.col("after.rate").alias("y1"))
+    rows = times.join(sides, ["acq_id", "time"]).join(count, "acq_id", "left")
     slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
     line = (F.when(F.col("x0").isNull(), F.col("y1")).when(F.col("x1").isNull() | (F.col("x1") == F.col("x0")), F.col("y0"))
             .otherwise(slope * (F.col("time") - F.col("x0")) + F.col("y0")))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scanloom.operators import physio, quality, repair
-from scanloom.operators.matching import asof, range_join
+from scanloom.operators.matching import asof, bracket, range_join
 from scanloom.operators.ordering import convolve, difference, group_median, near, running_total
 from scanloom.operators.polyfit import detrend, polyfit, polyval
 from scanloom.plans.registry import query
@@ -331,10 +331,10 @@ def _(tb):
 def _(tb):
     e = tb.base("events").select("event_type", "user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     views, clicks = e.where("event_type = 'view'"), e.where("event_type = 'click'").select("user_id", "at")
-    before = asof(views, clicks, ["user_id"], "at", [], "backward", False, 3600.0).select("user_id", "at", F.col("matched_at").alias("b"))
-    after = asof(views, clicks, ["user_id"], "at", [], "forward", False, 3600.0).select("user_id", "at", F.col("matched_at").alias("a"))
-    return views.join(before, ["user_id", "at"]).join(after, ["user_id", "at"]).select(
-        "event_id", _r(F.col("at") - F.col("b"), 3).alias("since"), _r(F.col("a") - F.col("at"), 3).alias("until"))
+    sides = bracket(views, clicks, ["user_id"], "at", [], False, 3600.0)
+    return views.join(sides, ["user_id", "at"]).select(
+        "event_id", _r(F.col("at") - F.col("before.matched_at"), 3).alias("since"),
+        _r(F.col("after.matched_at") - F.col("at"), 3).alias("until"))
 
 
 @query("W11_forward_fill", """select event_id, coalesce(last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row), 60) as rate from events""")

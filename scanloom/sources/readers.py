@@ -46,10 +46,10 @@ def read_raw_listing(spark: SparkSession, path: str, since=None, glob: str = RAW
 
 def whole_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file: name, folder, value."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    rows = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return rows.select(_file_name().alias("name"), F.element_at(F.split("path", "/"), -2).alias("folder"), "path", "value")
 
 
