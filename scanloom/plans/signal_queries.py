@@ -69,11 +69,6 @@ def _(tb):
     return quality.frame_flags(floored)
 
 
-@series("A16_spike_summary")
-def _(tb):
-    return repair.spike_summary(repair.detect_spikes(tb.voxel, tb.brain_mask, 1.8, _SKIP))
-
-
 @series("A18_mean_image", f"select acq_id, x, y, z, round(avg(v), 6) as mean from voxel where t >= {_SKIP} group by 1, 2, 3, 4")
 def _(tb):
     return quality.mean_image(tb.voxel, _SKIP).select("acq_id", "x", "y", "z", _r("mean").alias("mean"))
@@ -203,6 +198,11 @@ def _(tb):
     return repair.detect_spikes(tb.voxel, tb.brain_mask, 1.8, _SKIP).select("acq_id", "z", "t", _r("zscore", 5).alias("zscore"), "spike")
 
 
+@series("A16_spike_summary", f"with {_SPIKES} select acq_id, count(*) as n_spikes, count(distinct z) as n_slices from b3 where spike group by 1")
+def _(tb):
+    return repair.spike_summary(repair.detect_spikes(tb.voxel, tb.brain_mask, 1.8, _SKIP))
+
+
 @series("T9_despike", f"""with {_SPIKES}, s as (select acq_id, z, t from b3 where spike),
     n as (select *, 1 + (exists (select 1 from s p where p.acq_id = s.acq_id and p.z = s.z and p.t = s.t - 1))::int as l, 1 + (exists (select 1 from s p where p.acq_id = s.acq_id and p.z = s.z and p.t = s.t + 1))::int as r from s)
     select v.acq_id, v.x, v.y, v.z, v.t, round(case when n.l is null then v.v when n.t + n.r >= 50 then lv.v when n.t - n.l < 0 then rv.v
