@@ -382,9 +382,9 @@ def _(tb):
     return physio.histogram(tb.base("events").select(F.col("event_type").alias("acq_id"), "value")).drop("below")
 
 
-@query("A13_root_sum_squares", "select l_orderkey, round_even(sqrt(sum(l_quantity * l_quantity)), 0) as v from lineitem where l_linenumber < 7 group by 1")
+@query("A13_root_sum_squares", "select l_orderkey, round_even(sqrt(sum(l_quantity * l_quantity)), 0) as v from lineitem join (select l_orderkey % 8 as a, max(l_linenumber) as last from lineitem group by 1) m on m.a = l_orderkey % 8 where l_linenumber < last group by 1")
 def _(tb):
-    coils = tb.base("lineitem").selectExpr("0 as acq_id", "l_orderkey as x", "0 as y", "0 as z", "l_linenumber as coil", "l_quantity as v")
+    coils = tb.base("lineitem").selectExpr("l_orderkey % 8 as acq_id", "l_orderkey as x", "0 as y", "0 as z", "l_linenumber as coil", "l_quantity as v")
     return repair.combine_coils(coils).select(F.col("x").alias("l_orderkey"), "v")
 
 
