@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanloom.session import cut_lineage
+
 
 def bracket(probe: DataFrame, build: DataFrame, by: Sequence[str], at: str, values: Sequence[str] = (),
             inclusive: bool = True, width: float = 64.0) -> DataFrame:
@@ -193,13 +195,22 @@ def shared_pieces(asks: DataFrame, known: DataFrame, cutoff: float) -> DataFrame
     return labs.select("lab", *keys).join(gids.select("gid", *keys).distinct(), keys).select("lab", "gid").distinct()
 
 
-def ancestors(edges: DataFrame, view: str = "lineage_edges", max_depth: int = 64) -> DataFrame:
-    """All (child, ancestor, depth) pairs of the dataset lineage graph, as a recursive query."""
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
-        with recursive up(child_id, ancestor_id, depth) max recursion level {max_depth} as (
-            select child_id, parent_id, 1 from {view}
-            union all
-            select u.child_id, e.parent_id, u.depth + 1 from up u join {view} e on e.child_id = u.ancestor_id
-        )
-        select child_id, ancestor_id, min(depth) as depth from up group by child_id, ancestor_id""")
+def ancestors(edges: DataFrame) -> DataFrame:
+    """All (child_id, ancestor_id, depth) pairs of the dataset lineage graph, with the shortest distance.
+
+    Known paths are joined to known paths, so each round doubles the reach and the number of rounds is the
+    logarithm of the longest line. There is no limit on rows or depth.
+    """
+    reach = cut_lineage(edges.select("child_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).distinct())
+    known = None
+    while True:
+        first = reach.select("child_id", F.col("ancestor_id").alias("_via"), F.col("depth").alias("_d1"))
+        second = reach.select(F.col("child_id").alias("_via"), "ancestor_id", F.col("depth").alias("_d2"))
+        longer = first.join(second, "_via").select("child_id", "ancestor_id", (F.col("_d1") + F.col("_d2")).alias("depth"))
+        grown = cut_lineage(reach.unionByName(longer).groupBy("child_id", "ancestor_id").agg(F.min("depth").alias("depth")))
+        total, length = grown.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        if (total, length) == known:
+            return grown
+        reach, known = grown, (total, length)
+
+

@@ -409,6 +409,14 @@ def recompute(catalog: Catalog, experiment_id: int, signal: DataFrame, timing: D
     return regressors(signal.join(ids, "acq_id", "left_semi"), timing.join(ids, "acq_id", "left_semi"), resp_dt)
 
 
+def design_scores(regressor: DataFrame) -> DataFrame:
+    """Every regressor of every slice as z-scores over its frames."""
+    keys = ["acq_id", "slice", "name"]
+    stats = regressor.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    return regressor.join(stats, keys).select(
+        *keys, "frame", F.try_divide(F.col("value") - F.col("_m"), F.col("_s")).alias("value"))
+
+
 # denoising ---------------------------------------------------------------------------------------
 
 def denoise(voxel: DataFrame, regressor: DataFrame) -> DataFrame:
@@ -421,7 +429,10 @@ def denoise(voxel: DataFrame, regressor: DataFrame) -> DataFrame:
     rows = voxel.select("acq_id", "z", "y", "x", "t", "v")
     place = {n: i for i, n in enumerate(REGRESSORS)}
     order = F.try_element_at(F.create_map(*[F.lit(v) for p in place.items() for v in p]), F.col("name"))
-    design = regressor.select("acq_id", F.col("slice").cast("int").alias("z"), F.col("frame").cast("int").alias("t"), order.alias("k"), "value")
+    # a regressor that never changes explains nothing: its column is 0
+    design = design_scores(regressor).select(
+        "acq_id", F.col("slice").cast("int").alias("z"), F.col("frame").cast("int").alias("t"), order.alias("k"),
+        F.coalesce("value", F.lit(0.0)).alias("value"))
     lines = rows.select(*[F.col(c).alias(c) for c in ("acq_id", "z", "y")]).distinct()
     spread = design.join(lines, ["acq_id", "z"])
 
@@ -431,9 +442,8 @@ def denoise(voxel: DataFrame, regressor: DataFrame) -> DataFrame:
         x = model.pivot(index="t", columns="k", values="value").sort_index()
         y = image.pivot(index="t", columns="x", values="v").sort_index()
         t = np.arange(len(x), dtype=float)[:, None]
-        columns = np.hstack([t, t ** 2, x.to_numpy()])
-        columns = (columns - columns.mean(0)) / columns.std(0)
-        full = np.hstack([np.ones((len(x), 1)), columns])
+        drift = np.hstack([t, t ** 2])
+        full = np.hstack([np.ones((len(x), 1)), (drift - drift.mean(0)) / drift.std(0), x.to_numpy()])
         data = y.to_numpy()
         beta = np.linalg.pinv(full) @ data
         clean = data - full[:, 3:-1] @ beta[3:-1]

@@ -500,6 +500,14 @@ def _(tb):
     return physio.interpolate_rate(times, physio.heart_rates(triggers)).withColumn("hr", _r("hr", 5))
 
 
+@series("W13_design_scores", f"with {_AL}, {_HR} select acq_id, slice, frame, round((hr - avg(hr) over w) / nullif(stddev_pop(hr) over w, 0), 4) as score from hr window w as (partition by acq_id, slice)")
+def _(tb):
+    times, _, triggers = _parts(tb)
+    rates = physio.interpolate_rate(times, physio.heart_rates(triggers))
+    scores = physio.design_scores(cut_lineage(rates.select("acq_id", "slice", "frame", F.lit("hr").alias("name"), F.col("hr").alias("value"))))
+    return scores.select("acq_id", "slice", "frame", _r("value", 4).alias("score"))
+
+
 @series("P9_window_rate", f"""with {_AL}, r as (select t.acq_id, t.slice, t.frame, case when count(g.time) >= 2 then (count(g.time) - 1) * 60.0::double / (max(g.time) - min(g.time)) end as r from times t
     left join trig g on g.acq_id = t.acq_id and g.time between t.time - 3 and t.time + 3 group by 1, 2, 3)
     select acq_id, slice, frame, round(coalesce(last_value(r ignore nulls) over (partition by acq_id, slice order by frame rows unbounded preceding), 60), 5) as hr from r""")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SIGNAL_KINDS = {"RESPData": "resp_wave", "RESPTrig": "resp_trig", "PPGData": "card_wave", "PPGTrig": "card_trig"}
 SIDECAR_FIELDS = ("group", "experiment", "session", "epoch", "timestamp")
 RAW_GLOB = "P?????.7"
+BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 LOG_TIME = "MM-dd-yyyy HH:mm:ss.SSS"
 
 
@@ -24,7 +25,7 @@ def _file_name(column: str = "path") -> Column:
 
 def read_staged(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Stream of staged files, oldest first; hidden files never show up. The content is only read if used."""
-    rows = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).option(
+    rows = spark.readStream.schema(BINARY_SCHEMA).format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).option(
         "recursiveFileLookup", "true").load(path)
     return rows.where(~_file_name().startswith("."))
 
