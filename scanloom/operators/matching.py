@@ -30,13 +30,15 @@ def bracket(probe: DataFrame, build: DataFrame, by: Sequence[str], at: str, valu
     slots = (hits.unionByName(asks).where(F.col(at).isNotNull())
              .withColumn("_bucket", F.floor(F.col(at) / F.lit(float(width))))
              .groupBy(*by, "_bucket", at).agg(F.min("_hit").alias("_hit"), F.bool_or("_ask").alias("_ask")))
-    edges = slots.groupBy(*by, "_bucket").agg(F.max("_hit").alias("_high"), F.min("_hit").alias("_low"))
+    # carries are only kept where somebody asks
+    edges = slots.groupBy(*by, "_bucket").agg(
+        F.max("_hit").alias("_high"), F.min("_hit").alias("_low"), F.bool_or("_ask").alias("_asked"))
     rising, falling = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
                        for o in (F.col("_bucket").asc(), F.col("_bucket").desc()))
     carry = edges.select(
-        *by, "_bucket",
+        *by, "_bucket", "_asked",
         F.last("_high", ignorenulls=True).over(rising).alias("_carry_b"),
-        F.last("_low", ignorenulls=True).over(falling).alias("_carry_a"))
+        F.last("_low", ignorenulls=True).over(falling).alias("_carry_a")).where("_asked").drop("_asked")
     inside = Window.partitionBy(*by, "_bucket")
     reach = Window.currentRow if inclusive else -1
     down = inside.orderBy(F.col(at).asc()).rowsBetween(Window.unboundedPreceding, reach)
