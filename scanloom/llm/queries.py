@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm.bpe import decode, encode
-from scanloom.llm.common import documents
+from scanloom.llm.common import documents, tail_bucket
 from scanloom.llm.packing import pack, tokenised_pieces
+from scanloom.llm.quality import quality_rules
 from scanloom.llm.sharding import shard_rows
+from scanloom.llm.toxicity import FOLDS, fit, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +53,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokenised_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, ["doc_id"]).select(
+        "doc_id", (tail_bucket("doc_id", FOLDS) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "cleaned")
