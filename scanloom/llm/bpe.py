@@ -118,8 +118,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overla
     pieces = (own.groupBy(*row, "__run").agg(F.sort_array(F.collect_list(F.struct("__chunk", "__own"))).alias("__parts"))
               .select(*row, "__run", F.array_join("__parts.__own", "").alias("__piece")))
     encoded = _mapped(pieces, "__piece", "__ids", pa.binary(), turn)
-    whole = (encoded.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("__run", F.hex("__ids").alias("__hex")))).alias("__all"))
-             .select("doc_id", F.unhex(F.array_join("__all.__hex", "")).alias("ids")))
+    whole = (encoded.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("__run", "__ids"))).alias("__all"))
+             .select("doc_id", F.unhex(F.array_join(F.transform("__all", lambda piece: F.hex(piece["__ids"])), "")).alias("ids")))
     return short.unionByName(whole)
 
 
