@@ -13,6 +13,8 @@ from scanloom.llm.common import documents, tail_bucket
 from scanloom.llm.packing import pack, tokenised_pieces
 from scanloom.llm.quality import quality_rules
 from scanloom.llm.sharding import shard_rows
+from scanloom.llm.substring import drop_repeated_words
+from scanloom.llm.suffix import drop_repeated_bytes
 from scanloom.llm.toxicity import FOLDS, fit, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +69,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "cleaned")
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(documents(spark, sf_dir), ["doc_id"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_substring_dedup", """
+    with words as (
+        select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents),
+    windows as (
+        select doc_id, at, array_to_string(w[at:at + 19], ' ') as s
+        from (select doc_id, w, unnest(range(1, len(w) - 18)) as at from words)),
+    ranked as (select doc_id, at, row_number() over (partition by s order by doc_id, at) as n from windows),
+    gone as (select distinct doc_id, unnest(range(at, at + 20)) as at from ranked where n > 1),
+    kept as (
+        select doc_id, string_agg(word, ' ' order by at) as t
+        from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as at from words) anti join gone using (doc_id, at) group by doc_id)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from words left join (select doc_id, count(*) as n from gone group by doc_id) using (doc_id) left join kept using (doc_id)""")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_words(documents(spark, sf_dir), ["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
