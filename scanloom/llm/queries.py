@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm.bpe import decode, encode
 from scanloom.llm.common import documents, tail_bucket
+from scanloom.llm.minhash import near_duplicate_report
 from scanloom.llm.packing import pack, tokenised_pieces
 from scanloom.llm.quality import quality_rules
 from scanloom.llm.sharding import shard_rows
@@ -93,3 +94,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_words(documents(spark, sf_dir), ["doc_id"]).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_minhash_near_dedup")
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_report(documents(spark, sf_dir))
