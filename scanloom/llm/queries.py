@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.llm import lm
 from scanloom.llm.bpe import decode, encode
 from scanloom.llm.common import documents, tail_bucket
 from scanloom.llm.minhash import near_duplicate_report
@@ -99,3 +100,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_near_dedup")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(documents(spark, sf_dir))
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = tail_bucket("doc_id", 10) == 0
+    model = lm.train(docs.filter(~held_out))
+    return lm.score(docs, model, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
