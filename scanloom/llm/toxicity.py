@@ -90,7 +90,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         model.bias[1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
         return model
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-    grams, per_word = subwords(list(vocabulary))
+    spelled = list(vocabulary)
+    parts = [subwords(spelled[at:at + 8192]) for at in range(0, len(spelled), 8192)]
+    grams, per_word = np.concatenate([g.astype(np.int32) for g, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
     first = np.cumsum(per_word) - per_word
     words = np.fromiter((vocabulary[w] for ws in split for w in ws), np.int64)
     doc_sizes = np.array([len(ws) for ws in split])
