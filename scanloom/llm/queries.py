@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scanloom.llm import lm
 from scanloom.llm.bpe import decode, encode
 from scanloom.llm.common import documents, tail_bucket
+from scanloom.llm.knn import scaled_vectors, top_k
 from scanloom.llm.minhash import near_duplicate_report
 from scanloom.llm.packing import pack, tokenised_pieces
 from scanloom.llm.quality import quality_rules
@@ -109,3 +111,20 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lm.train(docs.filter(~held_out))
     return lm.score(docs, model, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op6_voronoi_top_k", """
+    with v as (
+        select vec_id, list_transform(embedding, x -> floor(1024 * cast(x as double))) as e from embeddings
+        where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    scored as (
+        select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) as score
+        from v as q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)
+    select query_id, cast(rank as integer) as rank, vec_id, score
+    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10""")
+def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = scaled_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
