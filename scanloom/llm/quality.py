@@ -19,13 +19,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_SPLIT), "")
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation, symbols and boilerplate, each on one line; a blank line never fails.
+def line_fails(line: Column, words: Column) -> Column:
+    """Punctuation, navigation, symbols and boilerplate, each on one line of ``words`` words; a blank line never fails.
 
     Fails: no sentence mark at the end of a word; more than one doubled exclamation or question mark in five words;
     more than one navigation separator in ten words; more than one symbol in five words; a short boilerplate line.
     """
-    words = F.size(words_of(line))
     unmarked = ~line.rlike("[.!?…。](?=[\"'”»)\\]]*([\\x20\\x09-\\x0D]|$))")
     shouted = F.regexp_count(line, F.lit("[!?]{2,}")) * 5 > words
     navigation = F.regexp_count(line, F.lit("[|»›•]")) * 10 > words
@@ -49,19 +48,18 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("__n", F.size("__words")))
     n, some = F.col("__n"), F.greatest(F.col("__n") - 2, F.lit(0))
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    windows = F.arrays_zip(*(F.slice("__words", k, some).alias(f"w{k}") for k in (1, 2, 3)), places.alias("at"))
+    windows = F.arrays_zip(F.arrays_zip(*(F.slice("__words", k, some).alias(f"w{k}") for k in (1, 2, 3))).alias("w"), places.alias("at"))
+    counted = F.transform("__lines", lambda line: F.struct(line.alias("line"), F.size(words_of(line)).alias("n")))
     step = (step.withColumns({
         "__sorted": F.sort_array(windows),
-        "__worded": F.filter("__lines", lambda line: line.rlike("[^\\x20\\x09-\\x0D]")),
-        "__judged": F.transform("__lines", lambda line: F.struct(line.alias("line"), line_fails(line).alias("fails")))}))
+        "__counted": counted}))
     # equal windows are neighbours; both of each equal pair are repeats, and each covers three words
-    def pair(i: Column) -> Column:
-        a, b = F.get(F.col("__sorted"), i), F.get(F.col("__sorted"), i + 1)
-        same = (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]) & (a["w3"] == b["w3"])
-        return F.when(same, F.array(a["at"], b["at"])).otherwise(F.array().cast("array<int>"))
-    pairs = F.when(n >= 4, F.flatten(F.transform(F.sequence(F.lit(0), n - 4), pair))).otherwise(F.array().cast("array<int>"))
-    good = F.filter("__judged", lambda x: ~x["fails"])
-    step = (step.withColumn("__repeats", F.array_distinct(pairs))
+    step = step.withColumns({
+        "__pairs": F.filter(F.arrays_zip(F.col("__sorted").alias("x"), F.slice("__sorted", 2, some).alias("y")), lambda p: p["x"]["w"] == p["y"]["w"]),
+        "__worded": F.filter("__counted", lambda x: x["n"] > 0).getField("line"),
+        "__good": F.filter("__counted", lambda x: ~line_fails(x["line"], x["n"])).getField("line")})
+    repeats = F.array_distinct(F.concat(F.col("__pairs").getField("x").getField("at"), F.col("__pairs").getField("y").getField("at")))
+    step = (step.withColumn("__repeats", repeats)
             .withColumns({
                 "n_words": n.cast("long"),
                 "word_chars": F.length(F.array_join("__words", "")).cast("long"),
@@ -69,8 +67,8 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
                 "n_dup_lines": (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long"),
                 "n_repeat_words": F.size(F.array_distinct(F.concat(
                     "__repeats", F.transform("__repeats", lambda p: p + 1), F.transform("__repeats", lambda p: p + 2)))).cast("long"),
-                "cleaned": F.array_join(F.transform(good, lambda x: x["line"]), "\n")}))
-    left = F.length(F.array_join(words_of(F.col("cleaned")), ""))
+                "cleaned": F.array_join("__good", "\n")}))
+    left = F.when(F.size("__good") == F.size("__lines"), F.col("word_chars")).otherwise(F.length(F.array_join(words_of(F.col("cleaned")), "")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return (step.withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (100 * (F.col("word_chars") - left) <= MAX_LOST * F.col("word_chars")))
