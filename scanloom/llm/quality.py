@@ -25,7 +25,7 @@ def line_fails(line: Column, words: Column) -> Column:
     Fails: no sentence mark at the end of a word; more than one doubled exclamation or question mark in five words;
     more than one navigation separator in ten words; more than one symbol in five words; a short boilerplate line.
     """
-    unmarked = ~line.rlike("[.!?…。](?=[\"'”»)\\]]*([\\x20\\x09-\\x0D]|$))")
+    unmarked = ~line.rlike("[.!?…。][\"'”»)\\]]*([\\x20\\x09-\\x0D]|$)")
     shouted = F.regexp_count(line, F.lit("[!?]{2,}")) * 5 > words
     navigation = F.regexp_count(line, F.lit("[|»›•]")) * 10 > words
     symbols = F.regexp_count(line, F.lit("[#*$%&<>]")) * 5 > words

@@ -70,7 +70,34 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", r"""
+    with words as (
+        select doc_id, coalesce(text, '') as t, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w
+        from documents),
+    windows as (select doc_id, p, w[p:p + 2] as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as p from words)),
+    repeated as (
+        select doc_id, count(distinct p + o) as n
+        from (select doc_id, p, count(*) over (partition by doc_id, k) as c from windows), (values (0), (1), (2)) as v(o) where c > 1 group by doc_id),
+    lines as (
+        select doc_id, line, [x for x in regexp_split_to_array(line, '[\x20\x09-\x0D]+') if x <> ''] as w
+        from (select doc_id, unnest(string_split(t, chr(10))) as line from words)),
+    judged as (
+        select doc_id, line, length(array_to_string(w, '')) as chars,
+               not regexp_matches(line, '[.!?…。]["''”»)\]]*([\x20\x09-\x0D]|$)') or len(regexp_extract_all(line, '[!?]{2,}')) * 5 > len(w)
+               or len(regexp_extract_all(line, '[|»›•]')) * 10 > len(w) or len(regexp_extract_all(line, '[#*$%&<>]')) * 5 > len(w)
+               or len(w) <= 20 and regexp_matches(lower(line), 'all rights reserved|licensed under|released under the|cookie (policy|settings)|privacy policy|terms of (use|service)|enable javascript|lorem ipsum')
+               as fails
+        from lines where len(w) > 0),
+    by_doc as (
+        select doc_id, count(*) - count(distinct line) as dup, coalesce(sum(chars) filter (fails), 0) as lost from judged group by doc_id),
+    base as (
+        select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+               coalesce(dup, 0) as n_dup_lines, coalesce(n, 0) as n_repeat_words, coalesce(lost, 0) as lost,
+               len(w) < 50 or 100 * coalesce(n, 0) > 50 * len(w) as base_failed
+        from words left join repeated using (doc_id) left join by_doc using (doc_id))
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not base_failed and 100 * lost <= 30 * word_chars as kept
+    from base""")
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "cleaned")
 
@@ -81,17 +108,17 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op8_substring_dedup", """
+@query("op8_substring_dedup", r"""
     with words as (
-        select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents),
+        select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
     windows as (
-        select doc_id, at, array_to_string(w[at:at + 19], ' ') as s
-        from (select doc_id, w, unnest(range(1, len(w) - 18)) as at from words)),
-    ranked as (select doc_id, at, row_number() over (partition by s order by doc_id, at) as n from windows),
-    gone as (select distinct doc_id, unnest(range(at, at + 20)) as at from ranked where n > 1),
+        select doc_id, p, array_to_string(w[p:p + 19], ' ') as s
+        from (select doc_id, w, unnest(range(1, len(w) - 18)) as p from words)),
+    ranked as (select doc_id, p, row_number() over (partition by s order by doc_id, p) as n from windows),
+    gone as (select distinct doc_id, unnest(range(p, p + 20)) as p from ranked where n > 1),
     kept as (
-        select doc_id, string_agg(word, ' ' order by at) as t
-        from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as at from words) anti join gone using (doc_id, at) group by doc_id)
+        select doc_id, string_agg(word, ' ' order by p) as t
+        from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from words) anti join gone using (doc_id, p) group by doc_id)
     select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
     from words left join (select doc_id, count(*) as n from gone group by doc_id) using (doc_id) left join kept using (doc_id)""")
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +126,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op10_minhash_near_dedup")
+@query("op10_minhash_near_dedup", r"""
+    with recursive words as (
+        select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[\x20\x09-\x0D]+') if x <> ''] as w
+        from documents),
+    shingles as (
+        select distinct doc_id, array_to_string(w[p:p + 4], ' ') as s
+        from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) as p from words)),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b using (s) where a.doc_id <> b.doc_id group by all),
+    links as (
+        select a, b from shared join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+    reached(doc_id, r) as (select a, b from links union select reached.doc_id, b from reached join links on r = a)
+    select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id, doc_id <= coalesce(m, doc_id) as kept
+    from words left join sizes using (doc_id) left join (select doc_id, min(r) as m from reached group by doc_id) using (doc_id)""")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(documents(spark, sf_dir))
 
@@ -115,8 +156,8 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_voronoi_top_k", """
     with v as (
-        select vec_id, list_transform(embedding, x -> floor(1024 * cast(x as double))) as e from embeddings
-        where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        select vec_id, [floor(1024 * cast(x as double)) for x in embedding] as e from embeddings
+        where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
     scored as (
         select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) as score
         from v as q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)
