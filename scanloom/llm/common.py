@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,34 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.Record
             if batch.num_rows:
                 yield from step(batch)
     return df.mapInArrow(run, schema)
+
+
+def by_groups(dealt: DataFrame, keys: list[str], step: Callable[[pa.Table], pa.RecordBatch], schema: str, block_bytes: int = 1 << 22) -> DataFrame:
+    """Apply ``step`` to tables of about ``block_bytes`` that hold whole groups. ``dealt`` is partitioned and sorted by ``keys``.
+
+    Many small groups make one call; a group is held whole, so its size must be bounded.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size < block_bytes:
+                continue
+            table = pa.Table.from_batches(held)
+            edge = np.zeros(max(0, table.num_rows - 1), bool)
+            for key in keys:
+                column = table.column(key).to_numpy()
+                edge |= column[1:] != column[:-1]
+            edges = np.flatnonzero(edge) + 1
+            if not len(edges):
+                continue
+            yield step(table.slice(0, int(edges[-1])))
+            rest = table.slice(int(edges[-1])).combine_chunks()
+            held, size = rest.to_batches(), 0
+        if held:
+            table = pa.Table.from_batches(held)
+            if table.num_rows:
+                yield step(table)
+    return dealt.mapInArrow(run, schema)

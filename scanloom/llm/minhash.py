@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import LOWEST, arrow_map, doc_key, staged, text_tag
+from scanloom.llm.common import LOWEST, arrow_map, by_groups, doc_key, staged, text_tag
 from scanloom.llm.repeats import Spans, mixed
 from scanloom.llm.substring import word_hashes
 
@@ -139,22 +139,32 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
              .select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "info", "component")
              .join(classes.select("id", "info", "lanes"), ["id", "info"]))
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, info, comps, block = (table.column(c).to_numpy() for c in ("id", "info", "component", "block"))
-        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        lanes = table.column("lanes").combine_chunks().values.to_numpy().reshape(len(ids), -1)
-        sizes = info & 0xFFFFFFFF
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        got: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in left.tolist():
-            js = right[(right > i) | (one != two)]
-            js = js[(comps[js] != comps[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= PERCENT * np.maximum(sizes[js], sizes[i]))]
-            if len(js):
-                js = js[(lanes[js] == lanes[i]).sum(1) >= AGREE]
-                got.append((np.full(len(js), i), js))
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        """All pairs of all groups of the table at once: each row with the one d places further in its group, d = 1, 2, …"""
+        bucket, one, two, block, ids, info, comps = (table.column(c).to_numpy() for c in ("bucket", "one", "two", "block", "id", "info", "component"))
+        lanes = table.column("lanes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        sizes, same = info & 0xFFFFFFFF, one == two
+        new = (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        group = np.concatenate([[0], np.cumsum(new)])
+        rows, got, d = np.arange(len(ids)), [], 0
+        while len(rows):
+            d += 1
+            rows = rows[rows + d < len(ids)]
+            rows = rows[group[rows + d] == group[rows]]
+            i, j = rows, rows + d
+            fit = ((comps[i] != comps[j]) & (same[i] | (block[i] != block[j]))
+                   & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j])))
+            i, j = i[fit], j[fit]
+            for at in range(0, len(i), 1 << 16):
+                x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                good = (lanes[x] == lanes[y]).sum(1) >= AGREE
+                got.append((x[good], y[good]))
         a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": ids[a], "a_info": info[a], "b": ids[b], "b_info": info[b]})
-    return dealt.groupBy("bucket", "one", "two").applyInArrow(compare, "a long, a_info long, b long, b_info long").distinct()
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[a], info[a], ids[b], info[b])], ["a", "a_info", "b", "b_info"])
+
+    keys = ["bucket", "one", "two"]
+    return (by_groups(dealt.repartition(*keys).sortWithinPartitions(*keys, "block", "id", "info"), keys, compare,
+                      "a long, a_info long, b long, b_info long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

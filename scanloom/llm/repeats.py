@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import arrow_map, doc_key, staged, text_tag
+from scanloom.llm.common import arrow_map, by_groups, doc_key, staged, text_tag
 
 BASE = 0x9E3779B97F4A7C15
 TILE = 1 << 17  # symbols hashed at a time
@@ -260,28 +260,8 @@ def _settled(packed: DataFrame, unit: Unit) -> DataFrame:
         got = merged(found_keys[order], found[order], width)
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in got], ["key", "place", "end"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size < BLOCK_BYTES:
-                continue
-            table = pa.Table.from_batches(held)
-            anchor, part = (table.column(c).to_numpy() for c in ("anchor", "part"))
-            edges = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
-            if not len(edges):
-                continue
-            yield settle(table.slice(0, int(edges[-1])))
-            held = table.slice(int(edges[-1])).to_batches()
-            size = sum(b.nbytes * b.num_rows // max(1, batch.num_rows) for b in held)
-        if held:
-            table = pa.Table.from_batches(held)
-            if table.num_rows:
-                yield settle(table)
-    dealt = packed.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(run, "key long, place long, end long")
+    keys = ["anchor", "part"]
+    return by_groups(packed.repartition(*keys).sortWithinPartitions(*keys), keys, settle, "key long, place long, end long", BLOCK_BYTES)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
