@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import LOWEST, arrow_map, by_groups, doc_key, staged, text_tag
+from scanloom.llm.common import LOWEST, arrow_map, doc_key, staged, text_tag
 from scanloom.llm.repeats import Spans, mixed
 from scanloom.llm.substring import word_hashes
 
@@ -18,7 +20,9 @@ PERCENT = 75  # similarity from which documents are linked
 # 0.9999 at 0.75, 0.99999 at 0.8.
 HALF, WIDTH = 12, 2
 AGREE = 20  # of the 48 minhashes that a compared pair must share; at similarity 0.75 fewer come with 1 in 10 million
-BLOCK = 2048  # members of a table key compared in one task
+BLOCK = 512  # documents that one task looks up among the others of their cluster
+PART = 65_536  # others of a cluster that one task holds against them
+CHUNK = 2048  # others compared at a time
 
 _DRAWS = np.random.default_rng(75).integers(0, 1 << 63, (2, 2 * HALF * WIDTH), np.int64).astype(np.uint64)
 
@@ -110,8 +114,8 @@ def components(links: DataFrame) -> DataFrame:
     label of their label; each round is a written table, and rounds end when no label moves."""
     edges = staged(links.select("a", "b").union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b")).distinct(), "edges")
     labels = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+    labels = staged(labels, "labels")
     while True:
-        labels = staged(labels, "labels")
         spread = (edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
                   .withColumnRenamed("a", "id"))
         jump = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
@@ -122,57 +126,107 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("id", "component")
 
 
-def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that share a table key, are in different components so far, and agree on enough minhashes.
+def _clusters(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster, id, info, component, minor): documents that share a table key with one of another component so far.
 
-    Only keys that hold several components are looked at. Their members, ordered by set size, are compared in blocks;
-    a key with more than BLOCK members is spread over all pairs of its blocks. Only pairs that pass are emitted.
+    A cluster holds all documents that keys of several components connect. Its minor documents are those outside of its
+    largest component; every pair of different components has one.
     """
     own = Window.partitionBy("bucket")
-    mixed_keys = (shared.select("bucket", "id", "info").join(labels, "id", "left")
-                  .withColumn("component", F.coalesce("component", "id"))
-                  .withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own), "members": F.count("*").over(own)})
-                  .filter("low < high")
-                  .withColumn("block", F.floor((F.row_number().over(own.orderBy(_size("info"), "id")) - 1) / BLOCK))
-                  .withColumn("blocks", F.ceil(F.col("members") / BLOCK)))
-    dealt = (mixed_keys.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "info", "component")
-             .join(classes.select("id", "info", "lanes"), ["id", "info"]))
-
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        """All pairs of all groups of the table at once: each row with the one d places further in its group, d = 1, 2, …"""
-        bucket, one, two, block, ids, info, comps = (table.column(c).to_numpy() for c in ("bucket", "one", "two", "block", "id", "info", "component"))
-        lanes = table.column("lanes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        sizes, same = info & 0xFFFFFFFF, one == two
-        new = (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        group = np.concatenate([[0], np.cumsum(new)])
-        rows, got, d = np.arange(len(ids)), [], 0
-        while len(rows):
-            d += 1
-            rows = rows[rows + d < len(ids)]
-            rows = rows[group[rows + d] == group[rows]]
-            i, j = rows, rows + d
-            fit = ((comps[i] != comps[j]) & (same[i] | (block[i] != block[j]))
-                   & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j])))
-            i, j = i[fit], j[fit]
-            for at in range(0, len(i), 1 << 16):
-                x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                good = (lanes[x] == lanes[y]).sum(1) >= AGREE
-                got.append((x[good], y[good]))
-        a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[a], info[a], ids[b], info[b])], ["a", "a_info", "b", "b_info"])
-
-    keys = ["bucket", "one", "two"]
-    return (by_groups(dealt.repartition(*keys).sortWithinPartitions(*keys, "block", "id", "info"), keys, compare,
-                      "a long, a_info long, b long, b_info long").distinct())
+    apart = staged(shared.select("bucket", "id", "info").join(labels, "id", "left")
+                   .withColumn("component", F.coalesce("component", "id"))
+                   .withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own), "first": F.min("id").over(own)})
+                   .filter("low < high").select("first", "id", "info", "component").distinct(), "apart")
+    clusters = components(apart.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    members = apart.select("id", "info", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
+    main = (members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+            .groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("members")))
+    return members.join(main, "cluster").select("cluster", "id", "info", "component", "members", (F.col("component") != F.col("main.component")).alias("minor"))
+
+
+def _links_across(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links between different components of a cluster, found in the task that compares; no pair leaves it unlinked.
+
+    Minor documents are dealt to blocks of BLOCK, their cluster's documents to parts of PART; a task streams one part
+    past one block. Pairs must fit in size and agree on AGREE minhashes, then the full sets decide. Once a document is
+    linked to a component, the task compares it with no more of that component.
+    """
+    numbered = (clusters.filter("minor").select("cluster", "id", "info")
+                .withColumn("block", F.floor((F.row_number().over(Window.partitionBy("cluster").orderBy("id", "info")) - 1) / BLOCK)))
+    blocks = numbered.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"))
+    placed = (clusters.join(numbered, ["cluster", "id", "info"], "left").join(blocks, "cluster")
+              .withColumn("parts", F.ceil(F.col("members") / PART)).withColumn("tag", F.shiftright("info", 32)))
+    texts = docs.select(F.col("key").alias("id"), "tag", "__text")
+
+    def sets(batch: pa.RecordBatch):
+        keep = ["cluster", "id", "component", "block", "blocks", "parts"]
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            found = [shingles(t) for t in part.column("__text").to_pylist()]
+            lanes = [(minhashes(f) >> np.uint64(48)).astype(np.uint16).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(lanes, pa.binary())],
+                                             [*keep, "shingles", "lanes"])
+
+    found = arrow_map(placed.join(texts, ["id", "tag"]).select("cluster", "id", "component", "block", "blocks", "parts", "__text"), sets,
+                      "cluster long, id long, component long, block long, blocks long, parts long, shingles binary, lanes binary")
+    columns = ["cluster", "block", "part", "role", "id", "component", "shingles", "lanes"]
+    both = F.explode(F.array(*(F.lit(r) for r in (0, 1))))
+    dealt = (found.withColumn("role", both).filter("role = 1 or block is not null")
+             .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("role") == 0, F.col("parts")).otherwise(F.col("blocks")) - 1)))
+             .withColumn("part", F.when(F.col("role") == 0, F.col("copy")).otherwise(F.pmod(F.xxhash64("id"), "parts")))
+             .withColumn("block", F.when(F.col("role") == 0, F.col("block")).otherwise(F.col("copy")))
+             .select(*columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, minors, linked = None, [], []
+        for batch in batches:
+            got: list[tuple[int, int]] = []
+            head = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "block", "part", "role"))))
+            ids, comps = (batch.column(c).to_numpy() for c in ("id", "component"))
+            sets = [np.frombuffer(v, np.uint64) for v in batch.column("shingles").to_pylist()]
+            lanes = np.frombuffer(b"".join(batch.column("lanes").to_pylist()), np.uint16).reshape(len(ids), -1)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            start = 0
+            while start < len(head):
+                end = start + 1
+                while end < len(head) and end - start < CHUNK and head[end] == head[start]:
+                    end += 1
+                if head[start][:3] != group:
+                    group, minors, linked = head[start][:3], [], []
+                if head[start][3] == 0:
+                    minors += [(int(ids[r]), int(comps[r]), sets[r], lanes[r]) for r in range(start, end)]
+                    linked += [{int(comps[r])} for r in range(start, end)]
+                else:
+                    for (own, _, mine, lane), done in zip(minors, linked):
+                        n = sizes[start:end]
+                        fit = 100 * np.minimum(n, len(mine)) >= PERCENT * np.maximum(n, len(mine))
+                        for known in done:
+                            fit &= comps[start:end] != known
+                        some = start + np.flatnonzero(fit)
+                        some = some[(lanes[some] == lane).sum(1) >= AGREE]
+                        if not len(some):
+                            continue
+                        theirs = np.concatenate([sets[r] for r in some.tolist()])
+                        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                        shared = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+                        for r in some[100 * shared >= PERCENT * (len(mine) + sizes[some] - shared)].tolist():
+                            if int(comps[r]) not in done:
+                                done.add(int(comps[r]))
+                                got.append((own, int(ids[r])))
+                start = end
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["a", "b"])
+
+    keys = ["cluster", "block", "part"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "role", "id").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(key, tag, n_shingles, component): one row per row of ``docs``.
 
     Documents of one shingle set form a class, represented by its smallest id. Representatives are entered into all
-    tables; each is compared with its keys' smallest id, and after the components of those links, with every member of
-    another component it shares a key with. Documents without words are linked with nothing. Rows of one id count as
+    tables; each is compared with its keys' smallest id, and after the components of those links, with the documents of
+    other components that shared keys connect it with. Documents without words are linked with nothing. Rows of one id count as
     one document for components; a null id is the smallest. Chance of missing a link at the threshold: 1 in 10,000.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -194,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     likely = lead.join(lanes("b"), ["b", "b_info"]).join(lanes("a"), ["a", "a_info"]).filter(agree >= AGREE)
     links = staged(confirmed(likely.select("a", "a_info", "b", "b_info"), keyed), "links")
     found = components(links)
-    more = staged(confirmed(_apart(shared, found, classes), keyed), "links")
+    more = staged(_links_across(_clusters(shared, found), keyed), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     return (sketched.select("key", "tag", "n", "set1", "set2")

@@ -29,6 +29,13 @@ def rows():
     return out
 
 
+def test_heavily_edited_copies(spark, tmp_path):
+    """Copies of one base, many of them farther apart than the threshold: chains decide."""
+    base = prose(rng, 120, 10**6)
+    docs = [(i, edited(base, rng.randrange(0, 7))) for i in rng.sample(range(1000), 150)]
+    assert result(QUERIES["op10_minhash_near_dedup"](spark, write_documents(spark, tmp_path, docs)).collect()) == brute(docs)
+
+
 def brute(docs):
     sets = []
     for i, t in docs:
@@ -54,9 +61,10 @@ def result(out):
     return sorted((low(r["doc_id"]), r["n_shingles"], low(r["component_id"]), r["kept"]) for r in out)
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_equals_all_pairs(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize("block,part,chunk", [(512, 65_536, 2048), (3, 7, 4)])
+def test_equals_all_pairs(spark, tmp_path, monkeypatch, block, part, chunk):
+    for name, value in (("BLOCK", block), ("PART", part), ("CHUNK", chunk)):
+        monkeypatch.setattr(minhash, name, value)
     docs = rows()
     assert result(QUERIES["op10_minhash_near_dedup"](spark, write_documents(spark, tmp_path, docs)).collect()) == brute(docs)
 
