@@ -137,6 +137,3 @@ def listing_contract(df: DataFrame, cells: list[str]) -> DataFrame:
     return df.select(F.array(*[F.col(c).cast("string") for c in cells]).alias("data"),
                      F.struct("row_id", "row_class").alias("attrs"))
 
-
-def required_level(name: str) -> int:
-    return level(name)

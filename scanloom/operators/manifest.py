@@ -20,23 +20,20 @@ def unique_targets(files: DataFrame, folder: str, name: str, order: list[str]) -
     Each file takes the first free number of plus signs not below its own, earlier files first, so a
     suffixed name can meet a real one (``a+.x`` beside two ``a.x``). Names equal up to those signs form a
     family. Level by level, all files asking for level p or more get consecutive slots from p by arrival;
-    what does not fit below the next level present asks again there. Families are counted first: beyond
-    ``WINDOW_LIMIT`` rows numbering is range-partitioned, so a huge family stays distributed. There are few
-    levels: names have at most 255 characters.
+    what does not fit below the next level present asks again there. Numbering is range-partitioned, so a huge
+    family stays distributed. There are few levels: names have at most 255 characters.
     """
     stem, separator, extension = names.split_extension(name)
     bare = F.regexp_replace(stem, r"\++$", "")
     family = [folder, "_base"]
     asks = cut_lineage(files.withColumn("_plus", (F.length(stem) - F.length(bare)).cast("long"))
                        .withColumn("_base", F.concat(bare, separator, extension)))
-    counts = asks.groupBy(*family).agg(F.count(F.lit(1)).alias("_rows"), F.collect_set("_plus").alias("_levels"))
-    seen = counts.agg(F.max("_rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_levels"))))).first()
-    largest, levels = seen[0], seen[1] or []
+    levels = [r[0] for r in asks.select("_plus").distinct().orderBy("_plus").collect()]
     settled, overflow = None, None
     for place, plus in enumerate(levels):
         pool = asks.where(F.col("_plus") == plus)
         pool = pool if overflow is None else pool.unionByName(overflow)
-        ranked = row_numbers(pool, family, order, "_n", largest=largest).withColumn("_slot", F.col("_n") + (plus - 1)).drop("_n")
+        ranked = row_numbers(pool, family, order, "_n").withColumn("_slot", F.col("_n") + (plus - 1)).drop("_n")
         last = place == len(levels) - 1
         fits = ranked if last else ranked.where(F.col("_slot") < levels[place + 1])
         overflow = None if last else ranked.where(F.col("_slot") >= levels[place + 1]).drop("_slot")

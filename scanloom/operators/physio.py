@@ -424,7 +424,8 @@ def denoise(voxel: DataFrame, regressor: DataFrame) -> DataFrame:
 
     The design of a slice is constant, linear and quadratic time and its regressors (z-scored). Constant and time
     stay in the data, and so does the last regressor. One image row of one slice is solved per group (its size
-    is one row of voxels times the frames), with the slice's design sent to each of its rows.
+    is one row of voxels times the frames), with the slice's design sent to each of its rows. The fit takes the
+    frames that have both; an image frame without design keeps its values, design frames without image are not used.
     """
     rows = voxel.select("acq_id", "z", "y", "x", "t", "v")
     place = {n: i for i, n in enumerate(REGRESSORS)}
@@ -440,7 +441,9 @@ def denoise(voxel: DataFrame, regressor: DataFrame) -> DataFrame:
         if image.empty or model.empty:
             return pd.DataFrame({c: [] for c in ("acq_id", "x", "y", "z", "t", "v", "variance_reduced")})
         x = model.pivot(index="t", columns="k", values="value").sort_index()
-        y = image.pivot(index="t", columns="x", values="v").sort_index()
+        whole = image.pivot(index="t", columns="x", values="v").sort_index()
+        both = whole.index.intersection(x.index)
+        x, y = x.loc[both], whole.loc[both]
         t = np.arange(len(x), dtype=float)[:, None]
         drift = np.hstack([t, t ** 2])
         full = np.hstack([np.ones((len(x), 1)), (drift - drift.mean(0)) / drift.std(0), x.to_numpy()])
@@ -449,7 +452,8 @@ def denoise(voxel: DataFrame, regressor: DataFrame) -> DataFrame:
         clean = data - full[:, 3:-1] @ beta[3:-1]
         before = data.var(axis=0, ddof=1)
         reduced = (before - clean.var(axis=0, ddof=1)) / before
-        out = pd.DataFrame(clean, index=y.index, columns=y.columns).stack().rename("v").reset_index()
+        whole.loc[both] = clean
+        out = whole.stack().rename("v").reset_index()
         out["variance_reduced"] = out["x"].map(dict(zip(y.columns, reduced)))
         for c in ("acq_id", "y", "z"):
             out[c] = image[c].iloc[0]

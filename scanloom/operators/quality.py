@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions.names import slice_color
-from scanloom.operators.ordering import difference, group_median, near
+from scanloom.operators.ordering import group_median, near
 from scanloom.operators.polyfit import polyfit, polyval
 from scanloom.session import cut_lineage
 
@@ -200,7 +200,3 @@ def zscore_series(reports: DataFrame) -> DataFrame:
         "report_id", F.concat(F.lit("slice"), F.col("slice").cast("string")).alias("key"),
         slice_color("slice", "n").alias("color"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
-
-def relative_change(df: DataFrame, value: str, name: str) -> DataFrame:
-    """First difference per acquisition, 0 at the first frame."""
-    return difference(df, ["acq_id"], "t", value, name)

@@ -181,9 +181,10 @@ def _(tb):
     return lines.groupBy("acq_id", "slice").agg(F.count(F.lit(1)).alias("n"))
 
 
-@series("S14_distortion_lines", """with gr as (select cast(floor(vec_id / 100) as bigint) as acq_id, floor(vec_id / 50)::int % 2 + 1 as run, vec_id % 50 as i, (case when vec_id % 10 < 3 then 0 else 1000 end + vec_id % 7)::double as b from embeddings),
+@series("S14_distortion_lines", """with gr as (select cast(floor(vec_id / 100) as bigint) as acq_id, floor(vec_id / 50)::int % 2 + 1 as run, vec_id % 50 as i, (case when vec_id % 10 < 3 then 0 else 1000 end + vec_id % 7)::double as b, embedding[21:23] as v from embeddings),
     n as (select acq_id, count(*) as n from gr where run = 1 and b < 10 and i < 5 group by 1)
-    select acq_id, 'bval' as file, 0 as position, string_agg(printf('%.1f', b), ' ' order by run, i) as line from gr where i >= 5 group by 1
+    select acq_id, 'bvec' as file, a as position, string_agg(printf('%.4f', v[a + 1]::double), ' ' order by run, i) as line from gr, range(0, 3) q(a) where i >= 5 group by 1, 3
+    union all select acq_id, 'bval' as file, 0 as position, string_agg(printf('%.1f', b), ' ' order by run, i) as line from gr where i >= 5 group by 1
     union all select acq_id, 'index', 0, string_agg(case when run = 1 then '1' else cast(n + 1 as varchar) end, ' ' order by run, i) from gr join n using (acq_id) where i >= 5 group by 1
     union all select acq_id, 'acqparams', run * 100000 + k, case when run = 1 then '0 1 0 0.0384' else '0 -1 0 0.0384' end from (select acq_id, run, row_number() over (partition by acq_id, run order by i) - 1 as k from gr where b < 10 and i < 5)""")
 def _(tb):
@@ -194,7 +195,7 @@ def _(tb):
     folder = scratch_folder(tb.spark, "distortion")
     writers.write_distortion_inputs(out["gradients"], out["index"], runs, folder)
     read = tb.spark.read.text(folder)
-    lines = writers.distortion_lines(out["gradients"], out["index"], runs).where("file != 'bvec'")
+    lines = writers.distortion_lines(out["gradients"], out["index"], runs)
     return lines.join(read.select("acq_id", "file", F.col("value").alias("line")), ["acq_id", "file", "line"], "left_semi").select(
         "acq_id", "file", "position", "line")
 
@@ -221,7 +222,23 @@ def _(tb):
 @query("R2_stable_files_stream", _EQUAL)
 def _(tb):
     seen = _observe(_stream(tb, "events")).select("item", "poll_ts", "size", F.col("poll_ts").cast("timestamp").alias("mod_time"))
-    return _drain(stability.stable_files(seen), "files")
+    return _drain(stability.stable_files(seen), "files").select("item", "poll_ts", "size")
+
+
+@query("R2_unchanged_files_stream", _EQUAL)
+def _(tb):
+    """The looks arrive in several micro-batches, with a restart between; a file's mod_time never changes."""
+    looks = _observe(tb.base("events")).withColumn("mod_time", F.expr("timestamp'2020-01-01' + make_dt_interval(item)"))
+    cuts = looks.selectExpr("percentile_approx(unix_micros(cast(poll_ts as timestamp)), array(0.3, 0.5, 0.8)) as c").first()[0]
+    folder, at = scratch_folder(tb.spark, "looks"), F.unix_micros(F.col("poll_ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = looks.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = tb.spark.readStream.schema(looks.schema).parquet(f"{folder}/in").select("item", "poll_ts", "size", "mod_time")
+        running = (stability.stable_files(stream, forget_after="60 days").writeStream.format("parquet").option("path", f"{folder}/out")
+                   .option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start())
+        running.awaitTermination()
+    return tb.spark.read.schema(stability.FILES_OUTPUT).parquet(f"{folder}/out").select("item", "poll_ts", "size")
 
 
 @query("R2_stable_files_batch", _EQUAL)

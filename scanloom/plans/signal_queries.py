@@ -55,12 +55,13 @@ def _(tb):
     return quality.slice_stats(quality.global_free(_means(tb))).select("acq_id", "z", _r("mean").alias("mean"), _r("std").alias("std"))
 
 
-@series("A9_median_displacement", """with d as (select acq_id, t, v - lag(v) over (partition by acq_id order by t) as d from voxel where x = 1 and y = 2 and z = 3)
-    select acq_id, round(median(d), 6) as median, round(max(d), 6) as high from d where d is not null group by 1""")
+@series("A9_median_displacement", """with d as (select acq_id, x, y, z, t, v - lag(v) over (partition by acq_id, x, y, z order by t) as d from voxel)
+    select acq_id, x, y, z, round(median(d), 6) as median, round(max(d), 6) as high from d where d is not null group by 1, 2, 3, 4""")
 def _(tb):
-    step = near(tb.voxel.where("x = 1 and y = 2 and z = 3"), ["acq_id"], "t", 1, 0, lambda w: {"d": F.col("v") - F.lag("v").over(w)}, block=16)
-    high = step.groupBy("acq_id").agg(_r(F.max("d")).alias("high"))
-    return group_median(step, ["acq_id"], "d").join(high, "acq_id").select("acq_id", _r("median").alias("median"), "high")
+    place = ["acq_id", "x", "y", "z"]
+    step = near(tb.voxel, place, "t", 1, 0, lambda w: {"d": F.col("v") - F.lag("v").over(w)})
+    high = step.groupBy(*place).agg(_r(F.max("d")).alias("high"))
+    return group_median(step, place, "d").join(high, place).select(*place, _r("median").alias("median"), "high")
 
 
 @series("A10_frame_flags", """select acq_id, t, bool_or(p <= 96) as bad from (select acq_id, t, z, max(v) as p from voxel group by 1, 2, 3) q group by 1, 2""")
@@ -175,10 +176,10 @@ def _(tb):
     return quality.motion_series(reports).withColumn("x", F.col("x").cast("long"))
 
 
-@series("Q12_zscore_series", f"with {_BRAIN} select acq_id as report_id, 'slice' || z as key, t as x, round_even(zs, 1) as y from p2")
+@series("Q12_zscore_series", f"with {_BRAIN} select acq_id as report_id, 'slice' || z as key, t as x, round_even(zs, 1) as y from p2 union all select acq_id, 'slice' || z, f, 0 from (select distinct acq_id, z from p2) q, range(0, {_SKIP}) r(f)")
 def _(tb):
     rows = quality.zscore_series(_reports(tb).withColumnRenamed("acq_id", "report_id"))
-    return rows.where(F.col("x") >= _SKIP).select("report_id", "key", "x", "y")
+    return rows.select("report_id", "key", "x", "y")  # frames the analysis skips are charted as 0
 
 
 # despiking and repairs ---------------------------------------------------------------------------
@@ -256,17 +257,18 @@ def _runs(tb):
     return tb.voxel.select(F.floor(F.col("acq_id") / 2).alias("acq_id"), (F.col("acq_id") % 2 + 1).cast("int").alias("run"), "x", "y", "z", "t", "v")
 
 
-@series("T12_polarity_pair", """with v as (select cast(floor(acq_id / 2) as bigint) as acq_id, acq_id % 2 + 1 as run, x, y, z, t, v from voxel where z < 3),
+@series("T12_polarity_pair", """with v as (select cast(floor(acq_id / 2) as bigint) as acq_id, acq_id % 2 + 1 as run, x, y, z, t, v from (select * from voxel union all select * replace (4 as z) from voxel where z = 0) q),
     gr as (select cast(floor(vec_id / 100) as bigint) as acq_id, floor(vec_id / 50)::int % 2 + 1 as run, vec_id % 50 as i, case when vec_id % 10 < 3 then 0 else 1000 end + vec_id % 7 as b from embeddings),
     ch as (select acq_id, run, i, row_number() over (partition by acq_id, run order by i) - 1 as k from gr where b < 10 and i < 5),
     n as (select acq_id, count(*) as n from ch where run = 1 group by 1),
     b0 as (select v.acq_id, x, y, z, case when v.run = 1 then k else k + n.n end as t, v from v join ch on ch.acq_id = v.acq_id and ch.run = v.run and ch.i = v.t join n on n.acq_id = v.acq_id where true),
     dw as (select acq_id, x, y, z, case when run = 1 then t - 5 else t - 5 + 45 end as t, v from v where t >= 5)
-    select 'b0' as part, acq_id, x, y, z, t, round(v, 6) as v from b0 union all select 'b0', acq_id, x, y, 3, t, 0 from b0 where z = 2 and false
+    select 'b0' as part, acq_id, x, y, z, t, round(v, 6) as v from b0 union all select 'b0', acq_id, x, y, 5, t, 0 from b0 where z = 4 and false
     union all select 'dwi', acq_id, x, y, z, t, round(v, 6) from dw
-    union all select 'b0', acq_id, x, y, 3, t, 0 from b0 where z = 2 union all select 'dwi', acq_id, x, y, 3, t, 0 from dw where z = 2""")
+    union all select 'b0', acq_id, x, y, 5, t, 0 from b0 where z = 4 union all select 'dwi', acq_id, x, y, 5, t, 0 from dw where z = 4""")
 def _(tb):
-    out = repair.polarity_pair(_runs(tb).where("z < 3"), _gradients(tb), 5)
+    runs = _runs(tb)  # four slices and the first once more: an odd number gets an empty slice
+    out = repair.polarity_pair(runs.unionByName(runs.where("z = 0").withColumn("z", F.lit(4).cast(runs.schema["z"].dataType))), _gradients(tb), 5)
     pick = lambda name: out[name].select(F.lit(name).alias("part"), "acq_id", "x", "y", "z", "t", _r("v").alias("v"))
     return pick("b0").unionAll(pick("dwi"))
 
@@ -317,10 +319,10 @@ def _(tb):
     return convolve(e, ["acq_id"], "t", "value", kernel, "y").select("event_id", _r("y", 5).alias("y"))
 
 
-@query("J14_range_join", """select a.event_id as event_id, count(*) as n, round(stddev_pop(b.value), 5) as sd from events a join events b on a.event_type = b.event_type and a.event_type = 'click'
+@query("J14_range_join", """select a.event_id as event_id, count(*) as n, round(stddev_pop(b.value), 5) as sd from events a join events b on a.event_type = b.event_type
     and epoch(b.ts) between epoch(a.ts) - 1800 and epoch(a.ts) + 1800 group by 1""")
 def _(tb):
-    e = tb.base("events").where("event_type = 'click'").select("event_type", "event_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    e = tb.base("events").select("event_type", "event_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     spans = e.select("event_type", "event_id", (F.col("at") - 1800).alias("low"), (F.col("at") + 1800).alias("high"))
     met = range_join(spans, e.select("event_type", F.col("at").alias("point"), "value"), ["event_type"], "low", "high", "point", 1800.0)
     return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), _r(F.stddev_pop("value"), 5).alias("sd"))
@@ -416,9 +418,9 @@ def _parts(tb):
     return physio.slice_times(tb.timing), physio.chopped(aligned, "resp_wave"), physio.chopped(aligned, "card_trig")
 
 
-@series("P1_align", f"with {_AL} select acq_id, kind, idx, round(time, 6) as time from al where kind <> 'resp_trig'")
+@series("P1_align", f"with {_AL} select acq_id, kind, idx, case when kind <> 'resp_trig' then round(time, 6) end as time from al")
 def _(tb):
-    return physio.align(tb.signal, tb.timing).where("kind <> 'resp_trig'").select("acq_id", "kind", "idx", _r("time").alias("time"))
+    return physio.align(tb.signal, tb.timing).select("acq_id", "kind", "idx", _r("time").alias("time"))
 
 
 @query("P2_slice_window", """with o as (select distinct l_orderkey as acq_id, l_linenumber * 0.25::double as onset from lineitem), g as (select acq_id, onset, onset - lag(onset) over (partition by acq_id order by onset) as gap from o)
@@ -527,16 +529,25 @@ def _(tb):
     return physio.regressors(tb.signal, tb.timing).withColumn("value", _r("value", 4))
 
 
-@series("P11_validity", f"""with {_AL}, tr2 as (select acq_id, time - lag(time) over (partition by acq_id order by time) as gap from al where kind = 'card_trig'),
-    g as (select acq_id, avg(case when 60.0::double / gap between 30 and 200 then 1.0::double else 0 end) as good from tr2 where gap is not null group by 1), c as (select acq_id, stddev_pop(value) as sd from signal where kind = 'card_wave' group by 1)
-    select acq_id, round(sd, 5) as card_std, round(good, 6) as good_rate from c join g using (acq_id)""")
+_PULSE = """tr2 as (select acq_id, time - lag(time) over (partition by acq_id order by time) as gap from al where kind = 'card_trig'),
+    g as (select acq_id, avg(case when 60.0::double / gap between 30 and 200 then 1.0::double else 0 end) as good from tr2 where gap is not null group by 1),
+    c as (select acq_id, stddev_pop(value) as sd from signal where kind = 'card_wave' group by 1)"""
+_BANDS = """w as (select acq_id, idx, value, count(*) over (partition by acq_id) as n from signal where kind = 'resp_wave'),
+    k as (select unnest(range(2, 251)) as k), sp as (select acq_id, k, sqrt(sum(value * cos(2 * pi() * ((k * idx) % n) / n))**2 + sum(value * sin(2 * pi() * ((k * idx) % n) / n))**2) as a from w, k where k < 20 or k > 230 group by 1, 2)"""
+
+
+@series("P11_validity", f"""with {_AL}, {_PULSE}, {_BANDS}, b as (select acq_id, avg(case when k < 20 then a end) / avg(case when k > 230 then a end) as ratio from sp group by 1),
+    r as (select acq_id, nframes, sd, good, ratio from (select distinct acq_id, nframes from timing) t left join c using (acq_id) left join g using (acq_id) left join b using (acq_id))
+    select acq_id, round(sd, 5) as card_std, round(good, 6) as good_rate, round(ratio, 5) as ratio,
+      nframes >= {physio.MIN_FRAMES} and (coalesce(sd > {physio.MIN_CARD_STD} and good > {physio.MIN_GOOD_RATE}, false) or coalesce(ratio > {physio.MIN_RESP_RATIO}, false)) as valid from r""")
 def _(tb):
-    return physio.validity(tb.signal, tb.timing).select("acq_id", _r("card_std", 5).alias("card_std"), _r("good_rate").alias("good_rate"))
+    return physio.validity(tb.signal, tb.timing).select("acq_id", _r("card_std", 5).alias("card_std"), _r("good_rate").alias("good_rate"),
+                                                        _r("ratio", 5).alias("ratio"), "valid")
 
 
-@series("A14_pulse_quality", f"with {_AL}, c as (select acq_id, stddev_pop(value) as sd from signal where kind = 'card_wave' group by 1) select acq_id, round(sd, 5) as card_std from c")
+@series("A14_pulse_quality", f"with {_AL}, {_PULSE} select acq_id, round(sd, 5) as card_std, round(good, 6) as good_rate from c left join g using (acq_id)")
 def _(tb):
-    return physio.pulse_quality(physio.align(tb.signal, tb.timing)).select("acq_id", _r("card_std", 5).alias("card_std"))
+    return physio.pulse_quality(physio.align(tb.signal, tb.timing)).select("acq_id", _r("card_std", 5).alias("card_std"), _r("good_rate").alias("good_rate"))
 
 
 @series("A15_band_ratio", """with w as (select acq_id, idx, value, count(*) over (partition by acq_id) as n from signal where kind = 'resp_wave'),
@@ -553,20 +564,15 @@ def _(tb):
                                                 F.col("id") % 2 == 0, ("scanner X",)).alias("outcome"))
 
 
-def _image(tb):
-    """Voxels of the first 18 frames whose acquisition also has a recording."""
-    return tb.voxel.where("t < 18")
-
-
 @series("P13_denoise")
 def _(tb):
-    return physio.denoise(_image(tb), physio.regressors(tb.signal, tb.timing)).select(
+    return physio.denoise(tb.voxel, physio.regressors(tb.signal, tb.timing)).select(
         "acq_id", "x", "y", "z", "t", _r("v", 4).alias("v"), _r("variance_reduced", 4).alias("variance_reduced"))
 
 
 @series("A22_slice_regression")
 def _(tb):
-    out = physio.denoise(_image(tb), physio.regressors(tb.signal, tb.timing))
+    out = physio.denoise(tb.voxel, physio.regressors(tb.signal, tb.timing))
     return out.groupBy("acq_id", "z").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("variance_reduced"), 4).alias("variance_reduced"))
 
 

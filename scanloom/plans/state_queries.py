@@ -53,20 +53,23 @@ def _(tb):
     return out
 
 
-@query("A19_acquisition_files", """select l_orderkey as exam, l_linenumber as series, cast(l_suppkey % 2 as int) as acq, count(*) as n,
-    string_agg('img' || lpad(cast(l_partkey as varchar), 7, '0') || lpad(cast(l_suppkey as varchar), 6, '0'), ',' order by l_partkey, l_suppkey) as paths from lineitem group by 1, 2, 3""")
+@query("A19_acquisition_files", """with f as (select l_orderkey as exam, l_linenumber as series, cast(l_suppkey % 2 as int) as acq,
+      'img' || lpad(cast(l_partkey as varchar), 7, '0') || lpad(cast(l_suppkey as varchar), 6, '0') as path from lineitem),
+    n as (select *, cast(floor((row_number() over (partition by exam, series, acq order by path) - 1) / 10000) as bigint) as part from f)
+    select exam, series, acq, part, count(*) as n, string_agg(path, ',' order by path) as paths from n group by 1, 2, 3, 4""")
 def _(tb):
     files = tb.base("lineitem").selectExpr(
         "l_orderkey as exam", "l_linenumber as series", "cast(l_suppkey % 2 as int) as acq",
         "concat('img', lpad(cast(l_partkey as string), 7, '0'), lpad(cast(l_suppkey as string), 6, '0')) as path")
-    return rollup.acquisition_files(files).select("exam", "series", "acq", F.size("paths").cast("long").alias("n"),
+    return rollup.acquisition_files(files).select("exam", "series", "acq", "part", F.size("paths").cast("long").alias("n"),
                                                   F.array_join("paths", ",").alias("paths"))
 
 
-@query("A20_recording_files", "select o_orderdate as ts, string_agg('f' || lpad(cast(o_orderkey as varchar), 8, '0'), ',' order by o_orderkey) as names from orders group by 1")
+@query("A20_recording_files", """with n as (select o_orderdate as ts, o_orderkey as k, cast(floor((row_number() over (partition by o_orderdate order by o_orderkey) - 1) / 10000) as bigint) as part from orders)
+    select ts, part, string_agg('f' || lpad(cast(k as varchar), 8, '0'), ',' order by k) as names from n group by 1, 2""")
 def _(tb):
     files = tb.base("orders").selectExpr("o_orderdate as ts", "concat('f', lpad(cast(o_orderkey as string), 8, '0')) as name")
-    return rollup.recording_files(files).select("ts", F.array_join("names", ",").alias("names"))
+    return rollup.recording_files(files).select("ts", "part", F.array_join("names", ",").alias("names"))
 
 
 @query("A23_id_lists", """select 'sess' as type, cast(floor(id / 10000) as bigint) as part, count(*) as n, string_agg(cast(id as varchar), ',' order by cast(id as varchar)) as ids from session group by 1, 2

@@ -39,16 +39,16 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/scanloom-{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder the cluster names and read it back.
 
     Used where two consumers must see exactly the same partition numbering, also after an executor is
-    lost. The folder comes from ``spark.checkpoint.dir``; ``fallback_dir`` serves sessions without one.
+    lost. The folder comes from ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)

@@ -138,18 +138,25 @@ def parse_scan_responses(captures: DataFrame, text: str = "value") -> DataFrame:
 
     Captures without a success status have no responses. A repeated label keeps its last value.
     """
-    block = r"W: # Dicom-Data-Set\nW: # Used TransferSyntax: ([^\n]+)\n((?:W: \([^\n]+\) [^\n]+\n){2,})"
-    line = r"\(([0-9a-f]{4}),([0-9a-f]{4})\) (\w{2}) ([^\n]+?)#[ ]*(\d+),[ ]*(\d+) (\w+)\n"
-    done = captures.where(F.col(text).rlike(r"DIMSE Status [^\n]* Success"))
-    found = done.select("*", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(block), 1).alias("syntax"), F.regexp_extract_all(text, F.lit(block), 2).alias("body"))).alias("position", "_b"))
-    pairs = F.arrays_zip(F.regexp_extract_all("_b.body", F.lit(line), 7).alias("label"),
-                         F.regexp_extract_all("_b.body", F.lit(line), 4).alias("raw"))
-    latest = F.reverse(pairs)
+    # fixed values of the format: the header of a data set, the line that names its syntax, the mark of an element
+    header, syntax, element, comment = "# Dicom-Data-Set", "# Used TransferSyntax: ", "W: (", "#"
+    lines = F.split(F.col(text), "\n")
+    done = captures.where(F.exists(lines, lambda l: l.contains("DIMSE Status ") & l.endswith("Success")))
+    sets = F.filter(F.transform(F.slice(F.split(F.col(text), header), 2, 1 << 30), lambda part: F.split(part, "\n")),
+                    lambda own: own[1].contains(syntax) & (F.size(F.filter(own, lambda l: l.startswith(element))) > 1))
+    found = done.select("*", F.posexplode(sets).alias("position", "_lines"))
+
+    def described(line: Column) -> Column:
+        """An element is tag, type and value, then the comment mark, lengths and the label."""
+        note = F.substring_index(line, comment, -1)
+        value = F.substr(line, F.lit(len("W: (0000,0000) XX ") + 1), F.length(line) - F.length(note) - len("W: (0000,0000) XX ") - 1)
+        return F.struct(F.substring_index(note, " ", -1).alias("label"), value.alias("raw"))
+    elements = F.filter("_lines", lambda l: l.startswith(element) & l.contains(comment))
+    latest = F.reverse(F.transform(elements, described))
     labels = F.transform(latest, lambda p: p["label"])
     once = F.filter(latest, lambda p, i: F.array_position(labels, p["label"]) == i + 1)
     tags = F.map_from_entries(F.transform(once, lambda p: F.struct(p["label"], F.btrim(p["raw"], F.lit("[]= ")))))
-    return found.select(*captures.columns, "position", F.col("_b.syntax").alias("transfer_syntax"), tags.alias("tags"))
+    return found.select(*captures.columns, "position", F.substring_index(F.col("_lines")[1], syntax, -1).alias("transfer_syntax"), tags.alias("tags"))
 
 
 def read_scan_responses(spark: SparkSession, path: str) -> DataFrame:

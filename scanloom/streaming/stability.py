@@ -12,34 +12,58 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scanloom.operators.ordering import near, row_numbers, running_total
 
 SERIES_OUTPUT = "item long, poll_ts timestamp_ntz, size long"
+FILES_OUTPUT = "item long, poll_ts timestamp_ntz, size long, mod_time timestamp"
 
 
-def stable_series(observations: DataFrame, key: str = "item") -> DataFrame:
+def _looks(observations: DataFrame, late_after: str) -> DataFrame:
+    """Event time is when a look was taken: a file that no longer changes is still looked at."""
+    return observations.withColumn("_polled", F.col("poll_ts").cast("timestamp")).withWatermark("_polled", late_after)
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values("poll_ts", kind="stable", ignore_index=True)
+
+
+def _expire(state: GroupState, looks: pd.DataFrame, forget_after: pd.Timedelta) -> None:
+    last = looks["_polled"].max() + forget_after
+    state.setTimeoutTimestamp(max(last.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+
+
+def stable_series(observations: DataFrame, key: str = "item", late_after: str = "1 hour", forget_after: str = "1 day") -> DataFrame:
     """Series whose image count stopped increasing between two looks (item, poll_ts, size).
 
     ``observations`` is a stream of key, poll_ts, size and optionally ``received``. The first look never emits; a
     larger count re-arms; a transfer whose ``received`` differs from the count stays armed (NULL: not checked). Limit the files per
-    trigger so that one batch holds few looks at the same series.
+    trigger so that one batch holds few looks at the same series. A series not looked at for ``forget_after`` is forgotten.
     """
     has_received = "received" in observations.columns
+    keep = pd.Timedelta(forget_after)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, armed = state.get if state.exists else (None, True)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("poll_ts").itertuples(index=False):
-            if size is None:
-                size = row.size
-            elif row.size > size:
-                size, armed = row.size, True
-            elif armed and (not has_received or pd.isna(row.received) or row.received == size):
-                out.append((k[0], row.poll_ts, size))
-                armed = False
-        state.update((int(size), bool(armed)))
-        if out:
-            yield pd.DataFrame(out, columns=["item", "poll_ts", "size"])
-
-    return observations.groupBy(key).applyInPandasWithState(
-        step, SERIES_OUTPUT, "size long, armed boolean", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        looks = _in_order(frames)
+        known, armed = state.get if state.exists else (None, True)
+        peak = looks["size"].cummax()
+        before = peak.shift()
+        if known is not None:
+            peak, before = peak.clip(lower=known), before.fillna(known).clip(lower=known)
+        up = before.isna() | (looks["size"] > before)
+        run = up.cumsum()
+        whole = looks["received"].isna() | (looks["received"] == peak) if has_received else True
+        ready = looks.assign(size=peak, _run=run)[~up & whole]
+        found = ready.drop_duplicates("_run")
+        if not armed:
+            found = found[found["_run"] > 0]
+        last = int(run.iloc[-1])
+        state.update((int(peak.iloc[-1]), bool((armed or last > 0) and not (found["_run"] == last).any())))
+        _expire(state, looks, keep)
+        if len(found):
+            yield found.assign(item=k[0])[["item", "poll_ts", "size"]]
+
+    return _looks(observations, late_after).groupBy(key).applyInPandasWithState(
+        step, SERIES_OUTPUT, "size long, armed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stable_series_batch(observations: DataFrame, key: str = "item", order: tuple[str, ...] = ("poll_ts",)) -> DataFrame:
@@ -52,33 +76,43 @@ def stable_series_batch(observations: DataFrame, key: str = "item", order: tuple
     return marked.where(~F.col("_up") & F.col("_was_up")).select(key, "poll_ts", F.col("_peak").alias("size"))
 
 
-def stable_files(observations: DataFrame, key: str = "item", late_after: str = "0 seconds") -> DataFrame:
-    """Files whose size is equal in two looks (item, poll_ts, size); emitted files stay silent until they change.
+def stable_files(observations: DataFrame, key: str = "item", since: object = None, late_after: str = "1 hour",
+                 forget_after: str = "1 day") -> DataFrame:
+    """Files whose size is equal in two looks (item, poll_ts, size, mod_time); emitted files stay silent until they change.
 
-    The watermark on ``mod_time`` is the high-water mark: it survives restarts in the checkpoint, and looks at
-    files older than it are ignored.
+    ``mod_time`` is plain data: a file that stopped growing keeps it while newer files arrive. ``since`` is the
+    high-water mark, see ``high_water_mark``; looks at files changed before it are ignored. A file not looked at for
+    ``forget_after`` (emitted or gone from the listing) is forgotten.
     """
+    keep = pd.Timedelta(forget_after)
+
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, armed = state.get if state.exists else (None, True)
-        mark = state.getCurrentWatermarkMs()
-        out = []
-        for row in pd.concat(list(frames)).sort_values("poll_ts").itertuples(index=False):
-            if row.mod_time.value // 1_000_000 < mark:
-                continue
-            if size is not None and row.size == size:
-                if armed:
-                    out.append((k[0], row.poll_ts, row.size))
-                armed = False
-            else:
-                armed = True
-            size = row.size
-        if size is not None:
-            state.update((int(size), bool(armed)))
-        if out:
-            yield pd.DataFrame(out, columns=["item", "poll_ts", "size"])
-
-    return observations.withWatermark("mod_time", late_after).groupBy(key).applyInPandasWithState(
-        step, SERIES_OUTPUT, "size long, armed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        looks = _in_order(frames)
+        known, armed = state.get if state.exists else (None, True)
+        before = looks["size"].shift()
+        if known is not None:
+            before = before.fillna(known)
+        equal = looks["size"] == before
+        changed = (~equal).shift(fill_value=bool(armed))
+        state.update((int(looks["size"].iloc[-1]), not bool(equal.iloc[-1])))
+        _expire(state, looks, keep)
+        found = looks[equal & changed]
+        if len(found):
+            yield found.assign(item=k[0])[["item", "poll_ts", "size", "mod_time"]]
+
+    if since is not None:
+        observations = observations.where(F.col("mod_time") >= F.lit(since))
+    return _looks(observations, late_after).groupBy(key).applyInPandasWithState(
+        step, FILES_OUTPUT, "size long, armed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def high_water_mark(emitted: DataFrame):
+    """Latest ``mod_time`` written so far (None before the first): it moves only with what was emitted, and survives
+    a restart because it is read from the output. Pass it to ``stable_files`` when a query is started."""
+    return emitted.agg(F.max("mod_time")).first()[0]
 
 
 def stable_files_batch(observations: DataFrame, key: str = "item", order: tuple[str, ...] = ("poll_ts",)) -> DataFrame:

@@ -63,15 +63,18 @@ def test_unique_targets_equal_the_sequential_rule(spark):
             name = stem + "+" + dot + ext
         taken.add((folder, name))
         want[i] = f"{folder}/{name}"
-    for limit in (1_000_000, 0):  # plain windows, and range-partitioned numbering
-        from scanloom.operators import ordering
-        before, ordering.WINDOW_LIMIT = ordering.WINDOW_LIMIT, limit
-        try:
-            rows = manifest.unique_targets(spark.createDataFrame(files, "id int, folder string, name string"), "folder", "name", ["id"])
-            assert {r.id: r.target for r in rows.collect()} == want
-        finally:
-            ordering.WINDOW_LIMIT = before
+    rows = manifest.unique_targets(spark.createDataFrame(files, "id int, folder string, name string"), "folder", "name", ["id"])
+    assert {r.id: r.target for r in rows.collect()} == want
 
 
 def test_partial(spark):
     assert functools.reduce(lambda a, b: a and b, [one(spark, names.slice_color(F.lit(0), F.lit(1)), x=1) == "#1010ff"])
+
+
+def test_cells_that_read_as_numbers(spark):
+    """Sign, digits, fraction, width letter, one-digit exponent; everything else is split in runs."""
+    yes = ["7", "-7", "7.", "7.25", "7f", "7D", "7.5e2", "7e", "12d3"]
+    no = ["+7", "7.5.1", "7e22", "f7", "7 1", "-", ".5", "7dd", "1f12"]
+    rows = spark.createDataFrame([(c,) for c in yes + no], "c string")
+    one = {r.c for r in rows.select("c", sortkey.natural_key("c")["tokens"].alias("t")).collect() if len(r.t) == 1 and r.t[0].string == r.c and not r.t[0].text}
+    assert one == set(yes)

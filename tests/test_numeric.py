@@ -195,6 +195,13 @@ def test_regressors_equal_numpy(spark):
                 assert np.allclose([clean[i, j, z, q][0] for q in range(nframes)], fixed[:, i * 2 + j], atol=1e-5)
                 assert clean[i, j, z, 0][1] == pytest.approx(gain[i * 2 + j], abs=1e-5)
 
+    # frames without design stay as they are and change nothing else
+    more = np.concatenate([d, rng.normal(100, 5, (3, 2, 3, 2))], 3)
+    vox, _ = frames(spark, more, np.ones(more.shape[:3], bool))
+    longer = {(r.x, r.y, r.z, r.t): (r.v, r.variance_reduced) for r in physio.denoise(vox, long).collect()}
+    assert all(np.allclose(longer[p], v) for p, v in clean.items())
+    assert all(longer[i, j, z, nframes + k][0] == more[i, j, z, nframes + k] for i, j, z, k in np.ndindex(3, 2, 3, 2))
+
 
 def test_band_ratio_over_several_blocks(spark):
     resp, _, _ = recording(8, 900)

@@ -66,12 +66,43 @@ def test_incomplete_transfer_is_tried_again(spark, tmp_path):
     assert [r.poll_ts for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [T0 + dt.timedelta(seconds=60)]
 
 
-def test_files_and_late_looks(spark, tmp_path):
-    rows = looks(2)
-    late = (0, T0 + dt.timedelta(seconds=600), 10 ** 6, T0 - dt.timedelta(days=1))
-    got = drive(spark, stability.stable_files, split(rows, [range(0, 6), range(6, 9)]) + [[late], [r for r in rows if (r[1] - T0).seconds // 30 >= 9]], tmp_path)
+def emitted(rows):
+    out, last = [], {}
+    for k, ts, size, _ in rows:
+        before, armed = last.get(k, (None, True))
+        if size == before and armed:
+            out.append((k, ts, size))
+        last[k] = (size, size != before)
+    return sorted(out)
+
+
+def test_unchanged_files_over_batches_and_restarts(spark, tmp_path):
+    """The older file keeps its mod_time while a newer one is looked at: neither is lost."""
+    start = [T0 + dt.timedelta(minutes=k) for k in range(6)]
+    rows = [(k, ts, size, start[k]) for k, ts, size, _ in looks(2)]
+    got = drive(spark, stability.stable_files, split(rows, [range(0, 2), range(2, 3), range(3, 7), range(7, 12)]), tmp_path)
+    assert got == emitted(rows)
     batch = stability.stable_files_batch(spark.createDataFrame(rows, DDL))
-    assert got == sorted((r.item, r.poll_ts, r.size) for r in batch.collect())  # the late look left no trace
+    assert got == sorted((r.item, r.poll_ts, r.size) for r in batch.collect())
+
+
+def test_mark_moves_on_emit_only(spark, tmp_path):
+    poll = lambda n: T0 + dt.timedelta(seconds=30 * n)
+    old, new = T0 - dt.timedelta(days=2), T0 - dt.timedelta(days=1)
+    out = lambda: spark.read.schema(stability.FILES_OUTPUT).parquet(f"{tmp_path}/out")
+    drive(spark, stability.stable_files, [[(1, poll(0), 5, new), (2, poll(0), 7, T0)], [(1, poll(1), 5, new), (2, poll(1), 8, T0)]], tmp_path)
+    mark = stability.high_water_mark(out())
+    assert mark == new  # file 2 was seen, but still grows
+    late = [(3, poll(2), 9, old), (3, poll(3), 9, old), (2, poll(2), 8, T0)]
+    got = drive(spark, lambda s: stability.stable_files(s, since=mark), [late], tmp_path)
+    assert got == [(1, poll(1), 5), (2, poll(2), 8)]  # older than the mark: ignored
+
+
+def test_state_expires(spark, tmp_path):
+    rows = [(k, T0, 5, T0) for k in range(3)]
+    far = [(9, T0 + dt.timedelta(days=5), 1, T0)]
+    again = [(0, T0 + dt.timedelta(days=5, seconds=30), 5, T0)]
+    assert drive(spark, stability.stable_files, [rows, far, far, again], tmp_path) == [(9, T0 + dt.timedelta(days=5), 1)]
 
 
 def test_quiet_containers_stream(spark, tmp_path):
