@@ -19,7 +19,7 @@ from scanloom.llm.repeats import mixed
 from scanloom.llm.substring import word_hashes
 
 BEGIN, END = np.uint64(0x6265_6769_6E00_0001), np.uint64(0x656E_6400_0000_0002)
-FLUSH = 1 << 21  # tokens combined before the shuffle
+FLUSH = 1 << 20  # tokens combined before the shuffle
 SALT = 8  # shards a context's followers are spread over, so no context lies in one task
 ESCAPE = 255  # counts are bytes; larger ones follow in a list of their own
 
@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         for row in range(batch.num_rows):
             held.append(tokens_of(texts[row].as_py()))
             size += len(held[-1])
-            if size >= 1 << 20 or row == batch.num_rows - 1:
+            if size >= 1 << 19 or row == batch.num_rows - 1:
                 part = batch.slice(start, len(held))
                 found = _lookups[key].score(held)
                 found["perplexity"] = 10 ** (-found["score"] / found["n_tokens"])

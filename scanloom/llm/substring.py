@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from scanloom.llm.repeats import Spans, Unit, mixed, without_repeats
 
 WIDTH, ANCHOR = 20, 3  # words
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 
 class WordHashes(dict):

@@ -48,7 +48,7 @@ def direct(rows):
     return sorted(out), p, count, context
 
 
-@pytest.mark.parametrize("flush", [1 << 21, 50])
+@pytest.mark.parametrize("flush", [1 << 20, 50])
 def test_equals_direct_computation(spark, tmp_path, monkeypatch, flush):
     monkeypatch.setattr(lm, "FLUSH", flush)
     out = QUERIES["op5_lm_scoring"](spark, write_documents(spark, tmp_path, ROWS)).collect()
