@@ -388,7 +388,7 @@ def validity(signal: DataFrame, timing: DataFrame, resp_dt: float = 0.04) -> Dat
 
 
 def attach_outcome(recorded, has_slice_order, scanner, found, valid, excluded: tuple[str, ...] = ()) -> Column:
-    """What a physio search reports for an epoch; NULL when it does not search at all."""
+    """What a physio search reports for an epoch; NULL when it does not search at all. The texts are fixed values."""
     skip = ~F.coalesce(has_slice_order, F.lit(False)) | F.coalesce(scanner.isin(*excluded) if excluded else F.lit(False), F.lit(False))
     return (F.when(skip, F.lit(None).cast("string")).when(~F.coalesce(recorded, F.lit(False)), "physio not recorded")
             .when(~F.coalesce(found, F.lit(False)), "no physio files found")

@@ -17,6 +17,9 @@ from scanloom.operators.rollup import code_number
 
 _ORDER = ("experiment", "subject", "session", "epoch", "dataset")
 
+#: Fixed value: what a job says after it was set back.
+RESET = "reset to pending"
+
 
 def merge_state(state: DataFrame, changes: DataFrame, keys: Sequence[str], delete: str | None = None) -> DataFrame:
     """Full-outer merge: changed columns win where the change row exists, ``delete`` drops rows.
@@ -280,7 +283,7 @@ def relaunch_jobs(jobs: DataFrame) -> DataFrame:
     """Flagged jobs that are neither running nor abandoned go back to pending."""
     hit = ~F.col("status").isin("running", "abandoned") & F.col("needs_rerun")
     return (jobs.withColumn("_hit", hit).withColumn("status", F.when(F.col("_hit"), "pending").otherwise(F.col("status")))
-            .withColumn("activity", F.when(F.col("_hit"), "reset to pending").otherwise(F.col("activity")))
+            .withColumn("activity", F.when(F.col("_hit"), RESET).otherwise(F.col("activity")))
             .withColumn("needs_rerun", F.col("needs_rerun") & ~F.col("_hit")).drop("_hit"))
 
 
@@ -288,7 +291,7 @@ def reset_jobs(jobs: DataFrame, task: str | None = None) -> DataFrame:
     """After a crash: running and failed jobs (of one task) go back to pending."""
     hit = F.col("status").isin("running", "failed") & (F.lit(True) if task is None else F.col("task") == task)
     return (jobs.withColumn("_hit", hit).withColumn("status", F.when(F.col("_hit"), "pending").otherwise(F.col("status")))
-            .withColumn("activity", F.when(F.col("_hit"), "reset to pending").otherwise(F.col("activity"))).drop("_hit"))
+            .withColumn("activity", F.when(F.col("_hit"), RESET).otherwise(F.col("activity"))).drop("_hit"))
 
 
 def reset_containers(containers: DataFrame) -> DataFrame:

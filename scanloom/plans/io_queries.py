@@ -177,8 +177,13 @@ def _(tb):
 
 @series("S13_regressor_legacy", "select acq_id, slice, 19::bigint as n from timing union all select distinct acq_id, -1, 4::bigint from timing")
 def _(tb):
-    lines = writers.legacy_lines(physio.regressors(tb.signal, tb.timing), _onsets(tb))
-    return lines.groupBy("acq_id", "slice").agg(F.count(F.lit(1)).alias("n"))
+    folder = scratch_folder(tb.spark, "regressors-legacy")
+    writers.write_regressors_legacy(physio.regressors(tb.signal, tb.timing), _onsets(tb), folder)
+    read = tb.spark.read.text(folder, wholetext=True).select("acq_id", F.explode(F.split("value", "# slice ")).alias("part"))
+    size = F.size(F.filter(F.split("part", "\n"), lambda line: line != ""))
+    head = F.col("part").startswith("#")
+    return read.select(F.col("acq_id").cast("long").alias("acq_id"), F.when(head, -1).otherwise(F.substring_index("part", "\n", 1).try_cast("int")).alias("slice"),
+                       size.cast("long").alias("n"))
 
 
 @series("S14_distortion_lines", """with gr as (select cast(floor(vec_id / 100) as bigint) as acq_id, floor(vec_id / 50)::int % 2 + 1 as run, vec_id % 50 as i, (case when vec_id % 10 < 3 then 0 else 1000 end + vec_id % 7)::double as b, embedding[21:23] as v from embeddings),
@@ -316,3 +321,13 @@ def _(tb):
     scans = e.where("event_type = 'view'").selectExpr("event_id as epoch_id", "psd", "ts as scan_ts")
     recordings = e.where("event_type = 'click'").selectExpr("psd", "cast(event_id as string) as name", "ts as rec_ts")
     return stability.attach_recordings(scans, recordings, 30, 600)
+
+
+@query("R9_earliest_recordings", """with m as (select a.event_id as epoch_id, cast(b.event_id as varchar) as name, b.ts as rec_ts from events a join events b on a.user_id % 10 = b.user_id % 10
+    and a.event_type = 'view' and b.event_type = 'click' and b.ts >= a.ts + interval 30 second and b.ts <= a.ts + interval 630 second)
+    select * from m where rec_ts = (select min(rec_ts) from m k where k.epoch_id = m.epoch_id)""")
+def _(tb):
+    e = tb.base("events").selectExpr("event_id", "event_type", "cast(user_id % 10 as string) as psd", "ts")
+    scans = e.where("event_type = 'view'").selectExpr("event_id as epoch_id", "psd", "ts as scan_ts")
+    recordings = e.where("event_type = 'click'").selectExpr("psd", "cast(event_id as string) as name", "ts as rec_ts")
+    return stability.earliest_recordings(stability.attach_recordings(scans, recordings, 30, 600)).select("epoch_id", "name", "rec_ts")

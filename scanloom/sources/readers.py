@@ -81,6 +81,7 @@ def parse_sidecars(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, files.where(~complete).select("name", "value")
 
 
+# fixed values: the field names of a report
 QA_SCHEMA = ("version double, tr double, `frame #` array<int>, transrot array<array<double>>, `mean displacement` array<double>, "
              "`relative displacement` array<double>, `max md` double, `median md` double, `temporal SNR (median)` double, "
              "`global mean signal` array<double>, `timeseries zscore` array<array<double>>, spikes array<array<int>>, "

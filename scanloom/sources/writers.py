@@ -37,6 +37,7 @@ def regressor_lines(regressors: DataFrame, onsets: DataFrame, notes: str = "") -
     rows = _cells(regressors, "%.5f").groupBy("acq_id", "frame").agg(F.collect_list(F.struct("slice", "k", "text")).alias("_c"))
     body = rows.select("acq_id", F.col("frame").cast("long").alias("position"), _joined("_c", ",").alias("line"))
     per = onsets.groupBy("acq_id").agg(F.array_sort(F.collect_list(F.struct("slice", "onset"))).alias("_o"))
+    # fixed values: the comment lines of the table
     head = F.concat(F.lit("#slice_onsets = [ "), F.array_join(F.transform("_o", lambda s: s["onset"].cast("string")), ","), F.lit(" ]"))
     names = F.array(*[F.lit(n) for n in REGRESSORS])
     titles = F.flatten(F.transform("_o", lambda s: F.transform(names, lambda n: F.concat(F.lit("slice"), s["slice"].cast("string"), n))))
@@ -62,6 +63,7 @@ def legacy_lines(regressors: DataFrame, onsets: DataFrame) -> DataFrame:
     head = per.join(shape, "acq_id")
     comment = lambda position, text: head.select("acq_id", F.lit(-1).alias("slice"), F.lit(position).cast("long").alias("position"), text.alias("line"))
     onset = F.array_join(F.transform("_o", lambda s: s["onset"].cast("string")), ",")
+    # fixed values: the comment lines of the text table
     size = F.format_string("# Full array shape: (%d, %d, %d)", "_n", F.lit(len(REGRESSORS)), F.size("_o"))
     slices = onsets.select("acq_id", F.col("slice").cast("int").alias("slice"), F.lit(-1).cast("long").alias("position"), F.format_string("# slice %d", "slice").alias("line"))
     return (comment(0, F.concat(F.lit("# slice_onsets = [ "), onset, F.lit(" ]"))).unionAll(comment(1, size))

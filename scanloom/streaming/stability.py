@@ -159,8 +159,15 @@ def quiet_containers(updates: DataFrame, gap: str = "30 seconds", delay: str = "
     return grouped.select("container_id", "first_update", "last_update", "n")
 
 
+def earliest_recordings(attached: DataFrame) -> DataFrame:
+    """Of each scan all files of its earliest recording."""
+    first = attached.groupBy("epoch_id").agg(F.min("rec_ts").alias("rec_ts"))
+    return attached.join(first, ["epoch_id", "rec_ts"], "left_semi")
+
+
 def attach_recordings(scans: DataFrame, recordings: DataFrame, lag_seconds: int = 30, wait_seconds: int = 60) -> DataFrame:
-    """Recordings of a scan arriving at most ``wait_seconds`` after it is looked for: (epoch_id, name, rec_ts).
+    """Recordings of a scan arriving at most ``wait_seconds`` after it is looked for: (epoch_id, name, rec_ts). Which
+    of them is the earliest is known when the bound has passed: apply ``earliest_recordings`` to the table written.
 
     ``scans``: epoch_id, psd, scan_ts; ``recordings``: psd, name, rec_ts. Both may be streams; the bound lets the
     state of both sides expire. Time buckets make it an equi-join.
