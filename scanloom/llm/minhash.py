@@ -110,20 +110,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable over ``links`` (a, b). Least labels spread along links and jump to the
-    label of their label; each round is a written table, and rounds end when no label moves."""
-    edges = staged(links.select("a", "b").union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b")).distinct(), "edges")
-    labels = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-    labels = staged(labels, "labels")
-    while True:
-        spread = (edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-                  .withColumnRenamed("a", "id"))
-        jump = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
-        moved = staged(spread.join(jump, "near").join(labels, "id")
-                       .select("id", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("moved")), "labels")
-        if moved.filter("moved").isEmpty():
-            return labels
-        labels = moved.select("id", "component")
+    """(id, component): the least id reachable over ``links`` (a, b).
+
+    In each round every vertex moves to its least neighbour's least neighbour, and edges are kept between the places
+    moved to; the least vertex of a component never moves. Rounds are written tables and end when no edge is left.
+    """
+    edges = staged(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "edges")
+    labels = staged(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("component", F.col("id")), "labels")
+    while not edges.isEmpty():
+        near = staged(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to")), "moves")
+        moves = staged(near.join(near.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "moves")
+        end = lambda c: moves.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
+        edges = staged(edges.join(end("a"), "a").join(end("b"), "b").filter("a_to != b_to")
+                       .select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "edges")
+        labels = staged(labels.join(moves.withColumnRenamed("id", "component"), "component", "left")
+                        .select("id", F.coalesce("to", "component").alias("component")), "labels")
+    return labels
 
 
 def _clusters(shared: DataFrame, labels: DataFrame) -> DataFrame:
