@@ -67,9 +67,11 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
                 "n_dup_lines": (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long"),
                 "n_repeat_words": F.size(F.array_distinct(F.concat(
                     "__repeats", F.transform("__repeats", lambda p: p + 1), F.transform("__repeats", lambda p: p + 2)))).cast("long"),
-                "cleaned": F.array_join("__good", "\n")}))
+                "cleaned": F.array_join("__good", "\n"),
+                # a filter on the result would otherwise be pushed below these columns, and compute them anew in itself
+                "__fixed": F.rand(0)}))
     left = F.when(F.size("__good") == F.size("__lines"), F.col("word_chars")).otherwise(F.length(F.array_join(words_of(F.col("cleaned")), "")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return (step.withColumn("base_failed", failed)
-            .withColumn("kept", ~F.col("base_failed") & (100 * (F.col("word_chars") - left) <= MAX_LOST * F.col("word_chars")))
+            .withColumn("kept", (F.col("__fixed") >= 0) & ~F.col("base_failed") & (100 * (F.col("word_chars") - left) <= MAX_LOST * F.col("word_chars")))
             .select(*[c for c in df.columns if c not in made or c == text], *made))
