@@ -21,6 +21,8 @@ class WordEncoder(dict):
     """Ids (little-endian uint32 bytes) of white-space separated words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row.
+    A special token's string in a text is that token, as in the library's own encoding of the text. Only words that
+    neither normalisation nor special tokens can tell apart by case share an entry (``plain``).
     A worker keeps the encoder between tasks; it starts anew when full.
     """
 
@@ -29,7 +31,17 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    @staticmethod
+    def plain(part: bytes) -> bool:
+        """Whether lower-casing first changes no ids: NFC leaves ASCII alone, and every special token holds ``<|``."""
+        return part.isascii() and b"<|" not in part
+
+    def words(self, text: str | None) -> list[bytes]:
+        data = (text or "").encode("utf-8", "replace")
+        if self.plain(data):
+            return data.lower().split()
+        return [w.lower() if self.plain(w) else w for w in data.split()]
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
@@ -43,7 +55,7 @@ class WordEncoder(dict):
                 self[word] = np.asarray(encoding.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        split = [self.words(t) for t in texts]
         short = [[w for w in words if len(w) <= CACHED_BYTES] for words in split]
         self.learn(set().union(*short))
         long = {w for words, kept in zip(split, short) if len(kept) < len(words) for w in words if len(w) > CACHED_BYTES}
