@@ -174,27 +174,32 @@ def match_labs(requests: DataFrame, groups: DataFrame, lab: str = "lab_id", cuto
 def shared_pieces(asks: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
     """All (lab, gid) pairs that can reach ``cutoff``, by the pigeonhole rule.
 
-    A ratio of ``cutoff`` on lengths a and b leaves at most d = (1 - cutoff) * (a + b) characters unmatched.
-    Cutting the lab into d + 1 pieces, one piece stays untouched and occurs in the gid, moved by at most d
-    places. Labs emit their pieces, gids emit the texts such pieces could have; they meet on equality.
+    A ratio of ``cutoff`` on lengths a and b takes m = ceil(cutoff * (a + b) / 2) matched characters and leaves
+    at most d = a + b - 2 m unmatched, a - m in the lab and b - m in the gid. Cutting the lab into d + 1 pieces,
+    one piece stays untouched and occurs in the gid, at most a - m places earlier and b - m later. Labs emit their pieces, gids emit the texts such pieces could have; they meet on equality. Labs
+    emit only for lengths that some gid has. Matching characters are a common subsequence, so the edit
+    distance is at most d as well; pairs beyond it go before anything is shuffled or scored.
     """
     stretch = cutoff / (2.0 - cutoff)
-    d = F.floor((1.0 - cutoff) * (F.col("a") + F.col("b")) + 1e-9).cast("int")
+    m = F.ceil(cutoff * (F.col("a") + F.col("b")) / 2 - 1e-9).cast("int")
+    d = (F.col("a") + F.col("b") - 2 * m).cast("int")
     partner = lambda n: F.sequence(F.greatest(F.lit(1), F.ceil(n * stretch - 1e-9).cast("int")),
                                    F.floor(n / stretch + 1e-9).cast("int"))
     pieces = F.explode(F.sequence(F.lit(0), F.col("d")))
     start = F.floor(F.col("i") * F.col("a") / (F.col("d") + 1)).cast("int")
     stop = F.floor((F.col("i") + 1) * F.col("a") / (F.col("d") + 1)).cast("int")
-    labs = (asks.where("lab != ''").withColumn("a", F.length("lab")).withColumn("b", F.explode(partner(F.col("a"))))
+    lengths = known.where("gid != ''").agg(F.collect_set(F.length("gid"))).scalar()
+    labs = (asks.where("lab != ''").withColumn("a", F.length("lab")).withColumn("b", F.explode(F.array_intersect(partner(F.col("a")), lengths)))
             .withColumn("d", d).withColumn("i", pieces)
             .withColumn("piece", F.substring(F.col("lab"), start + 1, stop - start)))
     gids = (known.where("gid != ''").withColumn("b", F.length("gid")).withColumn("a", F.explode(partner(F.col("b"))))
             .withColumn("d", d).withColumn("i", pieces)
-            .withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), start - F.col("d")), start + F.col("d"))))
+            .withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), start - F.col("a").cast("int") + m), start + F.col("b").cast("int") - m)))
             .where(F.col("at") + stop - start <= F.col("b"))
             .withColumn("piece", F.substring(F.col("gid"), F.col("at") + 1, stop - start)))
     keys = ["a", "b", "i", "piece"]
-    return labs.select("lab", *keys).join(gids.select("gid", *keys).distinct(), keys).select("lab", "gid").distinct()
+    met = labs.select("lab", "d", *keys).join(gids.select("gid", *keys).distinct(), keys)
+    return met.where(F.expr("levenshtein(lab, gid, d)") >= 0).select("lab", "gid").distinct()
 
 
 def ancestors(edges: DataFrame) -> DataFrame:

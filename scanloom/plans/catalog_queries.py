@@ -384,7 +384,7 @@ def _(tb):
 
 @query("J15_fuzzy_lab_match")
 def _(tb):
-    asks = tb.base("documents").select(F.lower(F.substring_index(F.col("text"), " ", 1)).alias("lab_id"))
+    asks = tb.base("documents").select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("lab_id")).distinct()
     groups = tb.base("benchmark").select(F.explode(F.split(F.lower("text"), r"\W+")).alias("gid")).distinct()
     return matching.match_labs(asks, groups)
 
