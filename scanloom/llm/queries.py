@@ -17,6 +17,7 @@ from scanloom.llm.minhash import near_duplicate_report
 from scanloom.llm.packing import pack, tokenised_pieces
 from scanloom.llm.quality import quality_rules
 from scanloom.llm.sharding import shard_rows
+from scanloom.llm.simhash import near_duplicate_report as simhash_report
 from scanloom.llm.substring import drop_repeated_words
 from scanloom.llm.suffix import drop_repeated_bytes
 from scanloom.llm.toxicity import FOLDS, fit, score
@@ -168,4 +169,9 @@ def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+@query("op13_simhash_near_dedup")
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_report(documents(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
