@@ -13,6 +13,7 @@ from scanloom.llm import lm
 from scanloom.llm.alignment import align
 from scanloom.llm.bpe import decode, encode
 from scanloom.llm.common import documents, tail_bucket
+from scanloom.llm.divergence import audit
 from scanloom.llm.knn import scaled_vectors, top_k
 from scanloom.llm.minhash import near_duplicate_report
 from scanloom.llm.packing import pack, tokenised_pieces
@@ -170,6 +171,41 @@ def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+@query("op11_divergence", r"""
+    with docs as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as t from documents),
+    words as (
+        select rid, lang, source, translate(unnest(regexp_extract_all(t, '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')),
+                                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from docs),
+    kept as (select lang, term from words group by all having count(distinct rid) >= 30),
+    v as (select lang, count(*) as v from kept group by all),
+    groups as (select distinct lang, source from docs),
+    sides as (select lang, source, false as whole from groups union all select distinct lang, '', true from groups),
+    counted as (
+        select lang, source, false as whole, term, count(*) as c from words join kept using (lang, term) group by all
+        union all select lang, '', true, term, count(*) from words join kept using (lang, term) group by all),
+    totals as (select lang, source, whole, sum(c) as n from counted group by all),
+    shares as (
+        select s.lang, s.source, s.whole, k.term, coalesce(c, 0) as c,
+               cast(1 + (1000000000::hugeint * (coalesce(c, 0) + 5)) // (coalesce(n, 0) + 5 * v) as bigint) as p
+        from sides s join kept k on s.lang = k.lang join v on v.lang = s.lang
+        left join counted x on x.lang = s.lang and x.source = s.source and x.whole = s.whole and x.term = k.term
+        left join totals t on t.lang = s.lang and t.source = s.source and t.whole = s.whole),
+    pairs as (
+        select a.lang, a.source, b.source as item,
+               coalesce((select sum(abs(x.p - y.p)) from shares x join shares y on x.lang = y.lang and x.term = y.term
+                         where not x.whole and not y.whole and x.lang = a.lang and x.source = a.source and y.source = b.source), 0) as value
+        from groups a join groups b on a.lang = b.lang and a.source <> b.source),
+    best as (
+        select x.lang, x.source, x.term as item, x.p - y.p as value
+        from shares x join shares y on x.lang = y.lang and x.term = y.term and y.whole where not x.whole and x.c > 0 and x.p > y.p),
+    ranked as (
+        select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+        union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) from best)
+    select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 50""")
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents(spark, sf_dir))
+
+
 @query("op12_alignment")
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
