@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 
 from scanloom.llm.common import arrow_map, staged
 
-BLOCK_LINKS = 1 << 21  # links of a block of documents; a document with more is a block of its own
+BLOCK_LINKS = 1 << 20  # links of a block of documents; a document with more is a block of its own
 BATCH_CHARS = 1 << 20  # texts encoded at a time; a longer text is encoded by itself
 SPACE = "▁"
+CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")  # a space where both tokenizers always begin a token
+CACHED, CACHED_CHARS = 600_000, 8_000_000  # parts that a worker remembers and their length; it starts anew when full
 
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
@@ -49,6 +53,9 @@ class Tokenizers:
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
         ids = np.arange(max(size, len(self.b_bytes))).astype("S6")
         self.written = {c: np.char.add(c, ids) for c in (b",", b"|", b";")}
+        self._forget()
+        # B never joins across such a space unless a piece holds one after something else
+        self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", self.b.id_to_piece(i)) for i in range(len(self.b_bytes)))
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -56,15 +63,62 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(SPACE, " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids by A and B of each text, none where the tokens are not the bytes of a space and the text."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # part -> row of the columns
+        self.chars, self.a_ids, self.b_ids = 0, np.empty(0, np.int32), np.empty(0, np.int32)
+        self.a_at, self.b_at, self.same = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, bool)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Enter new parts: their ids by A and B, and whether the tokens are the bytes of a space and the part."""
+        for at in range(0, len(parts), 4096):
+            some = parts[at:at + 4096]
+            found = ([e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)], self.b.encode(some, num_threads=1))
+            whole = [b" " + p.encode("utf-8", "replace") for p in some]
+            same, ids, ends = np.ones(len(some), bool), [], []
+            sizes = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+            for own, written, size in zip(found, (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes)):
+                flat = list(chain.from_iterable(own))
+                ids.append(np.array(flat, np.int32))
+                ends.append(np.cumsum(np.fromiter(map(len, own), np.int64, len(own))))
+                reached = np.append(0, np.cumsum(size[ids[-1]]))[ends[-1]]
+                if not np.array_equal(reached, sizes) or b"".join([written[i] for i in flat]) != b"".join(whole):
+                    same &= np.fromiter((b"".join([written[i] for i in x]) == w for x, w in zip(own, whole)), bool, len(own))
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            self.a_at, self.b_at = np.append(self.a_at, len(self.a_ids) + ends[0]), np.append(self.b_at, len(self.b_ids) + ends[1])
+            self.a_ids, self.b_ids, self.same = np.append(self.a_ids, ids[0]), np.append(self.b_ids, ids[1]), np.append(self.same, same)
+            self.chars += sum(map(len, some))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids, B's ids, A's per text, B's per text), none for empty texts and texts that the tokens do not spell.
+
+        A text's parts between cuts are encoded once and remembered, as neither tokenizer joins them; a text with a part
+        that is not spelled is tried as a whole.
+        """
+        parts = [CUT.split(t) if self.apart else [t] for t in texts]
+        new = [p for p in set().union(*parts) if p not in self.known]
+        if len(self.known) + len(new) > CACHED or self.chars > CACHED_CHARS:
+            self._forget()
+            new = list(set().union(*parts))
+        self._learn(new)
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        rows = np.fromiter((self.known[p] for own in parts for p in own), np.int64, int(n.sum()))
+        of = np.repeat(np.arange(len(parts)), n)
+        odd = np.unique(of[~self.same[rows]]).tolist()
+        if odd:
+            again = [texts[d] for d in odd]
+            self._learn([t for t in dict.fromkeys(again) if t not in self.known])
+            keep = ~np.isin(of, odd)
+            rows, of = np.append(rows[keep], [self.known[t] for t in again]), np.append(of[keep], odd)
+            order = np.argsort(of, kind="stable")
+            rows, of = rows[order], of[order]
+        spelled = self.same[rows] & np.fromiter(map(bool, texts), bool, len(texts))[of]
+        rows, of = rows[spelled], of[spelled]
         out = []
-        for text, x, y in zip(texts, a, self.b.encode(texts, num_threads=1)):
-            whole = b" " + text.encode("utf-8", "replace")
-            same = text and b"".join(map(self.a_bytes.__getitem__, x)) == whole == b"".join(map(self.b_bytes.__getitem__, y))
-            out.append((x, y) if same else ([], []))
-        return out
+        for ids, at in ((self.a_ids, self.a_at), (self.b_ids, self.b_at)):
+            size = at[rows + 1] - at[rows]
+            places = np.arange(int(size.sum())) + np.repeat(at[rows] - (np.cumsum(size) - size), size)
+            out += [ids[places].astype(np.int64), np.bincount(of, size, len(texts)).astype(np.int64)]
+        return out[0], out[2], out[1], out[3]
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
@@ -93,9 +147,7 @@ def group_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.n
 
 def aligned(pair: Tokenizers, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
     """Per text: tokens of A and B, groups, digest of the groups, and the linked id pairs (A's id << 32 | B's)."""
-    ids = pair.encode(texts)
-    a, b = (np.concatenate([np.empty(0, np.int64), *(np.asarray(d[k], np.int64) for d in ids)]) for k in (0, 1))
-    n_a, n_b = (np.fromiter((len(d[k]) for d in ids), np.int64, len(ids)) for k in (0, 1))
+    a, b, n_a, n_b = pair.encode(texts)
     out = [(0, 0, 0, "", np.empty(0, np.int64))] * len(texts)
     if not len(a):
         return out
