@@ -11,7 +11,7 @@ from scanloom.plans.signal_queries import _BRAIN, _DRIFT, _gradients, _reports,
 from scanloom.plans.state_queries import _NOW, _READY, _empty_archive
 from scanloom.session import scratch_folder
 from scanloom.sources import readers, writers
-from scanloom.streaming import stability
+from scanloom.streaming import monitor, stability
 from scanloom.streaming.ingest_sink import IngestSink
 
 _OBSERVED = "observation"
@@ -258,6 +258,41 @@ def _(tb):
     return stability.accept_above_mark(rows, "seen", "emitted", ("event_id",)).select("event_id", "seen")
 
 
+def _in_batches(tb, rows: DataFrame, time: str, label: str, start) -> str:
+    """Feed a table as a stream in several micro-batches with a restart between; ``start(stream, folder)`` writes to folder."""
+    cuts = rows.selectExpr(f"percentile_approx(unix_micros(cast({time} as timestamp)), array(0.3, 0.5, 0.8)) as c").first()[0]
+    folder, at = scratch_folder(tb.spark, label), F.unix_micros(F.col(time).cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = tb.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        start(stream, folder).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return folder
+
+
+@query("R3_mark_in_stream", f"""with f as (select q.*, poll_ts - to_hours(cast(item % 5 as integer)) as mod_time from ({_EQUAL}) q), p as (select poll_ts, max(mod_time) as latest from f group by 1),
+    m as (select poll_ts, max(latest) over (order by poll_ts rows between unbounded preceding and 1 preceding) as mark from p)
+    select item, poll_ts, size from f join m using (poll_ts) where mark is null or mod_time >= mark""")
+def _(tb):
+    """Each micro-batch starts from the mark the one before it committed; files change up to four hours before a look."""
+    looks = _observe(tb.base("events")).withColumn("mod_time", (F.col("poll_ts") - F.make_dt_interval(hours=F.col("item") % 5)).cast("timestamp"))
+    start = lambda stream, folder: (stability.stable_files(stream.select("item", "poll_ts", "size", "mod_time"), forget_after="60 days")
+                                    .writeStream.foreachBatch(monitor.MarkedSink(f"{folder}/out")))
+    folder = _in_batches(tb, looks, "poll_ts", "marked", start)
+    return monitor.MarkedSink(f"{folder}/out").rows(tb.spark).select("item", "poll_ts", "size")
+
+
+@query("R4_monitored_series")
+def _(tb):
+    """Four scanners list the users seen in an hour as exams, their event types as series."""
+    looks = tb.base("events").selectExpr(
+        "user_id % 4 as scanner", "date_trunc('hour', ts)::timestamp_ntz as poll_ts", "user_id as exam_id", "timestamp_ntz'2020-01-01' + make_dt_interval(int(user_id % 97)) as exam_ts",
+        "length(event_type)::bigint as series_id", "cast(floor(value / 40) as bigint) as size", "cast(null as bigint) as received")
+    start = lambda stream, folder: (monitor.monitored_series(stream, forget_after="60 days").writeStream.format("parquet").option("path", f"{folder}/out"))
+    folder = _in_batches(tb, looks, "poll_ts", "monitored", start)
+    return tb.spark.read.schema(monitor.MONITORED).parquet(f"{folder}/out")
+
+
 @query("R4_monitored_exams", """with m as (select o_orderkey as exam_id, o_orderdate as t from orders where o_orderkey % 3 <> 0 order by 2, 1 limit 2), o as (select o_orderkey as exam_id, o_orderdate as t from orders where o_orderkey % 5 <> 0),
     k as (select * from m where exam_id in (select exam_id from o)), f as (select exam_id from (select * from k order by t, exam_id limit 1) where exam_id not in (select o_orderkey from orders where o_orderstatus = 'O') and (select count(*) from k) >= 2),
     s as (select 0 as p, exam_id, t from k where exam_id not in (select exam_id from f) union all select 1, exam_id, t from o where exam_id not in (select exam_id from k) and ((select max(t) from k) is null or t >= (select max(t) from k)))
@@ -331,3 +366,23 @@ def _(tb):
     scans = e.where("event_type = 'view'").selectExpr("event_id as epoch_id", "psd", "ts as scan_ts")
     recordings = e.where("event_type = 'click'").selectExpr("psd", "cast(event_id as string) as name", "ts as rec_ts")
     return stability.earliest_recordings(stability.attach_recordings(scans, recordings, 30, 600)).select("epoch_id", "name", "rec_ts")
+
+
+@query("R9_recording_outcomes", """with m as (select a.event_id as epoch_id, cast(b.event_id as varchar) as name, b.ts as rec_ts from events a join events b on a.user_id % 10 = b.user_id % 10
+    and a.event_type = 'view' and b.event_type = 'click' and b.ts >= a.ts + interval 30 second and b.ts <= a.ts + interval 630 second),
+    f as (select epoch_id, min(rec_ts) as rec_ts from m group by 1)
+    select e.event_id as epoch_id, case when f.rec_ts is null then 'no physio files found' else 'physio files found' end as outcome, f.rec_ts,
+      coalesce((select string_agg(name, ',' order by name) from m where m.epoch_id = e.event_id and m.rec_ts = f.rec_ts), '') as names
+    from events e left join f on f.epoch_id = e.event_id where e.event_type = 'view'""")
+def _(tb):
+    """A row a month after the last one moves the clock past every scan's time."""
+    e = tb.base("events").selectExpr("event_type", "event_id", "cast(user_id % 10 as string) as psd", "ts")
+    clock = e.agg(F.max("ts").alias("ts")).selectExpr("'click' as event_type", "-1L as event_id", "'clock' as psd", "ts + interval 30 days as ts")
+    rows = e.unionByName(clock.unionByName(clock.selectExpr("'view' as event_type", "event_id", "psd", "ts")))
+
+    def start(stream, folder):
+        scans = stream.where("event_type = 'view'").selectExpr("event_id as epoch_id", "psd", "ts as scan_ts")
+        recordings = stream.where("event_type = 'click'").selectExpr("psd", "cast(event_id as string) as name", "ts as rec_ts")
+        return monitor.recording_outcomes(scans, recordings, 30, 600, "1 hour").writeStream.format("parquet").option("path", f"{folder}/out")
+    folder = _in_batches(tb, rows, "ts", "outcomes", start)
+    return tb.spark.read.schema(monitor.OUTCOMES).parquet(f"{folder}/out").withColumn("names", F.array_join("names", ","))
