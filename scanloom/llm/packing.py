@@ -12,6 +12,7 @@ from scanloom.llm.common import arrow_map, staged
 CAPACITY = 4096
 END_ID = 1
 TOKENS_PER_BLOCK = 4096 * CAPACITY  # what one task packs; each block leaves about one open sequence
+PIECES_PER_BLOCK = 1 << 19  # at most about so many pieces, however short
 CACHED_WORDS, CACHED_BYTES = 1_500_000, 48
 
 _loaded: dict[str, "WordEncoder"] = {}
@@ -21,9 +22,8 @@ class WordEncoder(dict):
     """Ids (little-endian uint32 bytes) of white-space separated words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row.
-    A special token's string in a text is that token, as in the library's own encoding of the text. Only words that
-    neither normalisation nor special tokens can tell apart by case share an entry (``plain``).
-    A worker keeps the encoder between tasks; it starts anew when full.
+    A special token's string in a text is that token, as in the library's own encoding of the text. Words are kept as
+    they are. A worker keeps the encoder between tasks; it starts anew when full.
     """
 
     def __init__(self, path: str):
@@ -32,17 +32,6 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    @staticmethod
-    def plain(part: bytes) -> bool:
-        """Whether lower-casing first changes no ids: NFC leaves ASCII alone, and every special token holds ``<|``."""
-        return part.isascii() and b"<|" not in part
-
-    def words(self, text: str | None) -> list[bytes]:
-        data = (text or "").encode("utf-8", "replace")
-        if self.plain(data):
-            return data.lower().split()
-        return [w.lower() if self.plain(w) else w for w in data.split()]
-
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > CACHED_WORDS:
@@ -55,7 +44,7 @@ class WordEncoder(dict):
                 self[word] = np.asarray(encoding.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         short = [[w for w in words if len(w) <= CACHED_BYTES] for words in split]
         self.learn(set().union(*short))
         long = {w for words, kept in zip(split, short) if len(kept) < len(words) for w in words if len(w) > CACHED_BYTES}
@@ -150,13 +139,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, capacity: int = CAPACITY, tokens_per_block: int = TOKENS_PER_BLOCK) -> DataFrame:
     """``pieces`` (any columns, ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
-    Rows are dealt at random into blocks of about ``tokens_per_block`` tokens, whatever their keys, so no block
-    grows with the table; each block is packed best-fit decreasing. Blocks close with one open sequence each
+    Rows are dealt at random into blocks of about ``tokens_per_block`` tokens, and of PIECES_PER_BLOCK rows at most,
+    whatever their keys, so no block grows with the table; each block is packed best-fit decreasing. Blocks close with one open sequence each
     (one in 4096 at the default). An empty table gives an empty result; ties are broken within the block.
     """
     dealt = staged(pieces.drop("sequence_id", "offset").withColumn("__deal", F.rand(29)), "pieces")
-    total = dealt.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, round(total / tokens_per_block))
+    total, rows = dealt.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    blocks = max(1, round(total / tokens_per_block), -(-rows // PIECES_PER_BLOCK))
     dealt = dealt.withColumn("__block", F.floor(F.col("__deal") * blocks).cast("long")).drop("__deal")
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
 

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from scanloom.llm import packing
 from scanloom.llm.packing import best_fit_decreasing, pack
 from scanloom.llm.queries import QUERIES
 from tests.llm.support import prose, write_documents
@@ -42,7 +43,6 @@ def test_tree_equals_linear_search():
 
 def check(out, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     want = []
     for i, t in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
@@ -73,3 +73,12 @@ def test_empty_and_many_blocks(spark, tmp_path):
     out = pack(pieces, 100, 20_000).toPandas()
     assert len(out) == 3000 and out.groupby("sequence_id").length.sum().max() <= 100
     assert out.sequence_id.nunique() <= 1.05 * out.length.sum() / 100 + 10
+
+
+def test_many_short_pieces(spark, monkeypatch):
+    """Empty texts: blocks are bounded by pieces as well."""
+    monkeypatch.setattr(packing, "PIECES_PER_BLOCK", 1000)
+    rows = spark.range(9000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1L as length", "0L as ids_crc32")
+    out = packing.pack(rows).collect()
+    assert len(out) == 9000 and len({(r["sequence_id"], r["offset"]) for r in out}) == 9000
+    assert len({r["sequence_id"] for r in out}) == 9
