@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+import tests.llm.test_packing
 from scanloom.llm.queries import ORACLES, QUERIES
 from tests.llm.support import docs_frame, prose
 from tests.oracle import compare, connect
@@ -59,3 +61,41 @@ def test_odd_and_empty_rows(spark, stage):
         assert out.count() <= max(1, len(rows))
         if stage is not corpus_pipeline.packing:
             assert out.columns == docs.columns
+
+
+CLASHING = {"kept": "mine", "n_words": "seven", "score": "high", "cleaned": "c", "n_removed": "r", "carried": "struct", "__key": "k", "__tag": "t", "__text": "x", "key": "y", "n": "z"}
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]])
+def test_callers_columns_keep_their_values(spark, stage):
+    rng = random.Random(2)
+    sentences = lambda: " ".join(f"{prose(rng, 9, 10**6)}.".replace("\n", " ") for _ in range(12))
+    rows = [(1, sentences()), (2, sentences() + " " + sentences()), (3, sentences() * 400)]
+    docs = docs_frame(spark, rows).withColumns({c: F.lit(v) for c, v in CLASHING.items()})
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    found = out.collect()
+    assert found and all(r[c] == v for r in found for c, v in CLASHING.items()) and {r["lang"] for r in found} == {"en"}
+
+
+def test_packing_stage_equals_the_query(spark):
+    """Pieces of the stage are those of the tokenizer, each document whole."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randrange(0, 300))) for i in range(40)] + [(90, prose(rng, 9000)), (91, None)]
+    out = corpus_pipeline.packing(spark, docs_frame(spark, rows), SF).collect()
+    packed = tests.llm.test_packing.check(out, rows)
+    assert packed[0] <= packed[1] + 2
+
+
+def test_quality_stage_equals_the_operator(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = {r["doc_id"]: r for r in QUERIES["op3_quality_rules"](spark, SF).collect()}
+    left = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SF).select("doc_id").collect()}
+    assert left == {i for i, r in judged.items() if r["kept"]}
+
+
+def test_toxicity_stage_equals_the_scores(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = {r["doc_id"]: r["score"] for r in QUERIES["op9_toxicity"](spark, SF).collect()}
+    left = {r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, SF).select("doc_id").collect()}
+    assert left == {i for i, s in scored.items() if s < corpus_pipeline.TOXIC_FROM}
