@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from scanloom.llm.common import arrow_map, staged
 
-BLOCK_LINKS = 1 << 20  # links of a block of documents; a document with more is a block of its own
+BLOCK_LINKS = 1 << 17  # links of a block of documents; a document with more is a block of its own
 BATCH_CHARS = 1 << 20  # texts encoded at a time; a longer text is encoded by itself
 SPACE = "▁"
 CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")  # a space where both tokenizers always begin a token
-CACHED, CACHED_CHARS = 600_000, 8_000_000  # parts that a worker remembers and their length; it starts anew when full
+CACHED, CACHED_CHARS = 400_000, 6_000_000  # parts that a worker remembers and their length; it starts anew when full
 
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
