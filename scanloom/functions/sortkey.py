@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.text import _c
 
-# a whole cell that reads as a number: sign, digits, fraction, a letter for the width, exponent of one digit
-_SIGN, _DIGITS, _FRACTION, _WIDTH, _EXPONENT = "-?", "[0-9]+", r"(?:\.[0-9]*)?", "[dDfF]?", "(?:[eE][0-9]?|[0-9])?"
-_NUMBER = "^" + _SIGN + _DIGITS + _FRACTION + _WIDTH + _EXPONENT + "$"
 _HEX = r"(?i)^0x[0-9a-f]+$"
 _DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 
 
 def natural_key(column: str | Column, insensitive: bool = False) -> Column:
-    """struct(lane, tokens): hex numbers and dates share a numeric lane; other text is split in runs."""
+    """struct(lane, tokens): hex numbers and dates share a numeric lane; numbers are one token; other text is split in runs.
+
+    A cell is a number if the whole of it casts to double and ends in a digit or a point, so 1e5, -2.50 and +3 are, and
+    1d, 12px, NaN and Infinity are not. Listings of other tools may read a trailing width letter or a cut-off exponent
+    as part of a number; here such cells are text.
+    """
     text = F.trim(_c(column))
     if insensitive:
         text = F.lower(text)
@@ -23,13 +25,13 @@ def natural_key(column: str | Column, insensitive: bool = False) -> Column:
     day = F.try_to_timestamp(F.when(text.rlike(_DATE), F.regexp_extract(text, "(" + _DATE + ")", 1)),
                              F.lit("yyyy-M-d"))
     dated = F.unix_timestamp(day).cast("double")
-    whole = F.regexp_extract(text, r"^-?[0-9]+(\.[0-9]+)?", 0).try_cast("double")
+    whole = F.when(text.rlike(r"[0-9.]$"), text.try_cast("double"))
     token = lambda number, string: F.struct(
         F.when(number.isNull(), 1).otherwise(0).alias("text"), F.coalesce(number, F.lit(0.0)).alias("number"),
         string.alias("string"))
     runs = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), 1),
                        lambda t: token(F.when(t.rlike(r"^[0-9]"), t.cast("double")), t))
-    tokens = F.when(text.rlike(_NUMBER), F.array(token(whole, text))).otherwise(runs)
+    tokens = F.when(whole.isNotNull(), F.array(token(whole, text))).otherwise(runs)
     return F.struct(F.coalesce(hexed, dated).alias("lane"), tokens.alias("tokens"))
 
 

@@ -80,6 +80,49 @@ def range_join(left: DataFrame, right: DataFrame, by: Sequence[str], low: str, h
             .where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bucket"))
 
 
+def window_moments(spans: DataFrame, points: DataFrame, by: Sequence[str], low: str, high: str, point: str, value: str,
+                   width: float = 64.0) -> DataFrame:
+    """``spans`` with _n, _mean and _std (population) of the points in [``low``, ``high``] (inclusive).
+
+    Running count, sum and sum of squares (of values less their group's mean) are kept per distinct point; each span
+    looks up two of them, so the work does not grow with the number of points a span covers. Sums run inside
+    ``width``-long buckets, one row per bucket carries over, and a span is put together from the rest of its first
+    bucket, whole buckets and the start of its last one, so little is cancelled. No points: _n is 0, the others NULL.
+    """
+    by, sums = list(by), ("_n", "_s", "_q")
+    means = points.groupBy(*by).agg(F.avg(value).alias("_centre"))
+    bucket = F.floor(F.col(point) / F.lit(float(width)))
+    centred = points.join(means, by).withColumn("_v", F.col(value) - F.col("_centre"))
+    slots = centred.groupBy(*by, bucket.alias("_bucket"), F.col(point).cast("double").alias("_at")).agg(
+        F.count("_v").alias("_n"), F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))
+    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = slots.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(c) for c in sums])
+    whole = totals.select(*by, "_bucket", *[F.sum(c).over(upto).alias(f"{c}_end") for c in sums], *[F.col(c).alias(f"{c}_all") for c in sums])
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = slots.select(*by, "_bucket", "_at", *[F.sum(c).over(inside).alias(c) for c in sums]).join(whole, [*by, "_bucket"])
+    kept = ["_bucket", *sums, *(f"{c}_end" for c in sums), *(f"{c}_all" for c in sums)]
+    running = cut_lineage(running.select(*by, "_at", *kept))
+    asked = spans.where(F.col(low) <= F.col(high))
+    ends = [asof(asked.select(*by, F.col(c).cast("double").alias("_at")), running, by, "_at", kept, "backward", inclusive, width)
+            .select(*by, F.col("_at").alias(f"_{side}"), F.struct(*kept).alias(f"_{side}_sums"))
+            for c, inclusive, side in ((low, False, "low"), (high, True, "high"))]
+    rows = spans.withColumns({"_low": F.col(low).cast("double"), "_high": F.col(high).cast("double")})
+    rows = rows.join(ends[0], [*by, "_low"], "left").join(ends[1], [*by, "_high"], "left").join(means, by, "left")
+    first, last = F.col("_low_sums"), F.col("_high_sums")
+    nought = F.lit(0)
+
+    def covered(c: str) -> Column:
+        rest = F.coalesce(first[f"{c}_all"] - first[c], nought)  # of the first bucket
+        between = (last[f"{c}_end"] - last[f"{c}_all"]) - F.coalesce(first[f"{c}_end"], nought)
+        apart = rest + F.when(last["_bucket"] - F.coalesce(first["_bucket"], last["_bucket"] - 2) > 1, between).otherwise(nought) + last[c]
+        return F.when(last.isNull() | last["_bucket"].isNull() | (F.col(low) > F.col(high)), nought).when(
+            first["_bucket"] == last["_bucket"], last[c] - first[c]).otherwise(apart)
+    rows = rows.withColumns({f"{c}w": F.coalesce(covered(c), nought) for c in sums})
+    mean = F.try_divide(F.col("_sw"), F.col("_nw"))
+    spread = F.when(F.col("_nw") > 1, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_qw"), F.col("_nw")) - mean * mean))).when(F.col("_nw") == 1, 0.0)
+    return rows.select(*spans.columns, F.col("_nw").cast("long").alias("_n"), (F.col("_centre") + mean).alias("_mean"), spread.alias("_std"))
+
+
 def nearest_sibling(epochs: DataFrame, bad: DataFrame) -> DataFrame:
     """For every bad epoch the good epoch of the same session and geometry that is closest in time.
 
@@ -205,19 +248,17 @@ def shared_pieces(asks: DataFrame, known: DataFrame, cutoff: float) -> DataFrame
 def ancestors(edges: DataFrame) -> DataFrame:
     """All (child_id, ancestor_id, depth) pairs of the dataset lineage graph, with the shortest distance.
 
-    Known paths are joined to known paths, so each round doubles the reach and the number of rounds is the
-    logarithm of the longest line. There is no limit on rows or depth.
+    After the round of ``reach`` all pairs up to that distance are known. A farther one passes an ancestor at exactly
+    ``reach``, so only last round's pairs of that distance are joined with the known ones, and only pairs not seen yet
+    are written. The number of rounds is the logarithm of the longest line; there is no limit on rows or depth.
     """
-    reach = cut_lineage(edges.select("child_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).distinct())
-    known = None
+    known = cut_lineage(edges.select("child_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).distinct())
+    fresh, reach = known, 1
     while True:
-        first = reach.select("child_id", F.col("ancestor_id").alias("_via"), F.col("depth").alias("_d1"))
-        second = reach.select(F.col("child_id").alias("_via"), "ancestor_id", F.col("depth").alias("_d2"))
-        longer = first.join(second, "_via").select("child_id", "ancestor_id", (F.col("_d1") + F.col("_d2")).alias("depth"))
-        grown = cut_lineage(reach.unionByName(longer).groupBy("child_id", "ancestor_id").agg(F.min("depth").alias("depth")))
-        total, length = grown.agg(F.count(F.lit(1)), F.sum("depth")).first()
-        if (total, length) == known:
-            return grown
-        reach, known = grown, (total, length)
-
-
+        far = fresh.where(F.col("depth") == reach).select("child_id", F.col("ancestor_id").alias("_via"))
+        onward = known.select(F.col("child_id").alias("_via"), "ancestor_id", (F.col("depth") + reach).alias("depth"))
+        longer = far.join(onward, "_via").groupBy("child_id", "ancestor_id").agg(F.min("depth").alias("depth"))
+        fresh = cut_lineage(longer.join(known, ["child_id", "ancestor_id"], "left_anti"))
+        if fresh.isEmpty():
+            return known
+        known, reach = known.unionByName(fresh), 2 * reach

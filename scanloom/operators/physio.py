@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.catalog import Catalog
-from scanloom.operators.matching import asof, bracket, range_join
+from scanloom.operators.matching import asof, bracket, range_join, window_moments
 from scanloom.operators.ordering import convolve, near
 from scanloom.session import cut_lineage
 
@@ -26,6 +26,8 @@ MIN_FRAMES = 8
 MIN_CARD_STD = 4.0
 MIN_RESP_RATIO = 40.0
 MIN_GOOD_RATE = 0.2
+MIN_TREND_FRAMES = 3
+REJECTED = "rejected: too few frames"
 HISTOGRAM_BINS = 100
 FILTER_TAPS = 20
 FILTER_CUTOFF = 1.0
@@ -103,6 +105,13 @@ def cardiac_phase(times: DataFrame, triggers: DataFrame, timing: DataFrame) -> D
     return rows.select("acq_id", "slice", "frame", F.try_divide(turn, F.col("t2") - F.col("t1")).alias("phase"))
 
 
+def stepped(df: DataFrame, resp_dt: float | DataFrame) -> DataFrame:
+    """``df`` with ``_dt``: one sampling step for all recordings, or a table (acq_id, resp_dt) of their own."""
+    if isinstance(resp_dt, DataFrame):
+        return df.join(resp_dt.select("acq_id", F.col("resp_dt").cast("double").alias("_dt")), "acq_id")
+    return df.withColumn("_dt", F.lit(float(resp_dt)))
+
+
 def lowpass_taps(dt: float, taps: int = FILTER_TAPS, cutoff: float = FILTER_CUTOFF) -> np.ndarray:
     """Windowed-sinc (Hamming) low-pass of unit gain at zero frequency."""
     relative = cutoff * 2.0 * dt
@@ -111,15 +120,27 @@ def lowpass_taps(dt: float, taps: int = FILTER_TAPS, cutoff: float = FILTER_CUTO
     return kernel / kernel.sum()
 
 
-def zero_phase(wave: DataFrame, dt: float) -> DataFrame:
+def lowpass_weights(dt: str | Column, taps: int = FILTER_TAPS, cutoff: float = FILTER_CUTOFF) -> Column:
+    """Array of the 2 * taps - 1 weights of the low-pass run forward and backward, for a column of sampling steps."""
+    relative = (F.col(dt) if isinstance(dt, str) else dt) * (2.0 * cutoff)
+    shape = []
+    for place, window in zip(np.arange(taps) - (taps - 1) / 2.0, np.hamming(taps)):
+        angle = relative * float(math.pi * place)
+        shape.append((F.lit(1.0) if place == 0 else F.when(angle == 0, 1.0).otherwise(F.sin(angle) / angle)) * float(window))
+    kernel = F.array(*shape)
+    scaled = lambda k: F.transform(k, lambda v: v / F.aggregate(k, F.lit(0.0), lambda a, b: a + b))
+    both = lambda k: F.transform(F.sequence(F.lit(1 - taps), F.lit(taps - 1)), lambda o: F.aggregate(
+        F.transform(F.sequence(F.lit(0), F.lit(taps - 1)), lambda i: F.get(k, i) * F.coalesce(F.get(k, i + o), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b))
+    return both(scaled(kernel))
+
+
+def zero_phase(wave: DataFrame, resp_dt: float | DataFrame) -> DataFrame:
     """The wave filtered forward and backward: (acq_id, idx, smooth).
 
-    Both passes together are one symmetric kernel of 2 * taps - 1 weights. Ends are continued by point reflection,
-    which the kernel reaches by at most taps - 1 samples.
+    Both passes together are one symmetric kernel of 2 * taps - 1 weights, of each recording's own sampling step. Ends
+    are continued by point reflection, which the kernel reaches by at most taps - 1 samples.
     """
-    taps = lowpass_taps(dt)
-    reach = len(taps) - 1
-    weights = np.correlate(taps, taps, mode="full")
+    reach = FILTER_TAPS - 1
     ends = wave.groupBy("acq_id").agg(F.min_by("value", "idx").alias("_head"), F.max_by("value", "idx").alias("_tail"),
                                       F.max("idx").alias("_n"))
     rows = wave.select("acq_id", "idx", "value").join(ends, "acq_id")
@@ -132,14 +153,14 @@ def zero_phase(wave: DataFrame, dt: float) -> DataFrame:
         lambda s: s.isNotNull())
     extended = rows.select("acq_id", "_n", F.explode(copies).alias("_s")).select("acq_id", "_n", "_s.idx", "_s.value")
 
-    def smooth(w):
-        total = F.lit(0.0)
-        for offset in range(-reach, reach + 1):
-            neighbour = F.lag("value", -offset).over(w)
-            total = total + F.coalesce(neighbour, F.lit(0.0)) * F.lit(float(weights[offset + reach]))
-        return {"smooth": total}
-    filtered = near(extended, ["acq_id"], "idx", reach, reach, smooth)
-    return filtered.where((F.col("idx") >= 0) & (F.col("idx") <= F.col("_n"))).select("acq_id", "idx", "smooth")
+    def around(w):
+        return {"_around": F.array(*[F.coalesce(F.lag("value", -offset).over(w), F.lit(0.0)) for offset in range(-reach, reach + 1)])}
+    found = near(extended, ["acq_id"], "idx", reach, reach, around)
+    found = found.where((F.col("idx") >= 0) & (F.col("idx") <= F.col("_n"))).select("acq_id", "idx", "_around")
+    weights = stepped(ends.select("acq_id"), resp_dt)
+    kernels = weights.select("_dt").distinct().withColumn("_weights", lowpass_weights("_dt"))  # one row per step in use
+    smooth = F.aggregate(F.zip_with("_around", "_weights", lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+    return found.join(weights.join(kernels, "_dt"), "acq_id").select("acq_id", "idx", smooth.alias("smooth"))
 
 
 def slope_sign(smooth: DataFrame) -> DataFrame:
@@ -174,15 +195,15 @@ def histogram(wave: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     return counts.withColumn("below", F.coalesce(F.sum("n_bin").over(w), F.lit(0)))
 
 
-def respiratory_phase(times: DataFrame, wave: DataFrame, resp_dt: float, bins: int = HISTOGRAM_BINS) -> DataFrame:
+def respiratory_phase(times: DataFrame, wave: DataFrame, resp_dt: float | DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Phase from the amplitude histogram, signed by the slope: (acq_id, slice, frame, phase).
 
     The sample nearest in time (half to even, kept inside the slope's range) gives the amplitude; its nearest bin
     edge (the lower one on ties) gives the share of samples below.
     """
     levels = wave_levels(wave, bins)
-    sample = F.greatest(F.lit(0), F.bround(F.col("time") / F.lit(resp_dt))).cast("long")
-    asks = times.join(levels, "acq_id").withColumn("idx", F.least(sample, F.col("n") - 2))
+    sample = F.greatest(F.lit(0), F.bround(F.col("time") / F.col("_dt"))).cast("long")
+    asks = stepped(times.join(levels, "acq_id"), resp_dt).withColumn("idx", F.least(sample, F.col("n") - 2))
     signs = slope_sign(zero_phase(wave, resp_dt))
     hit = asks.join(wave.select("acq_id", F.col("idx").cast("long").alias("idx"), "value"), ["acq_id", "idx"]).join(
         signs, ["acq_id", "idx"])
@@ -232,20 +253,19 @@ def _response(df: DataFrame, timing: DataFrame, value: str, shape, name: str) ->
     return step.select(*place, "frame", name, f"{name}_d")
 
 
-def windowed_deviation(times: DataFrame, wave: DataFrame, resp_dt: float) -> DataFrame:
+def windowed_deviation(times: DataFrame, wave: DataFrame, resp_dt: float | DataFrame) -> DataFrame:
     """Population deviation of the wave within 3 s around each slice time: (acq_id, slice, frame, rv)."""
     n = wave.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n"))
-    index = lambda shift: F.floor((F.col("time") + F.lit(shift)) / F.lit(resp_dt))
-    spans = times.join(n, "acq_id").select(
+    index = lambda shift: F.floor((F.col("time") + F.lit(shift)) / F.col("_dt"))
+    spans = stepped(times.join(n, "acq_id"), resp_dt).select(
         "acq_id", "slice", "frame", F.greatest(F.lit(0), index(-HALF_WINDOW)).alias("low"),
         (F.least(F.col("n"), index(HALF_WINDOW)) - 1).alias("high"))
     points = wave.select("acq_id", F.col("idx").cast("long").alias("point"), "value")
-    met = range_join(spans, points, ["acq_id"], "low", "high", "point", 256)
-    found = met.groupBy("acq_id", "slice", "frame").agg(F.stddev_pop("value").alias("rv"))
-    return spans.select("acq_id", "slice", "frame").join(found, ["acq_id", "slice", "frame"], "left")
+    found = window_moments(spans, points, ["acq_id"], "low", "high", "point", "value", 256)
+    return found.select("acq_id", "slice", "frame", F.col("_std").alias("rv"))
 
 
-def respiration_variation(times: DataFrame, wave: DataFrame, timing: DataFrame, resp_dt: float) -> DataFrame:
+def respiration_variation(times: DataFrame, wave: DataFrame, timing: DataFrame, resp_dt: float | DataFrame) -> DataFrame:
     return _response(cut_lineage(windowed_deviation(times, wave, resp_dt)), timing, "rv", respiration_response, "rv_rrf")
 
 
@@ -308,12 +328,21 @@ def quadratic_detrend(long: DataFrame, keys: list[str], index: str, value: str)
     return rows.join(weights, keys).select(*keys, index, flat.alias(value))
 
 
-def regressors(signal: DataFrame, timing: DataFrame, resp_dt: float = 0.04, legacy: bool = False) -> DataFrame:
-    """All 13 regressors, long: (acq_id, slice, frame, name, value). Acquisitions below 3 frames give none.
+def too_short(timing: DataFrame) -> DataFrame:
+    """Acquisitions whose frames are too few for a trend: (acq_id, slice, frame, name, value), one REJECTED row a slice."""
+    return timing.where(F.coalesce("nframes", F.lit(0)) < MIN_TREND_FRAMES).select(
+        "acq_id", F.col("slice").cast("int").alias("slice"), F.lit(None).cast("int").alias("frame"), F.lit(REJECTED).alias("name"), F.lit(None).cast("double").alias("value"))
 
-    The first twelve are freed from a quadratic trend; the heart rate is kept as it is.
+
+def regressors(signal: DataFrame, timing: DataFrame, resp_dt: float | DataFrame | None = None, legacy: bool = False) -> DataFrame:
+    """All 13 regressors, long: (acq_id, slice, frame, name, value), and REJECTED rows of acquisitions below 3 frames.
+
+    The first twelve are freed from a quadratic trend; the heart rate is kept as it is. Each recording has its own
+    sampling step, from ``timing`` unless ``resp_dt`` says otherwise.
     """
-    timing = cut_lineage(timing.where("nframes >= 3"))
+    rejected = too_short(timing)
+    timing = cut_lineage(timing.where(F.col("nframes") >= MIN_TREND_FRAMES))
+    resp_dt = scan_lengths(timing).select("acq_id", "resp_dt") if resp_dt is None else resp_dt
     aligned = cut_lineage(align(signal, timing))
     wave, triggers = chopped(aligned, "resp_wave"), chopped(aligned, "card_trig")
     times = cut_lineage(slice_times(timing))
@@ -324,7 +353,7 @@ def regressors(signal: DataFrame, timing: DataFrame, resp_dt: float = 0.04, lega
     tall = [df.select(*place, F.explode(pairs(df)).alias("_p")).select(*place, "_p.name", "_p.value") for df in parts]
     long = cut_lineage(tall[0].unionByName(tall[1]).unionByName(tall[2]))
     flat = quadratic_detrend(long.where("name != 'hr'"), ["acq_id", "slice", "name"], "frame", "value")
-    return flat.select(*place, "name", "value").unionByName(long.where("name = 'hr'"))
+    return flat.select(*place, "name", "value").unionByName(long.where("name = 'hr'")).unionByName(rejected)
 
 
 # validity ----------------------------------------------------------------------------------------
@@ -342,38 +371,59 @@ def pulse_quality(signal: DataFrame) -> DataFrame:
     return std.join(good, "acq_id", "left")
 
 
-def band_ratio(wave: DataFrame, dt: float, cutoff: float = 1.0, block: int = 4096) -> DataFrame:
+def chirp_bins(values: np.ndarray, start: int, first: int, count: int, n: int) -> np.ndarray:
+    """``count`` bins from ``first`` of the transform of length ``n``, as far as samples from ``start`` on contribute.
+
+    A chirp turns the sum into a convolution, done by FFTs of about len(values) + count. Exponents are taken modulo n
+    as whole numbers, so long recordings lose no precision.
+    """
+    j, m = np.arange(len(values)), np.arange(count)
+    turn = lambda k, of: np.exp(-2j * np.pi * (k % of) / of)
+    size = 1 << (len(values) + count - 2).bit_length() if len(values) + count > 2 else 2
+    chirp = turn(np.arange(max(len(values), count)) ** 2, 2 * n)
+    kernel = np.zeros(size, complex)
+    kernel[:count] = chirp[:count].conj()
+    kernel[size - len(values) + 1:] = chirp[1:len(values)][::-1].conj()
+    found = np.fft.ifft(np.fft.fft(values * turn(j * first, n) * chirp[:len(values)], size) * np.fft.fft(kernel))[:count]
+    return found * chirp[:count] * turn((first + m) * start, n)
+
+
+def band_ratio(wave: DataFrame, resp_dt: float | DataFrame, cutoff: float = 1.0, block: int = 65_536, part: int = 65_536) -> DataFrame:
     """Mean spectral amplitude below ``cutoff`` over the mean of as many highest bins: (acq_id, ratio).
 
-    Only the needed frequency bins are evaluated. Each block of samples adds its share to every bin (numpy on at
-    most ``block`` rows), and the shares are summed by (acquisition, bin); a long recording is many blocks.
-    NULL where the recording is too short to have the band.
+    Only the bins of both bands are evaluated, in parts of ``part``. A block of samples gives its share of one part at a
+    time (``chirp_bins``), so a task holds one block and one part however long the recording; the shares are summed by
+    (acquisition, bin). NULL where the recording is too short to have the band.
     """
-    sizes = wave.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = wave.select("acq_id", F.col("idx").cast("long").alias("idx"), "value").join(sizes, "acq_id").withColumn(
-        "block", F.floor(F.col("idx") / block))
+    sizes = stepped(wave.groupBy("acq_id").agg(F.count(F.lit(1)).alias("n")), resp_dt)
+    low, total = F.bround(F.lit(float(cutoff)) * F.col("_dt") * F.col("n")).cast("long"), F.floor(F.col("n") / 2) + 1
+    span = lambda band, first, count: F.transform(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(count, F.lit(1)) - 1) / part)),
+        lambda k: F.struct(F.lit(band).alias("band"), (first + k * part).alias("first"), F.least(count - k * part, F.lit(part)).alias("count")))
+    high = F.when(low > 0, low).otherwise(total)
+    bands = F.filter(F.concat(span("low", F.lit(2).cast("long"), low - 2), span("high", total - high, high)), lambda b: b["count"] > 0)
+    asked = sizes.where(low < total).select("acq_id", "n", F.explode(bands).alias("_b")).select("acq_id", "n", "_b.*")
+    rows = wave.select("acq_id", F.col("idx").cast("long").alias("idx"), "value").withColumn("block", F.floor(F.col("idx") / block))
 
     def shares(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        low, total = int(round(cutoff * dt * n)), n // 2 + 1
-        if low >= total:
-            return pd.DataFrame({"acq_id": [], "bin": [], "low": [], "high": [], "re": [], "im": []})
-        bins = np.unique(np.concatenate([np.arange(2, max(low, 2)), np.arange(total - low if low else 0, total)]))
-        idx, values = pdf["idx"].to_numpy(), pdf["value"].to_numpy()
-        angle = (idx[None, :] * bins[:, None]) % n * (-2.0 * np.pi / n)
-        return pd.DataFrame({"acq_id": pdf["acq_id"].iloc[0], "bin": bins, "low": (bins >= 2) & (bins < low),
-                             "high": bins >= (total - low if low else 0), "re": np.cos(angle) @ values, "im": np.sin(angle) @ values})
-
-    schema = "acq_id long, bin long, low boolean, high boolean, re double, im double"
-    parts = rows.groupBy("acq_id", "block").applyInPandas(shares, schema)
+        pdf = pdf.sort_values("idx")
+        start, first, count = int(pdf["idx"].iloc[0]), int(pdf["first"].iloc[0]), int(pdf["count"].iloc[0])
+        values = np.zeros(int(pdf["idx"].iloc[-1]) - start + 1)
+        values[pdf["idx"].to_numpy() - start] = pdf["value"].to_numpy()
+        found = chirp_bins(values, start, first, count, int(pdf["n"].iloc[0]))
+        return pd.DataFrame({"acq_id": pdf["acq_id"].iloc[0], "band": pdf["band"].iloc[0], "bin": np.arange(first, first + count), "re": found.real, "im": found.imag})
+
+    parts = rows.join(asked, "acq_id").groupBy("acq_id", "block", "band", "first").applyInPandas(
+        shares, "acq_id long, band string, bin long, re double, im double")
     amplitude = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    whole = parts.groupBy("acq_id", "bin", "low", "high").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    bands = whole.groupBy("acq_id").agg(F.avg(F.when(F.col("low"), amplitude)).alias("_l"), F.avg(F.when(F.col("high"), amplitude)).alias("_h"))
-    return sizes.join(bands, "acq_id", "left").select("acq_id", F.try_divide("_l", "_h").alias("ratio"))
+    whole = parts.groupBy("acq_id", "band", "bin").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    means = whole.groupBy("acq_id").agg(F.avg(F.when(F.col("band") == "low", amplitude)).alias("_l"), F.avg(F.when(F.col("band") == "high", amplitude)).alias("_h"))
+    return sizes.join(means, "acq_id", "left").select("acq_id", F.try_divide("_l", "_h").alias("ratio"))
 
 
-def validity(signal: DataFrame, timing: DataFrame, resp_dt: float = 0.04) -> DataFrame:
+def validity(signal: DataFrame, timing: DataFrame, resp_dt: float | DataFrame | None = None) -> DataFrame:
     """(acq_id, card_std, good_rate, ratio, valid): enough frames and a credible pulse or respiration."""
+    resp_dt = scan_lengths(timing).select("acq_id", "resp_dt") if resp_dt is None else resp_dt
     aligned = align(signal, timing)
     pulse = pulse_quality(aligned)
     ratio = band_ratio(signal.where("kind = 'resp_wave'"), resp_dt)
@@ -403,7 +453,7 @@ def recompute_scope(catalog: Catalog, experiment_id: int) -> DataFrame:
     return rows.withColumn("_a", archives).where(F.size("_a") == 1).select("epoch_id", F.element_at("_a", 1).alias("file"))
 
 
-def recompute(catalog: Catalog, experiment_id: int, signal: DataFrame, timing: DataFrame, resp_dt: float = 0.04) -> DataFrame:
+def recompute(catalog: Catalog, experiment_id: int, signal: DataFrame, timing: DataFrame, resp_dt: float | DataFrame | None = None) -> DataFrame:
     """Regressors of every acquisition in an experiment's scope (``acq_id`` is the epoch id)."""
     ids = recompute_scope(catalog, experiment_id).select(F.col("epoch_id").alias("acq_id")).distinct()
     return regressors(signal.join(ids, "acq_id", "left_semi"), timing.join(ids, "acq_id", "left_semi"), resp_dt)
@@ -412,6 +462,7 @@ def recompute(catalog: Catalog, experiment_id: int, signal: DataFrame, timing: D
 def design_scores(regressor: DataFrame) -> DataFrame:
     """Every regressor of every slice as z-scores over its frames."""
     keys = ["acq_id", "slice", "name"]
+    regressor = regressor.where(F.col("frame").isNotNull())  # no rejected ones
     stats = regressor.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     return regressor.join(stats, keys).select(
         *keys, "frame", F.try_divide(F.col("value") - F.col("_m"), F.col("_s")).alias("value"))

@@ -9,7 +9,7 @@ from scanloom.operators import physio, quality, repair
 from scanloom.plans.registry import query
 from scanloom.plans.signal_queries import _BRAIN, _DRIFT, _gradients, _reports, _runs, series
 from scanloom.plans.state_queries import _NOW, _READY, _empty_archive
-from scanloom.session import scratch_folder
+from scanloom.session import cut_lineage, scratch_folder
 from scanloom.sources import readers, writers
 from scanloom.streaming import monitor, stability
 from scanloom.streaming.ingest_sink import IngestSink
@@ -157,7 +157,7 @@ def _onsets(tb):
 @series("S11_regressor_table", """select acq_id, position, case when position = -3 then 4 else 52 end as cells from (select distinct acq_id from timing) a, (select unnest([-3, -1] || range(0, 18)) as position) p""")
 def _(tb):
     folder = scratch_folder(tb.spark, "regressors")
-    regressors = physio.regressors(tb.signal, tb.timing)
+    regressors = cut_lineage(physio.regressors(tb.signal, tb.timing))
     writers.write_regressors(regressors, _onsets(tb), folder)
     lines = tb.spark.read.text(folder)
     body = writers.regressor_lines(regressors, _onsets(tb))

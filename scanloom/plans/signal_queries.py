@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scanloom.operators import physio, quality, repair
-from scanloom.operators.matching import asof, bracket, range_join
+from scanloom.operators.matching import asof, bracket, window_moments
 from scanloom.operators.ordering import convolve, difference, group_median, near, running_total
 from scanloom.operators.polyfit import detrend, polyfit, polyval
 from scanloom.plans.registry import query
@@ -324,8 +324,8 @@ def _(tb):
 def _(tb):
     e = tb.base("events").select("event_type", "event_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     spans = e.select("event_type", "event_id", (F.col("at") - 1800).alias("low"), (F.col("at") + 1800).alias("high"))
-    met = range_join(spans, e.select("event_type", F.col("at").alias("point"), "value"), ["event_type"], "low", "high", "point", 1800.0)
-    return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), _r(F.stddev_pop("value"), 5).alias("sd"))
+    met = window_moments(spans, e.select("event_type", F.col("at").alias("point"), "value"), ["event_type"], "low", "high", "point", "value", 1800.0)
+    return met.select("event_id", F.col("_n").alias("n"), _r("_std", 5).alias("sd"))
 
 
 @query("J13_two_sided_asof", """with c as (select user_id, epoch_us(ts) / 1e6 as at from events where event_type = 'click'), v as (select user_id, event_id, epoch_us(ts) / 1e6 as at from events where event_type = 'view')
@@ -374,8 +374,8 @@ def _(tb):
 def _(tb):
     e = tb.base("events").select(F.floor(F.col("event_id") / 500).alias("acq_id"), "event_id", "value")
     spans = e.select("acq_id", "event_id", (F.col("event_id") - 75).alias("low"), (F.col("event_id") + 74).alias("high"))
-    met = range_join(spans, e.select("acq_id", F.col("event_id").alias("point"), "value"), ["acq_id"], "low", "high", "point", 128)
-    return met.groupBy("event_id").agg(_r(F.stddev_pop("value"), 5).alias("sd"))
+    met = window_moments(spans, e.select("acq_id", F.col("event_id").alias("point"), "value"), ["acq_id"], "low", "high", "point", "value", 128)
+    return met.select("event_id", _r("_std", 5).alias("sd"))
 
 
 @query("A11_histogram", """with h as (select event_type as acq_id, least(floor((value - lo) / ((hi - lo) / 100)), 99)::bigint as bin from events join (select event_type, min(value) as lo, max(value) as hi from events group by 1) using (event_type))
@@ -453,6 +453,35 @@ def _(tb):
     return physio.zero_phase(wave, 0.04).withColumn("smooth", _r("smooth", 5))
 
 
+# every other recording sampled at 0.05 s
+_STEP = "(case when {}acq_id % 2 = 0 then 0.04::double else 0.05::double end)"
+_TAPS5 = physio.lowpass_taps(0.05)
+_WEIGHTS2 = ", ".join(f"({k - 19}, {float(w)!r}::double, {float(v)!r}::double)" for k, (w, v) in enumerate(
+    zip(np.correlate(_TAPS, _TAPS, mode="full"), np.correlate(_TAPS5, _TAPS5, mode="full"))))
+_AL2 = _AL.replace("0.04::double", _STEP.format(""))
+_SMOOTH2 = _SMOOTH.replace(_WEIGHTS, _WEIGHTS2).replace("k(o, c)", "k(o, c, d)").replace("x.value * k.c", "x.value * case when w.acq_id % 2 = 0 then k.c else k.d end")
+_RESP2 = _RESP.replace("0.04::double", _STEP.format("t."))
+
+
+def _mixed(tb):
+    """Test bed with two sampling steps: times, respiration, steps, timing."""
+    timing = tb.timing.withColumn("resp_dt", F.when(F.col("acq_id") % 2 == 0, 0.04).otherwise(0.05))
+    aligned = cut_lineage(physio.align(tb.signal, timing))
+    return physio.slice_times(timing), physio.chopped(aligned, "resp_wave"), physio.scan_lengths(timing).select("acq_id", "resp_dt"), timing
+
+
+@series("P5_mixed_steps", f"with {_AL2}, {_SMOOTH2}, {_RESP2} select acq_id, slice, frame, round(phase, 6) as phase from rp")
+def _(tb):
+    times, wave, steps, _ = _mixed(tb)
+    return physio.respiratory_phase(times, wave, steps).withColumn("phase", _r("phase"))
+
+
+@series("P6_mixed_steps", f"with {_AL2}, {_SMOOTH2} select acq_id, idx, round(s, 5) as smooth from smooth")
+def _(tb):
+    _, wave, steps, _ = _mixed(tb)
+    return physio.zero_phase(wave, steps).withColumn("smooth", _r("smooth", 5))
+
+
 _TERMS = "select c.acq_id, c.slice, c.frame, cos(c.phase) as c1_c, sin(c.phase) as s1_c, cos(2 * c.phase) as c2_c, sin(2 * c.phase) as s2_c, cos(r.phase) as c1_r, sin(r.phase) as s1_r, cos(2 * r.phase) as c2_r, sin(2 * r.phase) as s2_r from cp c join rp r using (acq_id, slice, frame)"
 
 
@@ -476,6 +505,7 @@ def _fold(source: str, value: str, shape: str, out: str) -> str:
 
 _RV = """rv as (select t.acq_id, t.slice, t.frame, stddev_pop(w.value) as rv from times t join wn using (acq_id) left join wave w on w.acq_id = t.acq_id
       and w.idx >= greatest(0, floor((t.time - 3) / 0.04::double)) and w.idx < least(n + 1, floor((t.time + 3) / 0.04::double)) group by 1, 2, 3)"""
+_RV2 = _RV.replace("0.04::double", _STEP.format("t."))
 _HR = """beat as (select acq_id, p + (time - p) / 2 as time, 60.0::double / (time - p) as rate from (select acq_id, time, lag(time) over (partition by acq_id order by time) as p from trig) q where p is not null and 60.0::double / (time - p) between 30 and 180),
     nb as (select acq_id, count(*) as n from beat group by 1),
     b0 as (select t.*, n, (select max((b.time, b.rate)) from beat b where b.acq_id = t.acq_id and b.time <= t.time) as lo, (select min((b.time, b.rate)) from beat b where b.acq_id = t.acq_id and b.time >= t.time) as hi from times t left join nb using (acq_id)),
@@ -489,6 +519,19 @@ def _(tb):
     return out.select("acq_id", "slice", "frame", _r("rv_rrf", 5).alias("rv_rrf"), _r("rv_rrf_d", 5).alias("rv_rrf_d"))
 
 
+@series("P8_mixed_steps", f"with {_AL2}, {_SMOOTH2}, {_RV2}, {_fold('rv', 'rv', _RRF, 'rr')} select acq_id, slice, frame, round(y, 5) as rv_rrf, round(d, 5) as rv_rrf_d from rr")
+def _(tb):
+    times, wave, steps, timing = _mixed(tb)
+    out = physio.respiration_variation(times, wave, timing, steps)
+    return out.select("acq_id", "slice", "frame", _r("rv_rrf", 5).alias("rv_rrf"), _r("rv_rrf_d", 5).alias("rv_rrf_d"))
+
+
+@series("P10_too_few_frames", f"select acq_id, slice, '{physio.REJECTED}' as name from timing where acq_id % 3 = 1")
+def _(tb):
+    timing = tb.timing.withColumn("nframes", F.when(F.col("acq_id") % 3 == 1, 2).otherwise(F.col("nframes")))
+    return physio.too_short(timing).select("acq_id", "slice", "name")
+
+
 @series("P9_heart_rate", f"with {_AL}, {_HR}, {_fold('hr', 'hr', _CRF, 'hc')} select acq_id, slice, frame, round(hr, 5) as hr, round(y, 5) as hr_crf, round(d, 5) as hr_crf_d from hc join hr using (acq_id, slice, frame)")
 def _(tb):
     times, _, triggers = _parts(tb)

@@ -16,6 +16,7 @@ def write_qa_reports(reports: DataFrame, path: str, mode: str = "errorifexists")
 
 def _cells(regressors: DataFrame, pattern: str) -> DataFrame:
     place = F.element_at(F.create_map(*[F.lit(v) for p in ((n, i) for i, n in enumerate(REGRESSORS)) for v in p]), F.col("name"))
+    regressors = regressors.where(F.col("frame").isNotNull())  # rejected recordings have no table
     return regressors.select("acq_id", "slice", "frame", place.alias("k"), F.format_string(pattern, "value").alias("text"))
 
 
@@ -59,7 +60,7 @@ def legacy_lines(regressors: DataFrame, onsets: DataFrame) -> DataFrame:
     rows = _cells(regressors, "%-7.6f").groupBy("acq_id", "slice", "frame").agg(F.collect_list(F.struct("k", "text")).alias("_c"))
     body = rows.select("acq_id", F.col("slice").cast("int").alias("slice"), F.col("frame").cast("long").alias("position"), _joined("_c", " ").alias("line"))
     per = onsets.groupBy("acq_id").agg(F.array_sort(F.collect_list(F.struct("slice", "onset"))).alias("_o"))
-    shape = regressors.groupBy("acq_id").agg((F.max("frame") + 1).alias("_n"))
+    shape = regressors.where(F.col("frame").isNotNull()).groupBy("acq_id").agg((F.max("frame") + 1).alias("_n"))
     head = per.join(shape, "acq_id")
     comment = lambda position, text: head.select("acq_id", F.lit(-1).alias("slice"), F.lit(position).cast("long").alias("position"), text.alias("line"))
     onset = F.array_join(F.transform("_o", lambda s: s["onset"].cast("string")), ",")
