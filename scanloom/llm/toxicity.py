@@ -202,7 +202,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             known = _scores[key] = WordScores(line)
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            made = pa.array(document_scores(part.column("__text").to_pylist(), known, bias))
+            made = pa.array(document_scores(part.column(text).to_pylist(), known, bias))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), made], [*keep, "score"])
-    read = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    # the text travels once: as itself where it is kept
+    text = "text" if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else "__text"
+    read = docs.select(*keep, *([] if text in keep else [F.col("text").cast("string").alias(text)]))
     return arrow_map(read, step, read.select(*keep, F.lit(0.0).alias("score")).schema)
