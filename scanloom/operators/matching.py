@@ -214,34 +214,49 @@ def match_labs(requests: DataFrame, groups: DataFrame, lab: str = "lab_id", cuto
             .where("n = 1").select(F.col("lab").alias(lab), "gid"))
 
 
+def character_set(text: str) -> Column:
+    """The characters of a text as bits of one long; characters 64 code points apart share a bit."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)
+    return F.aggregate(F.split(F.col(text), ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(bit(c)))
+
+
 def shared_pieces(asks: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
     """All (lab, gid) pairs that can reach ``cutoff``, by the pigeonhole rule.
 
     A ratio of ``cutoff`` on lengths a and b takes m = ceil(cutoff * (a + b) / 2) matched characters and leaves
-    at most d = a + b - 2 m unmatched, a - m in the lab and b - m in the gid. Cutting the lab into d + 1 pieces,
-    one piece stays untouched and occurs in the gid, at most a - m places earlier and b - m later. Labs emit their pieces, gids emit the texts such pieces could have; they meet on equality. Labs
-    emit only for lengths that some gid has. Matching characters are a common subsequence, so the edit
-    distance is at most d as well; pairs beyond it go before anything is shuffled or scored.
+    at most x = a - m unmatched in the lab and y = b - m in the gid, d = x + y in all. Cut the lab into pieces
+    0 to d and take the first piece i up to which at most i errors are met: it is untouched, with exactly i errors
+    before it. Of these u <= x are lost lab characters and i - u <= y foreign ones, so the gid holds the piece
+    i - 2u places later. That makes about (d / 2 + 1) squared texts for a gid and length, and d + 1 for a lab, whose
+    pieces depend on its own length and d alone. Labs emit only for lengths that some gid has. A pair is dropped where it
+    meets if more than x characters occur in the lab alone or more than y in the gid alone. Matching characters are
+    a common subsequence, so the edit distance is at most d as well; pairs beyond it go before anything is
+    shuffled or scored.
     """
     stretch = cutoff / (2.0 - cutoff)
-    m = F.ceil(cutoff * (F.col("a") + F.col("b")) / 2 - 1e-9).cast("int")
-    d = (F.col("a") + F.col("b") - 2 * m).cast("int")
+    matched = lambda a, b: F.ceil(cutoff * (a + b) / 2 - 1e-9).cast("int")
+    errors = lambda a, b: (a + b - 2 * matched(a, b)).cast("int")
     partner = lambda n: F.sequence(F.greatest(F.lit(1), F.ceil(n * stretch - 1e-9).cast("int")),
                                    F.floor(n / stretch + 1e-9).cast("int"))
-    pieces = F.explode(F.sequence(F.lit(0), F.col("d")))
-    start = F.floor(F.col("i") * F.col("a") / (F.col("d") + 1)).cast("int")
-    stop = F.floor((F.col("i") + 1) * F.col("a") / (F.col("d") + 1)).cast("int")
+    edge = lambda i: F.floor(i * F.col("a") / (F.col("d") + 1)).cast("int")
     lengths = known.where("gid != ''").agg(F.collect_set(F.length("gid"))).scalar()
-    labs = (asks.where("lab != ''").withColumn("a", F.length("lab")).withColumn("b", F.explode(F.array_intersect(partner(F.col("a")), lengths)))
-            .withColumn("d", d).withColumn("i", pieces)
-            .withColumn("piece", F.substring(F.col("lab"), start + 1, stop - start)))
-    gids = (known.where("gid != ''").withColumn("b", F.length("gid")).withColumn("a", F.explode(partner(F.col("b"))))
-            .withColumn("d", d).withColumn("i", pieces)
-            .withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), start - F.col("a").cast("int") + m), start + F.col("b").cast("int") - m)))
-            .where(F.col("at") + stop - start <= F.col("b"))
-            .withColumn("piece", F.substring(F.col("gid"), F.col("at") + 1, stop - start)))
-    keys = ["a", "b", "i", "piece"]
-    met = labs.select("lab", "d", *keys).join(gids.select("gid", *keys).distinct(), keys)
+    lab_pieces = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.substring(F.col("lab"), edge(i) + 1, edge(i + 1) - edge(i)))
+    labs = (asks.where("lab != ''").withColumn("a", F.length("lab")).withColumn("_l", character_set("lab"))
+            .withColumn("_b", F.array_intersect(partner(F.col("a")), lengths))
+            .withColumn("d", F.explode(F.array_distinct(F.transform("_b", lambda b: errors(F.col("a"), b)))))
+            .select("lab", "_l", "a", "d", F.posexplode(lab_pieces).alias("i", "piece")))
+    lost, foreign = F.col("a") - F.col("m"), F.col("b") - F.col("m")
+    first, size = edge(F.col("i")), edge(F.col("i") + 1) - edge(F.col("i"))
+    places = F.transform(F.sequence(F.greatest(F.lit(0), F.col("i") - foreign), F.least(F.col("i"), lost)),
+                         lambda u: first + F.col("i") - 2 * u)
+    inside = F.filter(places, lambda at: (at >= 0) & (at + size <= F.col("b")))
+    gids = (known.where("gid != ''").withColumn("b", F.length("gid")).withColumn("_g", character_set("gid"))
+            .withColumn("a", F.explode(partner(F.col("b")))).withColumn("m", matched(F.col("a"), F.col("b"))).withColumn("d", errors(F.col("a"), F.col("b")))
+            .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+            .select("gid", "_g", lost.alias("_x"), foreign.alias("_y"), "a", "d", "i", F.explode(F.array_distinct(F.transform(
+                inside, lambda at: F.substring(F.col("gid"), at + 1, size)))).alias("piece")))
+    only = lambda one, other: F.bit_count(F.col(one).bitwiseAND(F.bitwise_not(F.col(other))))
+    met = labs.join(gids, ["a", "d", "i", "piece"]).where((only("_l", "_g") <= F.col("_x")) & (only("_g", "_l") <= F.col("_y")))
     return met.where(F.expr("levenshtein(lab, gid, d)") >= 0).select("lab", "gid").distinct()
 
 

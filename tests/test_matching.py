@@ -97,3 +97,27 @@ def test_lab_match_equals_close_matches(spark):
     for ask in set(asks):
         close = difflib.get_close_matches(ask, known, cutoff=0.8)
         assert got.get(ask) == (close[0] if len(close) == 1 else None), ask
+
+
+def test_pieces_lose_no_pair_at_any_cutoff(spark):
+    """Random texts over few characters and their edits, of unequal lengths, non-ASCII and repeated letters among them."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 16))) for _ in range(60)] + ["a" * 9, "z" * 300, ""]
+
+    def edited(text):
+        for _ in range(rng.randrange(0, 5)):
+            at = rng.randrange(0, len(text) + 1)
+            text = text[:at] + rng.choice(["", "a", "é", "xb"]) + text[at + rng.randrange(0, 3):]
+        return text
+
+    labs = sorted({edited(t) for t in base for _ in range(6)})
+    gids = sorted(set(base))
+    left = spark.createDataFrame([(t,) for t in labs], "lab string")
+    right = spark.createDataFrame([(t,) for t in gids], "gid string")
+    for cutoff in (0.6, 0.8, 0.93, 1.0):
+        met = matching.shared_pieces(left, right, cutoff).collect()
+        found = {(r.lab, r.gid) for r in met}
+        assert len(met) == len(found)
+        close = {(a, g) for a in labs for g in gids if a and g and difflib.SequenceMatcher(None, g, a).ratio() >= cutoff
+                 or a and g and difflib.SequenceMatcher(None, a, g).ratio() >= cutoff}
+        assert close <= found
