@@ -45,9 +45,17 @@ def unique_targets(files: DataFrame, folder: str, name: str, order: list[str]) -
 
 
 def manifest_files(catalog: Catalog, user_id: int, where: dict[str, Column] | None = None, raw: bool | None = False,
-                   legacy: bool = False, root: str = "archive", superuser: bool = False) -> DataFrame:
-    """One row per downloadable file: source path, target folder, target name (before collisions)."""
+                   legacy: bool = False, root: str = "archive", superuser: bool = False,
+                   selected: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """One row per downloadable file: source path, target folder, target name (before collisions).
+
+    ``selected``: a level of the hierarchy and the ids (column ``id``) wanted there; repeated, unknown and NULL ids
+    change nothing. The ids stay a table and reach their level as a semi-join.
+    """
     rows = readable_datasets(catalog, user_id, 1, where, superuser)
+    if selected is not None:
+        level, ids = selected
+        rows = rows.join(ids.select(F.col("id").cast("long").alias(f"{level}_id")), f"{level}_id", "left_semi")
     if raw is not None:
         rows = by_kind(rows, raw, "dataset_kind")
     if legacy:
@@ -72,6 +80,20 @@ def download_manifest(catalog: Catalog, user_id: int, where: dict[str, Column] |
     return unique_targets(files, "folder", "name", ["dataset_id", "position"]).select("source", "target")
 
 
+def download_selected(catalog: Catalog, user_id: int, level: str, ids: DataFrame, raw: bool = False, legacy: bool = False,
+                      root: str = "archive", superuser: bool = False) -> DataFrame:
+    """(source, target) for the files below the sessions, epochs or datasets of an id list.
+
+    Sessions and epochs give peripheral and derived data, with ``raw`` everything but viewer files; datasets picked
+    one by one are given whatever their kind. Trashed rows are included, and each dataset is held against the
+    privilege its kind needs.
+    """
+    if level not in ("session", "epoch", "dataset"):
+        raise ValueError(f"no download by ids of a {level}")
+    files = manifest_files(catalog, user_id, None, None if level == "dataset" else raw, legacy, root, superuser, (level, ids))
+    return unique_targets(files, "folder", "name", ["dataset_id", "position"]).select("source", "target")
+
+
 # virtual path tree --------------------------------------------------------------------------------
 
 

@@ -45,11 +45,14 @@ def contains_trash(catalog: Catalog, top: str = "experiment") -> dict[str, DataF
 
 
 def renumber_subjects(subjects: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Codes ``s001`` … per experiment by first session time; subjects without sessions come last."""
+    """Codes ``s001`` … per experiment by first session time; subjects without sessions come last.
+
+    Only keys are numbered (and written for it); whole rows meet their new code once, on the id.
+    """
     first = sessions.groupBy(F.col("subject_id").alias("id")).agg(F.min("timestamp").alias("_first"))
-    placed = subjects.join(first, "id", "left").withColumn("_none", F.col("_first").isNull())
-    numbered = row_numbers(placed, ["experiment_id"], ["_none", "_first", "id"], "_n")
-    return numbered.withColumn("code", F.format_string("s%03d", F.col("_n"))).drop("_n", "_none", "_first")
+    keys = subjects.select("id", "experiment_id").join(first, "id", "left").withColumn("_none", F.col("_first").isNull())
+    numbered = row_numbers(keys, ["experiment_id"], ["_none", "_first", "id"], "_n").select("id", F.format_string("s%03d", "_n").alias("_code"))
+    return subjects.join(numbered, "id").withColumn("code", F.col("_code")).select(*subjects.columns)
 
 
 def primary_datasets(datasets: DataFrame) -> DataFrame:

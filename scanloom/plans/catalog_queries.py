@@ -578,6 +578,30 @@ def _(tb):
     return manifest.download_manifest(tb.catalog, 12, raw=False, legacy=True)
 
 
+_URGENT = "select o_orderkey as id from {orders} where o_orderpriority = '1-URGENT'"
+_FAILED = "select o_orderkey * 8 + 1 + o_custkey % 7 as id from {orders} where o_orderkey % 7 = 3"
+_LOST = "select (l_orderkey * 8 + l_linenumber) * 8 + case when l_linestatus = 'O' then 5 else 4 end as id from {lineitem} where l_returnflag = 'R'"
+
+
+@query("Q5_download_sessions", _manifest_sql(12, f"d.kind <> 'web' and e.session_id in ({_URGENT.format(orders='orders')})", _FOLDER, "s.f"))
+def _(tb):
+    """All data but viewer files of the sessions marked urgent."""
+    return manifest.download_selected(tb.catalog, 12, "session", tb.sql(_URGENT), raw=True)
+
+
+@query("Q5_download_epochs", _manifest_sql(12, f"d.kind in ('peripheral', 'derived') and e.id in ({_FAILED.format(orders='orders')})", _FOLDER, "s.f"))
+def _(tb):
+    """Peripheral and derived data of the epochs with a failed job."""
+    failed = tb.catalog.job.where("status = 'failed'").select(F.col("data_container_id").alias("id"))
+    return manifest.download_selected(tb.catalog, 12, "epoch", failed)
+
+
+@query("Q5_download_datasets", _manifest_sql(12, f"d.id in ({_LOST.format(lineitem='lineitem')})", _FOLDER, "s.f"))
+def _(tb):
+    """Datasets picked one by one, whatever their kind, each id asked for as often as it has lines."""
+    return manifest.download_selected(tb.catalog, 12, "dataset", tb.sql(_LOST))
+
+
 @query("Q6_list_datasets", f"""with v as (select d.*, e.num_slices, e.num_timepoints from {_DATA}
       join (select experiment_id, max(privilege) as has from access where user_id = 14 group by 1) a on a.experiment_id = x.id
       where d.trashtime is null and a.has >= case when d.kind in ('primary', 'secondary') then 2 else 1 end)

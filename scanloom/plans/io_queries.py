@@ -165,14 +165,23 @@ def _(tb):
         "acq_id", "position", F.size(F.split("line", ",")).cast("long").alias("cells"))
 
 
-@series("S12_signals_json", """select acq_id, (select string_agg(cast(trunc(value) as bigint), ',' order by idx) from signal w where w.acq_id = a.acq_id and kind = 'resp_wave') as resp_wave,
-    (select string_agg(cast(trunc(value) as bigint), ',' order by idx) from signal w where w.acq_id = a.acq_id and kind = 'resp_trig') as resp_trig from (select distinct acq_id from timing) a""")
+_STAMPS = {k: f"string_agg(cast(round(({v}) * 1000) as bigint)::varchar, ',' order by idx) filter (kind = '{w}')" for k, v, w in (
+    ("resp_time", "0.04::double * idx - ro", "resp_wave"), ("card_time", "0.04::double * idx - co", "card_wave"),
+    ("resp_trig", "value", "resp_trig"), ("card_trig", "value * 0.04::double - co", "card_trig"))}
+_WAVES = {k: f"string_agg(cast(trunc(value) as bigint)::varchar, ',' order by idx) filter (kind = '{k}')" for k in ("resp_wave", "card_wave")}
+
+
+@series("S12_signals_json", f"""with n as (select acq_id, 0.04::double * (max(idx) filter (kind = 'resp_wave') + 1) - 18.0::double as ro,
+      0.04::double * (max(idx) filter (kind = 'card_wave') + 1) - 18.0::double as co from signal group by 1)
+    select acq_id, {', '.join(f"coalesce({v}, '') as {k}" for k, v in (_STAMPS | _WAVES).items())} from signal join n using (acq_id) group by 1""")
 def _(tb):
+    """All six arrays as read back; times and triggers in thousandths."""
     folder = scratch_folder(tb.spark, "signals-json")
     writers.write_signals_json(tb.signal, tb.timing, folder)
-    read = tb.spark.read.schema("acq_id long, resp_wave array<long>, resp_trig array<double>").json(folder)
-    return read.select("acq_id", F.array_join(F.col("resp_wave").cast("array<string>"), ",").alias("resp_wave"),
-                       F.array_join(F.transform("resp_trig", lambda v: v.cast("long").cast("string")), ",").alias("resp_trig"))
+    arrays = ", ".join([f"{k} array<double>" for k in _STAMPS] + [f"{k} array<long>" for k in _WAVES])
+    read = tb.spark.read.schema(f"acq_id long, {arrays}").json(folder)
+    whole = lambda c: F.array_join(F.transform(c, lambda v: F.round(v * 1000).cast("long").cast("string")), ",").alias(c)
+    return read.select("acq_id", *[whole(c) for c in _STAMPS], *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in _WAVES])
 
 
 @series("S13_regressor_legacy", "select acq_id, slice, 19::bigint as n from timing union all select distinct acq_id, -1, 4::bigint from timing")

@@ -118,7 +118,8 @@ _READY = """ready as (select *, case when split_part(ltrim(patient_id, '@'), '/'
       case when split_part(patient_id, '/', 1) like '%zz' then patient_id when contains(patient_id, '/') then split_part(patient_id, '/', 2) else 'untitled' end as exp,
       case when is_screenshot then 0 else acq_no end as acq,
       case when is_screenshot then date_trunc('day', timestamp) + interval '86399' second else timestamp end as ts from scan_record),
-    ep as (select series_uid, acq, arg_min(r, arrival_seq) as r from (select series_uid, acq, arrival_seq, {'arrival_seq': arrival_seq, 'exam_uid': exam_uid, 'exam_no': exam_no, 'gid': gid, 'exp': exp, 'operator': operator, 'ts': ts, 'series_no': series_no, 'series_desc': series_desc, 'psd_name': psd_name} as r from ready) q group by 1, 2),
+    ep as (select series_uid, acq, arg_min(r, arrival_seq) as r from (select series_uid, acq, arrival_seq, {'arrival_seq': arrival_seq, 'exam_uid': exam_uid, 'exam_no': exam_no, 'gid': gid, 'exp': exp, 'operator': operator, 'ts': ts, 'series_no': series_no, 'series_desc': series_desc, 'psd_name': psd_name,
+      'code': case when contains(patient_id, '@') then split_part(patient_id, '@', 1) else '' end, 'first': subj_firstname, 'last': subj_lastname, 'dob': subj_dob} as r from ready) q group by 1, 2),
     se as (select r.exam_uid as exam_uid, arg_min(r, r.arrival_seq) as r, min(r.ts) as start from ep group by 1)"""
 
 
@@ -142,6 +143,33 @@ def _(tb):
         F.col("epoch_timestamp").alias("timestamp"), F.col("epoch_id").alias("id"))
 
 
+# a creator is the first session of a code, of a person (also when met as the first of a code before), or an unnamed one;
+# codes made here follow the highest number seen so far in the experiment
+_SUBJECTS = f"""with {_READY}, a as (select exam_uid, r.arrival_seq as seq, r.gid as gid, r.exp as exp, r.code as code, r.first as first, r.last as last, r.dob as dob,
+      case when r.code <> '' then 'code' when r.first <> '' and r.last <> '' then 'name' else 'none' end as how from se),
+    cc as (select gid, exp, code, min(seq) as creator from a where how = 'code' group by 1, 2, 3),
+    pool as (select gid, exp, first, last, coalesce(cast(dob as varchar), '') as dob, seq from a where how = 'name' or seq in (select creator from cc)),
+    nc as (select gid, exp, first, last, dob, min(seq) as creator from pool group by 1, 2, 3, 4, 5),
+    l as (select a.*, case how when 'code' then cc.creator when 'name' then nc.creator else a.seq end as creator from a
+      left join cc on a.how = 'code' and cc.gid = a.gid and cc.exp = a.exp and cc.code = a.code
+      left join nc on a.how = 'name' and nc.gid = a.gid and nc.exp = a.exp and nc.first = a.first and nc.last = a.last and nc.dob = coalesce(cast(a.dob as varchar), '')),
+    made as (select *, case when how = 'code' then cast('0' || regexp_replace(code, '[^0-9]+', '', 'g') as bigint) end as number,
+      count(*) filter (how <> 'code') over (partition by gid, exp order by seq) as u from a where seq in (select creator from l)),
+    coded as (select *, u + greatest(0, coalesce(max(number - u) over (partition by gid, exp order by seq), 0)) as next from made)
+    select row_number() over (order by seq) as id, case when how = 'code' then code else printf('s%03d', next) end as code, first as firstname, last as lastname, dob,
+      gid, exp as experiment, (select count(*) from l where l.creator = coded.seq) as sessions from coded"""
+
+
+@query("M1_ingest_subjects", _SUBJECTS)
+def _(tb):
+    done = ingest.ingest(_empty_archive(tb), tb.view("scan_record"), _NOW)
+    sessions = done.session.groupBy(F.col("subject_id").alias("id")).agg(F.count(F.lit(1)).alias("sessions"))
+    place = done.chain("experiment", "research_group").select("experiment_id", F.col("experiment_name").alias("experiment"),
+                                                              F.col("research_group_gid").alias("gid"))
+    return done.subject.join(place, "experiment_id").join(sessions, "id", "left").select(
+        "id", "code", "firstname", "lastname", "dob", "gid", "experiment", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+
+
 @query("M2_arbitration", f"""with {_READY}, d as (select series_uid, acq, filetype, min(arrival_seq) as seq, arg_min(priority, arrival_seq) as priority from ready group by 1, 2, 3),
     w as (select *, max(priority) over (partition by series_uid, acq order by seq rows between unbounded preceding and 1 preceding) as before from d),
     v as (select *, before is null or before < priority as wins from w),
