@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators import physio, quality, repair
 from scanloom.plans.registry import query
-from scanloom.plans.signal_queries import _BRAIN, _DRIFT, _gradients, _reports, _runs, series
+from scanloom.plans.signal_queries import _BRAIN, _DRIFT, _MOVED, _THRESHOLD, _gradients, _reports, _runs, series
 from scanloom.plans.state_queries import _NOW, _READY, _empty_archive
 from scanloom.session import cut_lineage, scratch_folder
 from scanloom.sources import readers, writers
@@ -150,6 +150,41 @@ def _(tb):
     return read.select(F.col("`temporal SNR (median)`").alias("tsnr"), F.size("spikes").cast("long").alias("n_spikes"))
 
 
+def _read_reports(tb, label: str) -> DataFrame:
+    """Reports of every acquisition, written by the sink and read back."""
+    folder = scratch_folder(tb.spark, label)
+    writers.write_qa_reports(_reports(tb), folder)
+    return tb.spark.read.schema(f"acq_id long, {readers.QA_SCHEMA}").json(folder)
+
+
+_POSE = ("t0", "t1", "t2", "rx", "ry", "rz")
+
+
+@series("S10_qa_report_frames", f"""with {_BRAIN}, {_MOVED}, level as (select acq_id, avg(g) as fill from g group by 1)
+    select acq_id, t as frame, round_even(absolute, 2) as mean_displacement, round_even(relative, 2) as relative_displacement, round_even(coalesce(g, fill), 3) as global_signal,
+      {', '.join(f'round_even({c}, 4) as {c}' for c in _POSE)} from moved join level using (acq_id) left join g using (acq_id, t)""")
+def _(tb):
+    """The four arrays of the report sink that hold one entry per frame."""
+    read = _read_reports(tb, "report-frames")
+    zipped = F.arrays_zip("frame #", "transrot", "mean displacement", "relative displacement", "global mean signal")
+    rows = read.select("acq_id", F.explode(zipped).alias("f"))
+    return rows.select("acq_id", F.col("f.`frame #`").alias("frame"), F.col("f.`mean displacement`").alias("mean_displacement"),
+                       F.col("f.`relative displacement`").alias("relative_displacement"), F.col("f.`global mean signal`").alias("global_signal"),
+                       *[F.col("f.transrot")[k].alias(c) for k, c in enumerate(_POSE)])
+
+
+@series("S10_qa_report_scores", f"""with {_BRAIN}, {_MOVED}, every as (select acq_id, t, z from (select distinct acq_id, t from motion) a join (select distinct acq_id, z from means) b using (acq_id)),
+      top as (select acq_id, round_even(max(relative), 3) as max_md, round_even(median(relative), 3) as median_md from moved group by 1)
+    select acq_id, z, t, round_even(coalesce(zs, 0), 1) as zscore, max_md, median_md, 1.0::double as version, 2.0::double as tr, {_THRESHOLD}::double as threshold
+    from every left join p2 using (acq_id, z, t) join top using (acq_id)""")
+def _(tb):
+    """Scores of all slices and frames and the single numbers of the report sink."""
+    read = _read_reports(tb, "report-scores")
+    one = [F.col("`max md`").alias("max_md"), F.col("`median md`").alias("median_md"), "version", "tr", F.col("`spike thresh`").alias("threshold")]
+    slices = read.select("acq_id", *one, F.posexplode("timeseries zscore").alias("z", "row"))
+    return slices.select("acq_id", "z", F.posexplode("row").alias("t", "zscore"), "max_md", "median_md", "version", "tr", "threshold")
+
+
 def _onsets(tb):
     return tb.timing.select("acq_id", "slice", "onset")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators import physio, quality, repair
 from scanloom.operators.matching import asof, bracket, window_moments
-from scanloom.operators.ordering import convolve, difference, group_median, near, running_total
+from scanloom.operators.ordering import convolve, difference, group_median, near, row_numbers, running_total
 from scanloom.operators.polyfit import detrend, polyfit, polyval
 from scanloom.plans.registry import query
 from scanloom.plans.testbed import series_oracle
@@ -139,6 +139,18 @@ def _(tb):
     return quality.displacement(tb.motion).select("acq_id", "t", _r("absolute").alias("absolute"), _r("relative").alias("relative"))
 
 
+_MOVED = ("moved as (select acq_id, t, " + f"{_ABS} as absolute, coalesce({_REL}, 0) as relative, t0, t1, t2, degrees(rx) as rx, degrees(ry) as ry, degrees(rz) as rz from (select *, "
+          + ", ".join(f"lag({a}) over w as p{a}" for a in _AFF + ["t0", "t1", "t2"]) + " from motion window w as (partition by acq_id order by t)) l)")
+
+
+@series("A9_relative_motion", f"with {_MOVED} select acq_id, round(median(relative), 6) as median, round(max(relative), 6) as high from moved group by 1")
+def _(tb):
+    """Median and greatest displacement between neighbouring frames of each acquisition."""
+    moved = quality.displacement(tb.motion)
+    high = moved.groupBy("acq_id").agg(_r(F.max("relative")).alias("high"))
+    return group_median(moved, ["acq_id"], "relative").join(high, "acq_id").select("acq_id", _r("median").alias("median"), "high")
+
+
 @series("T7_rotation_degrees", "select acq_id, t, round(degrees(rx), 6) as rx, round(degrees(ry), 6) as ry, round(degrees(rz), 6) as rz from motion")
 def _(tb):
     return quality.displacement(tb.motion).select("acq_id", "t", *[_r(c).alias(c) for c in ("rx", "ry", "rz")])
@@ -359,11 +371,19 @@ def _(tb):
     w as (select event_type, avg(value) as w0, sum(value * p1) / sum(p1 * p1) as w1, sum(value * p2) / sum(p2 * p2) as w2 from o group by 1)
     select event_id, round(value - w0 - w1 * p1 - w2 * p2, 4) as rest from o join w using (event_type)""")
 def _(tb):
-    from scanloom.operators.ordering import row_numbers
     e = row_numbers(tb.base("events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"], "i")
     return detrend(e, ["event_type"], "i", "value", 2, "rest").select("event_id", _r("rest", 4).alias("rest"))
 
 
+@query("A21_third_degree_fit", """with e as (select event_type, event_id, value, (row_number() over (partition by event_type order by event_id) - 1)::double as i, count(*) over (partition by event_type)::double as n from events),
+    o as (select *, i - (n - 1) / 2 as p1 from e), q as (select *, p1**2 - (n * n - 1) / 12 as p2, p1**3 - (3 * n * n - 7) / 20 * p1 as p3 from o),
+    w as (select event_type, avg(value) as w0, sum(value * p1) / sum(p1 * p1) as w1, sum(value * p2) / sum(p2 * p2) as w2, sum(value * p3) / sum(p3 * p3) as w3 from q group by 1)
+    select event_id, round(value - w0 - w1 * p1 - w2 * p2 - w3 * p3, 4) as rest from q join w using (event_type)""")
+def _(tb):
+    e = row_numbers(tb.base("events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"], "i")
+    return detrend(e, ["event_type"], "i", "value", 3, "rest").select("event_id", _r("rest", 4).alias("rest"))
+
+
 @query("A21_cubic_fit", """select event_type, round(regr_slope(value, event_id), 8) as slope from events group by 1""")
 def _(tb):
     fit = polyfit(tb.base("events"), ["event_type"], "event_id", "value", 1)
