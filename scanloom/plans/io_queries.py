@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators import physio, quality, repair
 from scanloom.plans.registry import query
-from scanloom.plans.signal_queries import _BRAIN, _DRIFT, _MOVED, _THRESHOLD, _gradients, _reports, _runs, series
+from scanloom.plans.signal_queries import _BRAIN, _DRIFT, _MOVED, _REGRESSORS, _THRESHOLD, _gradients, _reports, _runs, series
 from scanloom.plans.state_queries import _NOW, _READY, _empty_archive
 from scanloom.session import cut_lineage, scratch_folder
 from scanloom.sources import readers, writers
@@ -200,6 +200,34 @@ def _(tb):
         "acq_id", "position", F.size(F.split("line", ",")).cast("long").alias("cells"))
 
 
+def _frame_cells(lines, separator: str):
+    """Every cell of the body lines of one table: (frame, k, value), counted from 0."""
+    body = F.filter(lines, lambda line: (line != "") & ~line.startswith("#"))
+    return F.posexplode(F.transform(body, lambda line: F.split(F.trim(line), separator))).alias("frame", "cells")
+
+
+@series("S11_S13_regressor_cells", f"""{_REGRESSORS} select 'table' as form, acq_id, slice, frame, name, round(value, 5) + 0 as value from done
+    union all select 'slices', acq_id, slice, frame, name, round(value, 6) + 0 from done""")
+def _(tb):
+    """The cells of both regressor files, read back; the regressors are computed once."""
+    folder = scratch_folder(tb.spark, "regressor-cells")
+    regressors = cut_lineage(physio.regressors(tb.signal, tb.timing))
+    writers.write_regressors(regressors, _onsets(tb), f"{folder}/table")
+    writers.write_regressors_legacy(regressors, _onsets(tb), f"{folder}/slices")
+    text = lambda form: tb.spark.read.text(f"{folder}/{form}", wholetext=True).withColumn("acq_id", F.col("acq_id").cast("long"))
+    names, n = F.array(*[F.lit(r) for r in physio.REGRESSORS]), len(physio.REGRESSORS)
+    table = text("table").select("acq_id", _frame_cells(F.split("value", "\n"), ",")).select(
+        "acq_id", "frame", F.posexplode("cells").alias("k", "cell")).withColumn("slice", F.floor(F.col("k") / n))
+    parts = text("slices").select("acq_id", F.explode(F.split("value", "# slice ")).alias("part")).where(~F.col("part").startswith("#"))
+    slices = parts.select("acq_id", F.split("part", "\n").alias("_l")).select(
+        "acq_id", F.get("_l", F.lit(0)).cast("long").alias("slice"), _frame_cells(F.slice("_l", 2, F.size("_l")), " +")).select(
+        "acq_id", "slice", "frame", F.posexplode("cells").alias("k", "cell"))
+    rows = table.select(F.lit("table").alias("form"), "acq_id", "slice", "frame", "k", "cell").unionAll(
+        slices.select(F.lit("slices").alias("form"), "acq_id", "slice", "frame", "k", "cell"))
+    return rows.select("form", "acq_id", F.col("slice").cast("int").alias("slice"), "frame", F.get(names, F.col("k") % n).alias("name"),
+                       (F.col("cell").cast("double") + 0).alias("value"))
+
+
 _STAMPS = {k: f"string_agg(cast(round(({v}) * 1000) as bigint)::varchar, ',' order by idx) filter (kind = '{w}')" for k, v, w in (
     ("resp_time", "0.04::double * idx - ro", "resp_wave"), ("card_time", "0.04::double * idx - co", "card_wave"),
     ("resp_trig", "value", "resp_trig"), ("card_trig", "value * 0.04::double - co", "card_trig"))}

@@ -585,9 +585,13 @@ _LONG = " union all ".join(f"select acq_id, slice, frame, '{n}' as name, {n} as
 _LONG += " union all select acq_id, slice, frame, 'rv_rrf', y from rr union all select acq_id, slice, frame, 'rv_rrf_d', d from rr union all select acq_id, slice, frame, 'hr_crf', y from hc union all select acq_id, slice, frame, 'hr_crf_d', d from hc"
 
 
-@series("P10_regressors", f"""with {_AL}, {_CARD}, {_SMOOTH}, {_RESP}, f as ({_TERMS}), {_RV}, {_fold('rv', 'rv', _RRF, 'rr')}, {_HR}, {_fold('hr', 'hr', _CRF, 'hc')}, lg as ({_LONG}),
-    o as (select *, frame - 8.5 as p1, (frame - 8.5)**2 - 323.0::double / 12 as p2 from lg), q as (select acq_id, slice, name, avg(v) as w0, sum(v * p1) / sum(p1 * p1) as w1, sum(v * p2) / sum(p2 * p2) as w2 from o group by 1, 2, 3)
-    select acq_id, slice, frame, name, round(v - w0 - w1 * p1 - w2 * p2, 4) as value from o join q using (acq_id, slice, name) union all select acq_id, slice, frame, 'hr', round(hr, 4) from hr""")
+# all thirteen regressors, detrended; "select" follows
+_REGRESSORS = f"""with {_AL}, {_CARD}, {_SMOOTH}, {_RESP}, f as ({_TERMS}), {_RV}, {_fold('rv', 'rv', _RRF, 'rr')}, {_HR}, {_fold('hr', 'hr', _CRF, 'hc')}, lg as ({_LONG}),
+    o as (select *, frame - 8.5 as p1, (frame - 8.5)**2 - 323.0::double / 12 as p2 from lg), q as (select acq_id, slice, name, avg(v) as w0, sum(v * p1) / sum(p1 * p1) as w1, sum(v * p2) / sum(p2 * p2) as w2 from o group by 1, 2, 3),
+    done as (select acq_id, slice, frame, name, v - w0 - w1 * p1 - w2 * p2 as value from o join q using (acq_id, slice, name) union all select acq_id, slice, frame, 'hr', hr from hr)"""
+
+
+@series("P10_regressors", f"{_REGRESSORS} select acq_id, slice, frame, name, round(value, 4) as value from done")
 def _(tb):
     return physio.regressors(tb.signal, tb.timing).withColumn("value", _r("value", 4))
 
