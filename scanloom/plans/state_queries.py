@@ -231,7 +231,39 @@ _MOVES = """select user_id as request_id, (user_id * 3) % 150 as requester_id, u
     from (select distinct user_id from {events}) u"""
 
 
-@query("M5_change_membership")
+_MOVED_ROLES = f"""cmd as ({_MOVES.format(events='events')}),
+    su as (select id from archive_user where admin_mode and id in (select user_id from user_group where group_id = 1)),
+    rank as (select research_group_id, user_id, bool_or(role = 'pi') as pi from group_role where role in ('pi', 'manager') group by 1, 2),
+    may as (select request_id, bool_and(c.requester_id in (select id from su) or (r.user_id is not null and (r.pi or (c.src <> 'pis' and c.dst <> 'pis')))) as may
+        from cmd c left join rank r on r.research_group_id = c.research_group_id and r.user_id = c.requester_id group by 1),
+    retro as (select c.*, x.id as experiment_id, case dst when 'pis' then 4 when 'admins' then 4 when 'members' then 2 end as privilege from cmd c join experiment x on x.owner_id = c.research_group_id where retroactive),
+    heads as (select distinct research_group_id, user_id from group_role h where role = 'pi' and not exists (select 1 from retro r where r.src = 'pis' and r.user_id = h.user_id and r.research_group_id = h.research_group_id)
+        union select research_group_id, user_id from retro where dst = 'pis'),
+    managed as (select user_id, experiment_id, max(privilege) as p from access group by 1, 2),
+    refused as (select distinct request_id from retro r left join managed a on a.user_id = r.requester_id and a.experiment_id = r.experiment_id
+        where not (coalesce(a.p >= 4, false) or r.requester_id in (select id from su)) or exists (select 1 from heads h where h.user_id = r.user_id and h.research_group_id = r.research_group_id)),
+    done as (select *, case src when 'pis' then 'pi' when 'admins' then 'manager' when 'members' then 'member' end as old, case dst when 'pis' then 'pi' when 'admins' then 'manager' when 'members' then 'member' end as new
+        from cmd where request_id in (select request_id from may where may) and request_id not in (select request_id from refused)),
+    roles as (select g.research_group_id, g.user_id, g.role from group_role g where not exists (select 1 from done d where d.research_group_id = g.research_group_id and d.user_id = g.user_id and g.role in (d.old, d.new))
+        union all select distinct research_group_id, user_id, new from done where new is not null),
+    last as (select user_id, experiment_id, arg_max(coalesce(privilege, 0), request_id) as p from retro where request_id in (select request_id from done) group by 1, 2),
+    grants as (select user_id, experiment_id, privilege from access a where not exists (select 1 from last l where l.user_id = a.user_id and l.experiment_id = a.experiment_id)
+        union all select user_id, experiment_id, p from last where p > 0)"""
+
+
+@query("M5_roles_after", f"with {_MOVED_ROLES} select research_group_id, user_id, role from roles")
+def _(tb):
+    return state.change_membership(tb.catalog, tb.sql(_MOVES))[0].group_role.select("research_group_id", "user_id", "role")
+
+
+@query("M5_access_after", f"with {_MOVED_ROLES} select user_id, experiment_id, privilege from grants")
+def _(tb):
+    return state.change_membership(tb.catalog, tb.sql(_MOVES))[0].access.select("user_id", "experiment_id", "privilege")
+
+
+@query("M5_change_membership", f"""with {_MOVED_ROLES} select research_group_id || ' ' || role as what, count(*) as n from roles group by 1
+    union all select case when request_id in (select request_id from done) then 'success true' else 'success false' end, count(*) from cmd group by 1
+    union all select 'privilege ' || privilege, count(*) from grants group by 1""")
 def _(tb):
     after, verdict = state.change_membership(tb.catalog, tb.sql(_MOVES))
     roles = after.group_role.groupBy("research_group_id", "role").agg(F.count(F.lit(1)).alias("n")).select(
@@ -379,19 +411,36 @@ def _(tb):
     return state.merge_archives(stored, incoming).select("key", F.array_join("files", ", ").alias("files"), "action")
 
 
-@query("S19_register_files", f"""with cmd as (select p_partkey as request_id, case when p_partkey % 2 = 0 then p_partkey * 64 + 8 end as dataset_id, cast(p_partkey as int) as exam, 1 as series, 1 as acq from part),
-     pl as (select s.exam, e.series, e.acq, min(e.id) as id from epoch e join session s on e.session_id = s.id group by 1, 2, 3)
-    select request_id, case when dataset_id is null then case when pl.id is null then 'no epoch' else 'created' end
-       when d.id is null then 'no dataset' when request_id % 5 = 0 then 'missing file' when request_id % 3 = 0 and contains(d.filenames, 'scan.nii.gz') and request_id % 7 <> 0 then 'name conflict' else 'added' end as outcome
-    from cmd left join dataset d on d.id = cmd.dataset_id left join pl on pl.exam = cmd.exam and pl.series = cmd.series and pl.acq = cmd.acq""")
-def _(tb):
+def _registrations(tb):
     cmd = tb.base("part").selectExpr(
         "p_partkey as request_id", "case when p_partkey % 2 = 0 then p_partkey * 64 + 8 end as dataset_id", "cast(p_partkey as int) as exam",
         "1 as series", "1 as acq", "'nifti' as filetype", "cast(null as string) as label", "p_partkey % 7 = 0 as force",
         "array(case when p_partkey % 5 = 0 then 'absent.nii' when p_partkey % 3 = 0 then 'scan.nii.gz' else concat('f', p_partkey) end) as names")
     listing = tb.base("part").selectExpr("concat('f', p_partkey) as name").unionAll(
         tb.base("part").selectExpr("'scan.nii.gz' as name").distinct())
-    return state.register_files(tb.catalog, cmd, listing)[1]
+    return cmd, listing
+
+
+@query("S19_register_files", f"""with cmd as (select p_partkey as request_id, case when p_partkey % 2 = 0 then p_partkey * 64 + 8 end as dataset_id, cast(p_partkey as int) as exam, 1 as series, 1 as acq from part),
+     pl as (select s.exam, e.series, e.acq, min(e.id) as id from epoch e join session s on e.session_id = s.id group by 1, 2, 3)
+    select request_id, case when dataset_id is null then case when pl.id is null then 'no epoch' else 'created' end
+       when d.id is null then 'no dataset' when request_id % 5 = 0 then 'missing file' when request_id % 3 = 0 and contains(d.filenames, 'scan.nii.gz') and request_id % 7 <> 0 then 'name conflict' else 'added' end as outcome
+    from cmd left join dataset d on d.id = cmd.dataset_id left join pl on pl.exam = cmd.exam and pl.series = cmd.series and pl.acq = cmd.acq""")
+def _(tb):
+    return state.register_files(tb.catalog, *_registrations(tb))[1]
+
+
+@query("S19_registered_datasets", """with cmd as (select p_partkey as request_id, case when p_partkey % 2 = 0 then p_partkey * 64 + 8 end as dataset_id, cast(p_partkey as int) as exam,
+        case when p_partkey % 5 = 0 then null when p_partkey % 3 = 0 then 'scan.nii.gz' else 'f' || p_partkey end as name from part),
+    pl as (select s.exam, min(e.id) as id from epoch e join session s on e.session_id = s.id where e.series = 1 and e.acq = 1 group by 1)
+    select d.id as id, d.container_id as container_id, d.kind as kind, d.filetype as filetype, d.label as label,
+      case when c.name is null or list_contains(string_split(d.filenames, ', '), c.name) then d.filenames when d.filenames = '' then c.name else d.filenames || ', ' || c.name end as files
+    from dataset d left join cmd c on c.dataset_id = d.id
+    union all select (select max(id) from dataset) + row_number() over (order by request_id), pl.id, 'derived', 'nifti', 'NIfTI', coalesce(name, '') from cmd join pl using (exam) where dataset_id is null""")
+def _(tb):
+    """The whole dataset table after the registrations: grown, created and untouched rows."""
+    return state.register_files(tb.catalog, *_registrations(tb))[0].select(
+        "id", "container_id", "kind", "filetype", "label", F.array_join("filenames", ", ").alias("files"))
 
 
 # names -------------------------------------------------------------------------------------------
