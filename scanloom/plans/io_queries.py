@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom import catalog
 from scanloom.operators import physio, quality, repair
 from scanloom.plans.registry import query
 from scanloom.plans.signal_queries import _BRAIN, _DRIFT, _MOVED, _REGRESSORS, _THRESHOLD, _gradients, _reports, _runs, series
@@ -38,20 +39,75 @@ def _observe(events: DataFrame) -> DataFrame:
 
 # sources -----------------------------------------------------------------------------------------
 
-@query("S2_list_staged", "select lang, 1 as n from documents group by 1")
+def _written(rows: DataFrame, folder: str, *places: str) -> str:
+    """Text files (column value), one folder for each value of ``places``; a group's rows are one bounded file."""
+    rows.repartition(*places).write.partitionBy(*places).text(folder)
+    return folder
+
+
+def _place(name: str, column: str = "path") -> Column:
+    return F.regexp_extract(column, f"{name}=([^/]*)", 1)
+
+
+@query("S1_load_catalog", """select d.id as dataset_id, case when d.filenames = '' then 0 else len(string_split(d.filenames, ', ')) end as n_files, d.kind as kind, e.series as series,
+    e.trashtime is not null as epoch_trashed, s.uid as uid, s.timestamp as taken, u.code as code, u.trashtime is not null as subject_trashed, x.name as experiment, g.gid as lab
+    from dataset d join epoch e on d.container_id = e.id join session s on e.session_id = s.id join subject u on s.subject_id = u.id
+    join experiment x on u.experiment_id = x.id join research_group g on x.owner_id = g.id""")
+def _(tb):
+    """Entity tables in their stored form, written, loaded by their declared schemas and chained."""
+    folder, levels = scratch_folder(tb.spark, "catalog"), catalog.CONTAINERS
+    shared = lambda column, level: F.col(column) * len(levels) + levels.index(level)  # containers share one range of ids
+
+    def stored(rows: DataFrame, entity: str) -> DataFrame:
+        return rows.select(*[F.col(f.name).cast(f.dataType) for f in catalog.schema_of(entity) if f.name in rows.columns])
+
+    containers = None
+    for level in levels:
+        key, above = catalog.PARENT[level]
+        rows = tb.catalog.frames[level].withColumn("id", shared("id", level))
+        if above in levels:
+            rows = rows.withColumn(key, shared(key, above))
+        stored(rows.drop("timestamp", "trashtime", "dirty", "scheduling"), level).write.parquet(f"{folder}/{level}")
+        own = stored(rows, "data_container")
+        containers = own if containers is None else containers.unionByName(own, allowMissingColumns=True)
+    containers.write.parquet(f"{folder}/data_container")
+    datasets = tb.catalog.dataset.withColumn("container_id", shared("container_id", "epoch")).withColumn("filenames", catalog.join_filenames("filenames"))
+    stored(datasets, "dataset").write.parquet(f"{folder}/dataset")
+    stored(tb.catalog.research_group, "research_group").write.parquet(f"{folder}/research_group")
+    rows = catalog.load_catalog(tb.spark, folder).chain("dataset", "research_group")
+    return rows.select(
+        "dataset_id", F.size("dataset_filenames").alias("n_files"), F.col("dataset_kind").alias("kind"), F.col("epoch_series").alias("series"),
+        F.col("epoch_trashtime").isNotNull().alias("epoch_trashed"), F.col("session_uid").cast("string").alias("uid"), F.col("session_timestamp").alias("taken"),
+        F.col("subject_code").alias("code"), F.col("subject_trashtime").isNotNull().alias("subject_trashed"),
+        F.col("experiment_name").alias("experiment"), F.col("research_group_gid").alias("lab"))
+
+
+_BYTES = "cast(sum(coalesce(strlen(text), 0) + 1) as bigint) as size"
+
+
+@query("S2_list_staged", f"select cast(floor(doc_id / 25) as bigint) as item, {_BYTES} from documents group by 1")
+def _(tb):
+    """Staged items are folders of 25 documents, so their number grows with the table and none of them does."""
+    rows = tb.base("documents").select(F.floor(F.col("doc_id") / 25).alias("item"), F.col("text").alias("value"))
+    listed = readers.list_staged(tb.spark, _written(rows, scratch_folder(tb.spark, "staged"), "item"))
+    return listed.groupBy(_place("item").cast("long").alias("item")).agg(F.sum("length").alias("size"))
+
+
+@query("S2_staged_stream", f"select cast(floor(doc_id / 100) as bigint) as item, {_BYTES} from documents group by 1")
 def _(tb):
-    folder = scratch_folder(tb.spark, "staged")
-    tb.base("documents").select("lang", "text").repartition("lang").write.partitionBy("lang").text(folder)
-    rows = readers.list_staged(tb.spark, folder)
-    return rows.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """The stream of staged items, 20 files in a micro-batch; every file arrives once."""
+    rows = tb.base("documents").select(F.floor(F.col("doc_id") / 100).alias("item"), F.col("text").alias("value"))
+    folder = _written(rows, scratch_folder(tb.spark, "staged"), "item")
+    seen = _drain(readers.read_staged(tb.spark, folder, 20).select("path", "length"), "staged-seen")
+    return seen.groupBy(_place("item").cast("long").alias("item")).agg(F.sum("length").alias("size"))
 
 
-@query("S3_raw_listing", "select source, true as filled from documents group by 1")
+@query("S3_raw_listing", f"select source, cast(floor(doc_id / 500) as bigint) as item, {_BYTES} from documents group by 1, 2")
 def _(tb):
-    folder = scratch_folder(tb.spark, "raw")
-    tb.base("documents").select("source", "text").repartition("source").write.partitionBy("source").text(folder)
-    rows = readers.read_raw_listing(tb.spark, folder, "2020-01-01", "part-*")
-    return rows.select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), (F.col("size") > 0).alias("filled"))
+    rows = tb.base("documents").select("source", F.floor(F.col("doc_id") / 500).alias("item"), F.col("text").alias("value"))
+    folder = _written(rows, scratch_folder(tb.spark, "raw"), "source", "item")
+    listed = readers.read_raw_listing(tb.spark, folder, "2020-01-01", "part-*")
+    return listed.groupBy(_place("source").alias("source"), _place("item").cast("long").alias("item")).agg(F.sum("size").alias("size"))
 
 
 @series("S4_read_signals", "select cast(acq_id as varchar) as recording, kind, idx, round(value, 2) as value from signal")
@@ -84,6 +140,26 @@ def _(tb):
     return quality.qa_summary(readers.parse_qa_reports(texts))
 
 
+@query("S5_read_sidecars", "select s_suppkey as epoch, case when s_suppkey % 4 = 0 then null else s_name end as experiment, s_suppkey % 4 <> 0 as complete from supplier")
+def _(tb):
+    """One sidecar file for each supplier; those without an experiment keep their text."""
+    texts = tb.base("supplier").selectExpr("s_suppkey as recording", """concat('{"group": "g", ',
+        case when s_suppkey % 4 = 0 then '' else concat('"experiment": "', s_name, '", ') end, '"session": "s", "epoch": "', s_suppkey, '", "timestamp": "t"}') as value""")
+    good, bad = readers.read_sidecar(tb.spark, _written(texts, scratch_folder(tb.spark, "sidecars"), "recording"), "part-*")
+    return good.select(F.col("epoch").cast("long").alias("epoch"), "experiment", F.lit(True).alias("complete")).unionAll(
+        bad.select(F.get_json_object("value", "$.epoch").cast("long"), F.lit(None).cast("string"), F.lit(False)))
+
+
+@query("S6_read_reports", "select s_suppkey as report, case when s_suppkey % 2 = 0 then 0.1::double else 1.0::double end as version, round(s_acctbal, 2) as tsnr, cast(s_suppkey % 3 as int) as num_spikes from supplier")
+def _(tb):
+    """One report file for each supplier, every other one in the older form."""
+    body = """concat('{', case when s_suppkey % 2 = 0 then '' else '"version": 1.0, ' end, '"temporal SNR (median)": ', cast(s_acctbal as string), ', "frame #": [0, 1], "spikes": [',
+        array_join(slice(array('[1, 2]', '[3, 4]'), 1, cast(s_suppkey % 3 as int)), ', '), ']}')"""
+    texts = tb.base("supplier").selectExpr("s_suppkey as report", f"case when s_suppkey % 2 = 0 then concat('[', {body}, ']') else {body} end as value")
+    read = readers.read_qa_reports(tb.spark, _written(texts, scratch_folder(tb.spark, "report-files"), "report"), "folder")
+    return quality.qa_summary(read).select(_place("report", "report_id").cast("long").alias("report"), "version", "tsnr", "num_spikes")
+
+
 @query("S7_notch_log", "select o_orderdate + interval '1' second * (o_orderkey % 60) as start, case when o_custkey % 3 = 0 then 0 else (o_custkey % 50) + 0.25::double end as duration, cast(o_custkey as int) as notches from orders where case when o_custkey % 3 = 0 then 0 else (o_custkey % 50) + 0.25 end > 10")
 def _(tb):
     folder = scratch_folder(tb.spark, "log")
@@ -106,6 +182,19 @@ def _(tb):
     return out.select("folder", "i", "bval", *[F.round(F.col(c), 4).cast("float").alias(c) for c in ("bx", "by", "bz")])
 
 
+@query("S8_read_gradients", """select cast(floor(vec_id / 50) as bigint) as acq_id, cast(vec_id % 50 as int) as i, (vec_id % 7)::double as bval,
+    embedding[21]::float as bx, embedding[22]::float as "by", embedding[23]::float as bz from embeddings""")
+def _(tb):
+    """A b-value file and a b-vector file for each 50 vectors, written and read back."""
+    rows = tb.base("embeddings").selectExpr("floor(vec_id / 50) as acq", "vec_id % 50 as i", "vec_id % 7 as b", *[f"embedding[{20 + k}] as g{k}" for k in range(3)])
+    line = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(c).cast("string").alias("s")))), lambda e: e["s"]), " ")
+    packed = rows.groupBy("acq").agg(line("b").alias("bval"), F.concat_ws("\n", line("g0"), line("g1"), line("g2")).alias("bvec"))
+    folder = scratch_folder(tb.spark, "gradients")
+    parts = [_written(packed.select("acq", F.col(c).alias("value")), f"{folder}/{c}", "acq") for c in ("bval", "bvec")]
+    out = readers.read_gradients(tb.spark, *parts)
+    return out.select(_place("acq", "folder").cast("long").alias("acq_id"), "i", "bval", *[F.col(c).cast("float").alias(c) for c in ("bx", "by", "bz")])
+
+
 @query("S9_scan_responses", """select event_id, k as position, event_type || k as patient, cast(event_id % 90 + k as varchar) as images from events, range(0, 2) q(k) where event_id % 5 <> 0""")
 def _(tb):
     one = """concat('\\nW: # Dicom-Data-Set\\nW: # Used TransferSyntax: Little Endian Explicit\\n', 'W: (0010,0020) LO [', event_type, {k}, ' ]  #  14, 1 PatientID\\n',
@@ -116,6 +205,18 @@ def _(tb):
                        F.col("tags")["ImagesInAcquisition"].alias("images"))
 
 
+@query("S9_read_responses", """select s_suppkey as capture, cast(k as bigint) as position, s_name || '.' || k as patient, cast(s_nationkey + k as varchar) as images from supplier, range(0, 2) q(k) where s_suppkey % 5 <> 0""")
+def _(tb):
+    """One captured answer for each supplier, with two responses; every fifth capture failed."""
+    one = """concat('\\nW: # Dicom-Data-Set\\nW: # Used TransferSyntax: Little Endian Explicit\\n', 'W: (0010,0020) LO [', s_name, '.{k}', ' ]  #  14, 1 PatientID\\n',
+        'W: (0020,1002) IS [', s_nationkey + {k}, ']  #   2, 1 ImagesInAcquisition\\n')"""
+    text = f"""concat('I: start\\nW: ----', {one.format(k=0)}, 'W: ----', {one.format(k=1)}, 'I: DIMSE Status : ', case when s_suppkey % 5 = 0 then 'Failed' else '0x0000: Success' end, '\\n') as value"""
+    folder = _written(tb.base("supplier").selectExpr("s_suppkey as capture", text), scratch_folder(tb.spark, "captures"), "capture")
+    rows = readers.read_scan_responses(tb.spark, folder)
+    return rows.select(_place("capture", "folder").cast("long").alias("capture"), F.col("position").cast("long").alias("position"),
+                       F.col("tags")["PatientID"].alias("patient"), F.col("tags")["ImagesInAcquisition"].alias("images"))
+
+
 @query("S17_verify_uploads", "select doc_id, sha1(text) as actual, doc_id % 2 = 0 as valid from documents")
 def _(tb):
     files = tb.base("documents").select(F.concat(F.lit("up/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
@@ -124,9 +225,9 @@ def _(tb):
     return readers.verify_uploads(files, manifest).select(F.col("name").cast("long").alias("doc_id"), "actual", "valid")
 
 
-@query("S18_content_digest", "select cast(doc_id % 50 as varchar) as folder, sha1(string_agg(text, '' order by doc_id)) as digest from documents group by 1")
+@query("S18_content_digest", "select cast(cast(floor(doc_id / 20) as bigint) as varchar) as folder, sha1(string_agg(text, '' order by doc_id)) as digest from documents group by 1")
 def _(tb):
-    files = tb.base("documents").select((F.col("doc_id") % 50).cast("string").alias("folder"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"),
+    files = tb.base("documents").select(F.floor(F.col("doc_id") / 20).cast("string").alias("folder"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"),
                                         F.col("text").cast("binary").alias("content"))
     return readers.content_digests(files)
 

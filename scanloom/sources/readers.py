@@ -66,8 +66,8 @@ def read_signals(spark: SparkSession, path: str, recording: str = r"([^/]+)/[^/]
         "recording", "kind", "idx", F.col("text").cast("double").alias("value"))
 
 
-def read_sidecar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_sidecars(whole_text(spark, path, "*_physio.json"))
+def read_sidecar(spark: SparkSession, path: str, glob: str = "*_physio.json") -> tuple[DataFrame, DataFrame]:
+    return parse_sidecars(whole_text(spark, path, glob))
 
 
 def parse_sidecars(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +88,9 @@ QA_SCHEMA = ("version double, tr double, `frame #` array<int>, transrot array<ar
              "`spike thresh` double")
 
 
-def read_qa_reports(spark: SparkSession, path: str) -> DataFrame:
-    return parse_qa_reports(whole_text(spark, path))
+def read_qa_reports(spark: SparkSession, path: str, named_by: str = "name") -> DataFrame:
+    """Reports of a folder; a report is named by its file (``name``) or by the ``folder`` it lies in."""
+    return parse_qa_reports(whole_text(spark, path).select(F.col(named_by).alias("name"), "value"))
 
 
 def parse_qa_reports(texts: DataFrame) -> DataFrame:
@@ -120,7 +121,10 @@ def read_notch_log(spark: SparkSession, path: str, min_duration: float = 10.0, r
                        F.trim("_VALUE").cast("int").alias("notches")).where(F.col("duration") > min_duration)
 
 
-def read_gradients(spark: SparkSession, path: str) -> DataFrame:
+def read_gradients(spark: SparkSession, path: str, vectors: str | None = None) -> DataFrame:
+    """Tables of ``*.bval`` and ``*.bvec`` files; with ``vectors`` all files of ``path`` are b-values, all of ``vectors`` b-vectors."""
+    if vectors is not None:
+        return parse_gradients(whole_text(spark, path), whole_text(spark, vectors))
     return parse_gradients(whole_text(spark, path, "*.bval"), whole_text(spark, path, "*.bvec"))
 
 
