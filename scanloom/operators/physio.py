@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.catalog import Catalog
-from scanloom.operators.matching import asof, bracket, range_join, window_moments
+from scanloom.operators.matching import asof, bracket, physio_files, range_join, window_moments
 from scanloom.operators.ordering import convolve, near
 from scanloom.session import cut_lineage
 
@@ -445,6 +445,21 @@ def attach_outcome(recorded, has_slice_order, scanner, found, valid, excluded: t
             .when(F.coalesce(valid, F.lit(False)), "valid physio found").otherwise("invalid physio found and discarded"))
 
 
+def attach(epochs: DataFrame, files: DataFrame, verdicts: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """(id, outcome, file): what the search for an epoch's recording ends with, and the first file of a valid one.
+
+    ``files``: name, psd, ts and the acq_id of the recording they hold; ``verdicts``: acq_id, valid (see ``validity``). A
+    recording without a verdict is invalid. Only epochs that search and have a recording take part in the match.
+    """
+    skipped = (F.coalesce("num_slices", F.lit(0)) <= 1) | (F.coalesce(F.col("scanner_name").isin(*excluded), F.lit(False)) if excluded else F.lit(False))
+    asks = epochs.where(F.col("physio_recorded") & ~skipped).select(F.col("id").alias("epoch_id"), "psd", "timestamp")
+    judged = files.select("name", "acq_id").distinct().join(verdicts.select("acq_id", "valid"), "acq_id", "left")
+    hits = physio_files(asks, files.select("name", "psd", "ts").distinct()).join(judged, "name").groupBy(F.col("epoch_id").alias("id")).agg(
+        F.min("name").alias("file"), F.bool_or(F.coalesce("valid", F.lit(False))).alias("_valid"))
+    outcome = attach_outcome(F.col("physio_recorded"), F.col("num_slices") > 1, F.col("scanner_name"), F.col("file").isNotNull(), F.col("_valid"), excluded)
+    return epochs.join(hits, "id", "left").select("id", outcome.alias("outcome"), F.when(F.col("_valid") & outcome.isNotNull(), F.col("file")).alias("file"))
+
+
 def recompute_scope(catalog: Catalog, experiment_id: int) -> DataFrame:
     """Epochs of an experiment whose physio dataset holds exactly one recording archive: (epoch_id, file)."""
     rows = catalog.chain("dataset", "subject", {

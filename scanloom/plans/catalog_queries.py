@@ -369,15 +369,20 @@ _PHYSIO = """scans as (select id as epoch_id, psd, timestamp + interval 30 secon
                o_orderdate + interval '1' second * (o_orderkey * 104729 % 86400) as ts from orders) q)"""
 
 
+def recording_files(tb):
+    """Names of recordings, one for each order, with the sequence and time they hold."""
+    files = tb.sql("""select concat('RESPData_', psd, '_', date_format(ts, 'MMddyyyyHH_mm_ss'), '_0') as name from (
+        select case o_custkey % 5 when 0 then 'muxepi' when 1 then 'mux2_dwi' when 2 then 'efgre3d' when 3 then 'spiral' else 'EPI' end as psd,
+               o_orderdate + interval '1' second * (o_orderkey * 104729 % 86400) as ts from {orders})""")
+    return files.select("name", text.physio_file_psd("name").alias("psd"), text.physio_file_time("name").alias("ts"))
+
+
 @query("J12_physio_files", f"""with {_PHYSIO}
     , first as (select epoch_id, any_value(s.psd) as psd, min(f.ts) as ts from scans s join files f on s.psd = f.psd and f.ts >= s.t
         and cast(f.ts as date) between cast(s.t as date) and cast(s.t as date) + 1 group by epoch_id)
     select epoch_id, f.ts as ts, f.name as name from first join files f using (psd, ts)""")
 def _(tb):
-    files = tb.sql("""select concat('RESPData_', psd, '_', date_format(ts, 'MMddyyyyHH_mm_ss'), '_0') as name from (
-        select case o_custkey % 5 when 0 then 'muxepi' when 1 then 'mux2_dwi' when 2 then 'efgre3d' when 3 then 'spiral' else 'EPI' end as psd,
-               o_orderdate + interval '1' second * (o_orderkey * 104729 % 86400) as ts from {orders})""")
-    files = files.select("name", text.physio_file_psd("name").alias("psd"), text.physio_file_time("name").alias("ts"))
+    files = recording_files(tb)
     scans = tb.catalog.epoch.where("physio_recorded").select(F.col("id").alias("epoch_id"), "psd", "timestamp")
     return matching.physio_files(scans, files)
 
@@ -436,6 +441,21 @@ def _(tb):
     return row_numbers(keyed, [], ["tokens", "p_partkey"], "place").select("p_partkey", "cell", "place")
 
 
+@query("O1_sort_lanes", """with c as (select o_orderkey, case o_orderkey % 4 when 0 then '0x' || printf('%x', o_orderkey) when 1 then strftime(o_orderdate, '%Y-%m-%d')
+        when 2 then o_custkey || '.' || o_orderkey % 100 else o_orderpriority || o_custkey end as cell,
+      case o_orderkey % 4 when 0 then o_orderkey::double when 1 then epoch(o_orderdate::timestamp) end as lane from orders),
+    t as (select *, case when o_orderkey % 4 = 2 then [{'a': 0, 'b': cell::double, 'c': cell}] else list_transform(regexp_extract_all(cell, '([0-9]+|[^0-9]+)'),
+      lambda t: {'a': case when regexp_matches(t, '^[0-9]') then 0 else 1 end, 'b': case when regexp_matches(t, '^[0-9]') then t::double else 0 end, 'c': t}) end as k from c)
+    select o_orderkey, cell, row_number() over (order by lane nulls first, k, o_orderkey) as place from t""")
+def _(tb):
+    """Cells of all lanes: hex numbers and dates by their value, after numbers and text."""
+    from scanloom.functions.sortkey import natural_key
+    rows = tb.base("orders").selectExpr("o_orderkey", """case o_orderkey % 4 when 0 then concat('0x', lower(hex(o_orderkey))) when 1 then date_format(o_orderdate, 'yyyy-MM-dd')
+        when 2 then concat(o_custkey, '.', o_orderkey % 100) else concat(o_orderpriority, o_custkey) end as cell""")
+    keyed = rows.withColumn("key", natural_key("cell")).select("o_orderkey", "cell", "key.*")
+    return row_numbers(keyed, [], ["lane", "tokens", "o_orderkey"], "place").select("o_orderkey", "cell", "place")
+
+
 @query("O2_default_order", f"select strftime(s.timestamp, '%Y-%m-%d %H:%M') as time, s.exam as exam, 'sess=' || s.id as row_id from session s join subject u on s.subject_id = u.id join experiment x on u.experiment_id = x.id where x.id = 5 and s.trashtime is null and {_grant(5, 1)} order by 1 desc, 3")
 def _(tb):
     return listing.default_order(listing.list_sessions(tb.catalog, 5, 5), "sessions").select("time", "exam", "row_id")

@@ -10,7 +10,8 @@ from scanloom.operators.matching import asof, bracket, window_moments
 from scanloom.operators.ordering import convolve, difference, group_median, near, row_numbers, running_total
 from scanloom.operators.polyfit import detrend, polyfit, polyval
 from scanloom.plans.registry import query
-from scanloom.plans.testbed import series_oracle
+from scanloom.plans.catalog_queries import _PHYSIO, recording_files
+from scanloom.plans.testbed import oracle, series_oracle
 from scanloom.session import cut_lineage
 
 _SKIP, _THRESHOLD = 6, 2.0
@@ -20,6 +21,10 @@ def series(name, sql=None):
     return query(name, sql, series_oracle)
 
 
+def series_and_views(name, sql):
+    return query(name, sql, lambda body: oracle(series_oracle(body)))
+
+
 def _r(column, digits=6):
     return F.round(column, digits)
 
@@ -631,13 +636,58 @@ def _(tb):
                                                 F.col("id") % 2 == 0, ("scanner X",)).alias("outcome"))
 
 
-@series("P13_denoise")
+@series_and_views("P12_attach_recordings", f"""with {_PHYSIO}, {_AL}, {_PULSE}, {_BANDS}, bands as (select acq_id, avg(case when k < 20 then a end) / avg(case when k > 230 then a end) as ratio from sp group by 1),
+    verdict as (select acq_id, nframes >= {physio.MIN_FRAMES} and (coalesce(sd > {physio.MIN_CARD_STD} and good > {physio.MIN_GOOD_RATE}, false) or coalesce(ratio > {physio.MIN_RESP_RATIO}, false)) as valid
+        from (select distinct acq_id, nframes from timing) t left join c using (acq_id) left join g using (acq_id) left join bands using (acq_id)),
+    hit as (select epoch_id, any_value(s.psd) as psd, min(f.ts) as ts from scans s join files f on s.psd = f.psd and f.ts >= s.t
+        and cast(f.ts as date) between cast(s.t as date) and cast(s.t as date) + 1 group by epoch_id)
+    select e.id as id, case when e.num_slices = 1 or e.scanner_name = 'scanner X' then null when not e.physio_recorded then 'physio not recorded' when hit.ts is null then 'no physio files found'
+        when coalesce(v.valid, false) then 'valid physio found' else 'invalid physio found and discarded' end as outcome,
+      case when e.num_slices <> 1 and e.scanner_name <> 'scanner X' and e.physio_recorded and v.valid then 'RESPData_' || hit.psd || '_' || strftime(hit.ts, '%m%d%Y%H_%M_%S') || '_0' end as file
+    from epoch e left join hit on hit.epoch_id = e.id left join verdict v on v.acq_id = extract(second from hit.ts) % 20""")
+def _(tb):
+    """Epochs, the files of J12 and the verdicts of P11 in one join; a file holds the recording its second tells."""
+    files = recording_files(tb).withColumn("acq_id", (F.second("ts") % 20).cast("long"))
+    return physio.attach(tb.catalog.epoch, files, physio.validity(tb.signal, tb.timing), ("scanner X",))
+
+
+_DESIGN = 16  # columns of a slice's design: 1, t, t^2, the last regressor, then the twelve that are taken out
+_ORDERED = ("hr", *physio.REGRESSORS[:-1])
+
+
+def _least_squares() -> str:
+    """The fit in SQL: the design's columns are made orthogonal one after another, then solved from the last one back."""
+    scores = f"""scored as (select acq_id, slice as z, frame, name, coalesce((value - avg(value) over w) / nullif(stddev_pop(value) over w, 0), 0) as value
+        from done window w as (partition by acq_id, slice, name)),
+      x0 as (select acq_id, z, list(1.0::double order by frame) filter (name = 'hr') as c0, list(frame - 8.5::double order by frame) filter (name = 'hr') as c1,
+        list((frame - 8.5::double)**2 order by frame) filter (name = 'hr') as c2, {', '.join(f"list(value order by frame) filter (name = '{n}') as c{3 + i}" for i, n in enumerate(_ORDERED))}
+        from scored group by acq_id, z)"""
+    steps = [scores, f"x1 as (select *, {', '.join(f'c{i} as o{i}' for i in range(4, _DESIGN))} from x0)"]
+    for j in range(_DESIGN):
+        share = lambda i: f"coalesce(list_dot_product(c{j}, c{i}) / nullif(list_dot_product(c{j}, c{j}), 0), 0)"
+        later = range(j + 1, _DESIGN)
+        less = ", ".join(f"list_transform(range(1, len(c{i}) + 1), lambda n: c{i}[n] - c{j}[n] * {share(i)}) as c{i}" for i in later)
+        kept = "".join(f", {share(i)} as r{j}_{i}" for i in later) if j >= 4 else ""
+        steps.append(f"x{j + 2} as (select *{f' replace ({less})' if less else ''}{kept} from x{j + 1})")
+    back = [f"y as (select v.acq_id, v.x, v.y, v.z, list(v.v order by v.t) as whole, list(v.v order by v.t)[1:18] as seen from voxel v group by 1, 2, 3, 4)",
+            f"b{_DESIGN} as (select * from y join x{_DESIGN + 1} using (acq_id, z))"]
+    for j in range(_DESIGN - 1, 3, -1):
+        rest = "".join(f" - r{j}_{i} * w{i}" for i in range(j + 1, _DESIGN))
+        back.append(f"b{j} as (select *, coalesce(list_dot_product(c{j}, seen) / nullif(list_dot_product(c{j}, c{j}), 0), 0){rest} as w{j} from b{j + 1})")
+    taken = " - ".join(["seen[n]", *(f"o{i}[n] * w{i}" for i in range(4, _DESIGN))])
+    back.append(f"clean as (select acq_id, x, y, z, whole, seen, list_transform(range(1, 19), lambda n: {taken}) as less from b4)")
+    back.append("fitted as (select acq_id, x, y, z, whole, less, (list_var_samp(seen) - list_var_samp(less)) / list_var_samp(seen) as gain from clean)")
+    return ", ".join([*steps, *back])
+
+
+@series("P13_denoise", f"""{_REGRESSORS}, {_least_squares()} select acq_id, x, y, z, t::int as t, round(case when t < 18 then less[t + 1] else whole[t + 1] end, 4) as v, round(gain, 4) as variance_reduced
+    from (select *, unnest(range(0, len(whole))) as t from fitted)""")
 def _(tb):
     return physio.denoise(tb.voxel, physio.regressors(tb.signal, tb.timing)).select(
         "acq_id", "x", "y", "z", "t", _r("v", 4).alias("v"), _r("variance_reduced", 4).alias("variance_reduced"))
 
 
-@series("A22_slice_regression")
+@series("A22_slice_regression", f"{_REGRESSORS}, {_least_squares()} select acq_id, z, cast(sum(len(whole)) as bigint) as n, round(sum(gain * len(whole)) / sum(len(whole)), 4) as variance_reduced from fitted group by 1, 2")
 def _(tb):
     out = physio.denoise(tb.voxel, physio.regressors(tb.signal, tb.timing))
     return out.groupBy("acq_id", "z").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("variance_reduced"), 4).alias("variance_reduced"))
@@ -649,6 +699,19 @@ def _(tb):
     return tb.base("events").groupBy("event_type").agg(_r((v("value") - v(F.col("value") / 2)) / v("value")).alias("reduced"))
 
 
+@series_and_views("P14_recompute", f"""{_REGRESSORS}, scope as (select distinct e.id as id from dataset d join epoch e on d.container_id = e.id join session s on e.session_id = s.id join subject u on s.subject_id = u.id
+    where u.experiment_id = 3 and d.kind = 'peripheral' and d.filetype = 'physio' and d.id % 3 = 0) select scope.id as acq_id, slice, frame, name, round(value, 4) as value from done join scope on scope.id % 20 = done.acq_id""")
+def _(tb):
+    """Regressors of all epochs of an experiment that hold one archive; those with two or none are left out."""
+    archive = F.when(F.col("id") % 3 == 0, F.array(F.lit("a_physio.tgz"), F.lit("a_physio_regressors.csv.gz"))).when(
+        F.col("id") % 3 == 1, F.array(F.lit("a_physio.tgz"), F.lit("b_physio.tgz"))).otherwise(F.col("filenames"))
+    archived = tb.catalog.replace(dataset=tb.catalog.dataset.withColumn("filenames", F.when(F.col("filetype") == "physio", archive).otherwise(F.col("filenames"))))
+    owners = tb.catalog.epoch.select(F.col("id"), (F.col("id") % 20).alias("acq_id"))  # a recording belongs to every epoch of its remainder
+    held = physio.recompute_scope(archived, 3).select(F.col("epoch_id").alias("id")).distinct().join(owners, "id")
+    own = lambda rows: rows.join(held, "acq_id").drop("acq_id").withColumnRenamed("id", "acq_id")
+    return physio.recompute(archived, 3, own(tb.signal), own(tb.timing)).withColumn("value", _r("value", 4))
+
+
 @query("P14_recompute_scope", """select e.id as epoch_id from dataset d join epoch e on d.container_id = e.id join session s on e.session_id = s.id join subject u on s.subject_id = u.id
     where u.experiment_id = 3 and d.kind = 'peripheral' and d.filetype = 'physio' and contains(d.filenames, '_physio.tgz')""")
 def _(tb):
