@@ -48,6 +48,31 @@ def test_few_rows(spark, tmp_path, data):
     assert out == want
 
 
+def test_chunks_of_a_query_cell_and_rows_of_one_id(spark, monkeypatch):
+    """One cell holds nearly all queries, many share a vector, and one id fills the first places of its own vector."""
+    monkeypatch.setattr(knn, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(knn, "PART_ROWS", 50)
+    r = np.random.default_rng(9)
+    data = [(100 * i, (np.ones(4) + 0.01 * r.normal(size=4)).tolist()) for i in range(40)] + [(100 * i, [1.0] * 4) for i in range(40, 80)]
+    data += [(300, [2.0] * 4)] * 25 + [(7, [3.0, 0.0, 0.0, 0.0])] * 15 + [(8, [-1.0] * 4)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(5)
+    out = [tuple(x) for x in knn.top_k(knn.scaled_vectors(frame), F.col("vec_id") % 100 == 0).collect()]
+    asked = {(i, tuple(v)) for i, v in data if i % 100 == 0}
+    scaled = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in data]
+    want = []
+    for q, v in asked:
+        a = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in scaled if i != q)[:10]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(scored)]
+    assert sorted(out) == sorted(want)
+
+
+def test_no_id_takes_more_than_k():
+    ids, scores = np.array([5] * 30 + [1, 2, 3]), np.array([9.0] * 30 + [1, 2, 9])
+    assert ids[knn.spared(scores, ids, 3)].tolist() == [3, 5, 5, 5, 2, 1]
+    assert ids[knn.spared(scores[:2], ids[:2], 3)].tolist() == [5, 5]
+
+
 def test_only_near_cells_are_replicated():
     """Far apart groups: the bound of a query cell excludes the others' data."""
     pivots = np.array([[0.0, 0], [1000, 0]])
