@@ -41,6 +41,7 @@ class Unit:
     hashes: Callable[[Any], np.ndarray]
     join: Callable[[Any], bytes]
     repeated: Callable[[list[bytes], int], np.ndarray]  # flags of all windows, in order
+    block: int = 1 << 22  # packed bytes settled at a time, at most
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -261,7 +262,7 @@ def _settled(packed: DataFrame, unit: Unit) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in got], ["key", "place", "end"])
 
     keys = ["anchor", "part"]
-    return by_groups(packed.repartition(*keys).sortWithinPartitions(*keys), keys, settle, "key long, place long, end long", BLOCK_BYTES)
+    return by_groups(packed.repartition(*keys).sortWithinPartitions(*keys), keys, settle, "key long, place long, end long", min(BLOCK_BYTES, unit.block))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

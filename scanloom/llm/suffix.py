@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scanloom.llm.repeats import Spans, Unit, without_repeats
+from scanloom.llm.repeats import Unit, without_repeats
 
 WIDTH, ANCHOR = 100, 24  # bytes
 
@@ -36,38 +36,90 @@ def longest_previous_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(nearest_smaller(order, lcp), nearest_smaller(order[::-1], back)[::-1])
 
 
+SEPARATOR = 256  # between strings; no byte equals it
+FIRST = 7  # symbols of 9 bits that fit one sort key
+
+
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes of ``text`` ordered by their first ``depth`` symbols or more, later ones first on ties, and the ranks after
+    every doubling as (symbols compared, rank by position). A rank is the place of the first suffix of its group."""
+    n = len(text)
+    key = np.zeros(n, np.int64)
+    for k in range(FIRST):
+        key <<= 9
+        key[:max(0, n - k)] |= text[k:] + 1
+    order = n - 1 - np.argsort(key[::-1], kind="stable")
+    key = key[order]
+    place = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), place, 0))
+    del key
+    known, levels = FIRST, [(FIRST, rank)]
+    while known < depth:
+        ranked = rank[order]
+        tied = np.flatnonzero(np.concatenate([ranked[1:] == ranked[:-1], [False]]) | np.concatenate([[False], ranked[1:] == ranked[:-1]]))
+        if not len(tied):
+            break
+        at = order[tied]
+        beyond = at + known
+        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)].astype(np.int64) + 1, 0)
+        key = rank[at].astype(np.int64) * (n + 1) + second
+        turn = np.argsort(key, kind="stable")  # groups stay in their places, and ties in their order
+        order[tied] = at[turn]
+        key = key[turn]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        rank = rank.copy()
+        rank[order[tied]] = np.maximum.accumulate(np.where(head, tied, 0))
+        known *= 2
+        levels.append((known, rank))
+    return order, levels
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Longest common prefix of each suffix with the one before it in ``order``, as far as the ranks tell."""
+    n = len(text)
+    lcp = np.zeros(n, np.int64)
+    one, two = order[:-1], order[1:]
+    length = lcp[1:]
+    for known, rank in reversed(levels):
+        left, right = one + length, two + length
+        fits = np.maximum(left, right) < n
+        length[fits] += np.where(rank[left[fits]] == rank[right[fits]], known, 0)
+    rest = np.flatnonzero(length < levels[-1][0])
+    for _ in range(FIRST - 1):
+        left, right = one[rest] + length[rest], two[rest] + length[rest]
+        fits = np.maximum(left, right) < n
+        rest, left, right = rest[fits], left[fits], right[fits]
+        rest = rest[text[left] == text[right]]
+        length[rest] += 1
+    return lcp
+
+
 def repeated_suffixes(strings: list[bytes], width: int) -> np.ndarray:
     """For every window of every string, in order: does an earlier window have the same bytes?
 
-    Only windows that share a hash take part in the suffix array, which orders them by their bytes.
+    All suffixes of the strings, set apart by separators, take part. A window starts earlier too if its longest previous
+    factor has ``width`` bytes; the window itself holds no separator, so neither does what it equals.
     """
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     windows = sizes - width + 1
     total = int(windows.sum())
-    flags = np.zeros(total, bool)
     if not total:
-        return flags
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    starts = np.arange(total) + np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(windows) - windows), windows)
-    hashed = Spans(_TABLE[text]).hashed(starts, starts + width)
-    ranked = np.argsort(hashed, kind="stable")
-    same = hashed[ranked[1:]] == hashed[ranked[:-1]]
-    shared = np.sort(ranked[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
-    if not len(shared):
-        return flags
-    rows = np.empty((len(shared), width + 1), np.uint8)
-    rows[:, :width] = text[starts[shared][:, None] + np.arange(width)]
-    rows[:, width] = 1  # fixed-width strings would drop zero bytes at their end
-    suffixes = np.argsort(rows.view(f"S{width + 1}").ravel(), kind="stable")
-    differs = rows[suffixes[1:], :width] != rows[suffixes[:-1], :width]
-    lcp = np.zeros(len(shared), np.int64)
-    lcp[1:] = np.where(differs.any(1), differs.argmax(1), width)
-    flags[shared[suffixes]] = longest_previous_factors(suffixes, lcp) >= width
-    return flags
+        return np.zeros(0, bool)
+    ends = np.cumsum(sizes + 1)
+    text = np.full(int(ends[-1]), SEPARATOR, np.int64)
+    inside = np.ones(len(text), bool)
+    inside[ends - 1] = False
+    text[inside] = np.frombuffer(b"".join(strings), np.uint8)
+    order, levels = suffix_array(text, width)
+    factors = np.empty(len(text), np.int64)
+    factors[order] = longest_previous_factors(order, common_prefixes(text, order, levels))
+    starts = np.arange(total) + np.repeat((ends - sizes - 1) - (np.cumsum(windows) - windows), windows)
+    return factors[starts] >= width
 
 
 BYTES = Unit(WIDTH, ANCHOR, lambda text: (text or "").encode("utf-8", "replace"), lambda data: _TABLE[np.frombuffer(data, np.uint8)],
-             bytes, repeated_suffixes)
+             bytes, repeated_suffixes, block=1 << 20)  # a suffix array takes about 100 bytes for each byte
 
 
 def _result(data: bytes, gone: np.ndarray) -> list:

@@ -10,7 +10,7 @@ from scanloom.llm import repeats
 from scanloom.llm.queries import QUERIES
 from scanloom.llm.repeats import leaders
 from scanloom.llm.substring import repeated_windows
-from scanloom.llm.suffix import longest_previous_factors, repeated_suffixes
+from scanloom.llm.suffix import common_prefixes, longest_previous_factors, repeated_suffixes, suffix_array
 from tests.llm.support import prose, write_documents
 
 rng = random.Random(8)
@@ -92,6 +92,23 @@ def test_longest_previous_factors():
         assert longest_previous_factors(np.array(order), lcp).tolist() == want
 
 
+def test_suffix_array_and_common_prefixes():
+    for seed in range(40):
+        r = random.Random(seed)
+        depth = r.choice([7, 14, 50])
+        text = [r.randrange(2) for _ in range(r.randrange(1, 90))] + ([0] * 60 if seed % 3 == 0 else [])
+        order, levels = suffix_array(np.array(text), depth)
+        deep = levels[-1][0]
+        if deep < depth:
+            deep = len(text)  # no ties were left
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: (text[i:i + deep], -i))
+        common = lambda i, j: next((k for k, (x, y) in enumerate(zip(text[i:], text[j:])) if x != y), min(len(text) - i, len(text) - j))
+        lcp = common_prefixes(np.array(text), order, levels)
+        reach = levels[-1][0]  # equal as far as this counts as this, or more
+        for got, want in zip(lcp[1:].tolist(), [common(order[k - 1], order[k]) for k in range(1, len(text))]):
+            assert got == want or min(got, want) >= reach
+
+
 @pytest.mark.parametrize("flags,join", [(repeated_suffixes, lambda s: bytes(s)), (repeated_windows, lambda s: b" ".join(b"%d" % x for x in s))])
 def test_settling_a_bucket(flags, join):
     r = random.Random(2)
