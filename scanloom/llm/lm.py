@@ -20,6 +20,7 @@ from scanloom.llm.substring import word_hashes
 
 BEGIN, END = np.uint64(0x6265_6769_6E00_0001), np.uint64(0x656E_6400_0000_0002)
 FLUSH = 1 << 20  # tokens combined before the shuffle
+SHARD_BYTES, FEWEST_SHARDS = 1 << 24, 8  # text whose pairs make one shard
 SALT = 8  # shards a context's followers are spread over, so no context lies in one task
 ESCAPE = 255  # counts are bytes; larger ones follow in a list of their own
 
@@ -203,9 +204,11 @@ class Model:
 
 def train(docs: DataFrame) -> Model:
     """Counts of all rows of ``docs`` (column text; null is empty): pairs are combined in each task, merged by shard,
-    and written as sorted arrays to the shared folder; word statistics are summed from the shards the same way."""
+    and written as sorted arrays to the shared folder; word statistics are summed from the shards the same way. The number
+    of shards follows the size of the texts, so a shard stays as large as it is when the corpus grows."""
     spark = docs.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"]
+    shards = max(FEWEST_SHARDS, -(-(size or 0) // SHARD_BYTES))
     word_shards = max(4, shards // 4)
     folder = shared_folder(spark, "lm")
     from pyarrow.fs import FileSystem  # the folder is made once, by the driver

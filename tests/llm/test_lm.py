@@ -57,6 +57,17 @@ def test_equals_direct_computation(spark, tmp_path, monkeypatch, flush):
     assert all(r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 10 == 0) for r in out)
 
 
+def test_shards_follow_the_size_of_the_texts(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{write_documents(spark, tmp_path, ROWS)}/documents.parquet")
+    few = lm.train(docs)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 500)
+    many = lm.train(docs)
+    size = sum(len((t or "").encode()) for _, t in ROWS)
+    assert (few.pair_shards, many.pair_shards) == (lm.FEWEST_SHARDS, -(-size // 500))
+    assert (few.types, few.tokens, few.vocabulary) == (many.types, many.tokens, many.vocabulary)
+    assert [r["score"] for r in lm.score(docs, few).orderBy("doc_id", "score").collect()] == [r["score"] for r in lm.score(docs, many).orderBy("doc_id", "score").collect()]
+
+
 def test_probabilities_sum_to_one():
     _, p, count, context = direct(ROWS)
     for a in ["begin", "never seen", *list(context)[:20]]:
