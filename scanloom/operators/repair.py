@@ -85,18 +85,21 @@ def sum_parts(parts: DataFrame) -> DataFrame:
 
 
 def fill_missing_slices(voxel: DataFrame, missing: DataFrame) -> DataFrame:
-    """Replace missing slices by the mean of the adjacent ones, in every band.
+    """Replace missing slices by the mean of the adjacent ones, in every band; without both neighbours the value is NULL.
 
-    ``missing``: acq_id, first_missing, nslices (per band), mux (bands). The window runs over one voxel column,
-    i.e. over the slices of one frame.
+    ``missing``: acq_id, first_missing, nslices (per band), mux (bands). Only the missing slices and their neighbours
+    meet; all others pass as they are, without a shuffle where the list of missing slices is small enough to broadcast.
     """
-    column = Window.partitionBy("acq_id", "x", "y", "t").orderBy("z")
-    rows = voxel.join(missing, "acq_id", "left")
-    band = (F.col("z") - F.col("first_missing"))
-    lost = (band >= 0) & (band % F.col("nslices") == 0) & (band < F.col("nslices") * F.col("mux"))
-    mean = (F.lag("v").over(column) + F.lead("v").over(column)) / 2.0
-    return rows.withColumn("_mean", mean).select(
-        "acq_id", "x", "y", "z", "t", F.when(F.coalesce(lost, F.lit(False)), F.col("_mean")).otherwise(F.col("v")).alias("v"))
+    kind = voxel.schema["z"].dataType
+    bands = F.sequence(F.col("first_missing"), F.col("first_missing") + F.col("nslices") * (F.col("mux") - 1), F.col("nslices"))
+    lost = missing.where("first_missing is not null and nslices > 0 and mux > 0").select("acq_id", F.explode(bands).alias("z")).select("acq_id", F.col("z").cast(kind).alias("z")).distinct()
+    beside = lost.select("acq_id", F.col("z").alias("_z"), F.explode(F.array(F.col("z") - 1, F.col("z") + 1)).alias("z"))
+    keys = ["acq_id", "x", "y", "t"]
+    means = voxel.join(beside, ["acq_id", "z"]).groupBy(*keys, F.col("_z").alias("z")).agg(
+        F.when(F.count("v") == 2, F.sum("v") / 2.0).alias("v"))
+    places = voxel.join(lost, ["acq_id", "z"], "left_semi").select(*keys, "z")
+    columns = ["acq_id", "x", "y", "z", "t", "v"]
+    return voxel.join(lost, ["acq_id", "z"], "left_anti").select(*columns).unionByName(places.join(means, [*keys, "z"], "left").select(*columns))
 
 
 # opposite phase-encode runs ----------------------------------------------------------------------
