@@ -41,7 +41,7 @@ def _observe(events: DataFrame) -> DataFrame:
 
 def _written(rows: DataFrame, folder: str, *places: str) -> str:
     """Text files (column value), one folder for each value of ``places``; a group's rows are one bounded file."""
-    rows.repartition(*places).write.partitionBy(*places).text(folder)
+    writers.write_texts(rows, folder, *places)
     return folder
 
 
@@ -116,7 +116,7 @@ def _(tb):
     part = F.element_at(F.create_map(*[F.lit(v) for k in readers.SIGNAL_KINDS for v in (readers.SIGNAL_KINDS[k], k)]), F.col("kind"))
     rows = tb.signal.select("acq_id", part.alias("part"), F.col("idx").alias("position"), F.col("value").cast("string").alias("line"))
     # trigger files list sample numbers; their value becomes the index again below
-    writers.documents(rows, ["acq_id", "part"], ["position"]).write.partitionBy("acq_id", "part").text(folder)
+    writers.write_texts(writers.documents(rows, ["acq_id", "part"], ["position"]), folder, "acq_id", "part")
     read = readers.read_signals(tb.spark, folder, r"acq_id=(\d+)")
     place = F.when(F.col("kind").endswith("_trig"), F.col("value").cast("int")).otherwise(F.col("idx"))
     return read.select("recording", "kind", place.alias("idx"), F.round("value", 2).alias("value"))
@@ -167,7 +167,7 @@ def _(tb):
         case when o_custkey % 3 = 0 then '' else concat(' stoptime="', date_format(o_orderdate + interval '1' second * (o_orderkey % 60 + o_custkey % 50) + interval '250' millisecond, 'MM-dd-yyyy HH:mm:ss.SSS'), '"') end,
         '>', o_custkey, '</value>') as line from {orders}""")
     texts = writers.documents(lines, ["part"], ["position"])
-    texts.select("part", F.concat(F.lit("<log>"), "value", F.lit("</log>")).alias("value")).write.partitionBy("part").text(folder)
+    writers.write_texts(texts.select("part", F.concat(F.lit("<log>"), "value", F.lit("</log>")).alias("value")), folder, "part")
     return readers.read_notch_log(tb.spark, folder)
 
 

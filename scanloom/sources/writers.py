@@ -30,6 +30,19 @@ def documents(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return packed.select(*keys, F.array_join(F.transform("_l", lambda s: s["line"]), "\n").alias("value"))
 
 
+def write_texts(texts: DataFrame, path: str, *places: str, compression: str = "none") -> None:
+    """Text files (column value), one folder for each value of ``places``; a folder's rows are one file.
+
+    A file costs far more than its bytes, so the files are dealt to a given number of tasks: a shuffle without one is
+    merged by size, and one task then writes them all. Each task moves its own files into place (committer version 2),
+    not the driver all of them after the last; nobody reads the folder before the write has ended.
+    """
+    spark = texts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    (texts.repartition(n, *places).write.partitionBy(*places).option("compression", compression)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
+
+
 def regressor_lines(regressors: DataFrame, onsets: DataFrame, notes: str = "") -> DataFrame:
     """Lines of the regressor table: (acq_id, position, line). A row holds slices x 13 values of one frame.
 
@@ -52,7 +65,7 @@ def regressor_lines(regressors: DataFrame, onsets: DataFrame, notes: str = "") -
 def write_regressors(regressors: DataFrame, onsets: DataFrame, path: str, gzip: bool = True, notes: str = "") -> None:
     """One CSV text per acquisition, in frame order."""
     texts = documents(regressor_lines(regressors, onsets, notes), ["acq_id"], ["position"])
-    texts.write.partitionBy("acq_id").option("compression", "gzip" if gzip else "none").text(path)
+    write_texts(texts, path, "acq_id", compression="gzip" if gzip else "none")
 
 
 def legacy_lines(regressors: DataFrame, onsets: DataFrame) -> DataFrame:
@@ -73,7 +86,7 @@ def legacy_lines(regressors: DataFrame, onsets: DataFrame) -> DataFrame:
 
 
 def write_regressors_legacy(regressors: DataFrame, onsets: DataFrame, path: str) -> None:
-    documents(legacy_lines(regressors, onsets), ["acq_id"], ["slice", "position"]).write.partitionBy("acq_id").text(path)
+    write_texts(documents(legacy_lines(regressors, onsets), ["acq_id"], ["slice", "position"]), path, "acq_id")
 
 
 def signals_json(signal: DataFrame, timing: DataFrame) -> DataFrame:
@@ -115,4 +128,4 @@ def distortion_lines(gradients: DataFrame, index: DataFrame, runs: DataFrame) ->
 
 
 def write_distortion_inputs(gradients: DataFrame, index: DataFrame, runs: DataFrame, path: str) -> None:
-    documents(distortion_lines(gradients, index, runs), ["acq_id", "file"], ["position"]).write.partitionBy("acq_id", "file").text(path)
+    write_texts(documents(distortion_lines(gradients, index, runs), ["acq_id", "file"], ["position"]), path, "acq_id", "file")

@@ -77,3 +77,15 @@ def test_lineage_of_a_long_line_and_a_diamond(spark):
     got = {(r.child_id, r.ancestor_id): r.depth for r in ancestors(spark.createDataFrame(edges, "child_id long, parent_id long")).collect()}
     assert got[40, 1] == 39 and got[100, 44] == 2 and got[100, 43] == 1
     assert sum(1 for c, _ in got if c <= 40) == 39 * 40 // 2
+
+
+def test_many_small_files_are_written_by_several_tasks(spark, tmp_path):
+    from scanloom.plans.io_queries import _written
+
+    rows = spark.range(200).selectExpr("id as item", "concat('text ', id) as value")
+    _written(rows, f"{tmp_path}/files", "item")
+    files = list((tmp_path / "files").glob("item=*/part-*.txt"))
+    assert len(files) == 200
+    assert len({f.name.split("-")[1] for f in files}) > 4
+    read = readers.whole_text(spark, f"{tmp_path}/files")
+    assert {(r.folder, r.value.strip()) for r in read.collect()} == {(f"item={n}", f"text {n}") for n in range(200)}
