@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values("poll_ts", kind="stable", ignore_index=True)
 
 
-def _expire(state: GroupState, looks: pd.DataFrame, forget_after: pd.Timedelta) -> None:
-    last = looks["_polled"].max() + forget_after
+def _expire(state: GroupState, last_look: object, forget_after: pd.Timedelta) -> None:
+    last = pd.Timestamp(last_look) + forget_after
     state.setTimeoutTimestamp(max(last.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
 
 
@@ -58,7 +59,7 @@ def stable_series(observations: DataFrame, key: str = "item", late_after: str =
             found = found[found["_run"] > 0]
         last = int(run.iloc[-1])
         state.update((int(peak.iloc[-1]), bool((armed or last > 0) and not (found["_run"] == last).any())))
-        _expire(state, looks, keep)
+        _expire(state, looks["_polled"].max(), keep)
         if len(found):
             yield found.assign(item=k[0])[["item", "poll_ts", "size"]]
 
@@ -90,23 +91,31 @@ def stable_files(observations: DataFrame, key: str = "item", since: object = Non
         if state.hasTimedOut:
             state.remove()
             return
-        looks = _in_order(frames)
+        looks = list(frames)
+        column = lambda name: np.concatenate([f[name].to_numpy() for f in looks])
+        polls, changes = column("poll_ts"), column("_changed")
+        order = np.argsort(polls, kind="stable")
+        sizes = [None if v != v else int(v) for v in column("size")[order].tolist()]  # most items have few looks in a batch
         known, armed = state.get if state.exists else (None, True)
-        before = looks["size"].shift()
-        if known is not None:
-            before = before.fillna(known)
-        equal = looks["size"] == before
-        changed = (~equal).shift(fill_value=bool(armed))
-        state.update((int(looks["size"].iloc[-1]), not bool(equal.iloc[-1])))
-        _expire(state, looks, keep)
-        found = looks[equal & changed]
-        if len(found):
-            yield found.assign(item=k[0])[["item", "poll_ts", "size", "mod_time"]]
+        before, found = known, []
+        for place, size in enumerate(sizes):
+            equal = size is not None and size == before
+            if equal and armed:
+                found.append(place)
+            armed, before = not equal, known if size is None else size
+        state.update((sizes[-1], armed))
+        _expire(state, column("_polled").max(), keep)
+        if found:
+            at = order[found]
+            yield pd.DataFrame({"item": k[0], "poll_ts": polls[at], "size": [sizes[n] for n in found], "_changed": changes[at]})
 
     if since is not None:
         observations = observations.where(F.col("mod_time") >= F.lit(since))
-    return _looks(observations, late_after).groupBy(key).applyInPandasWithState(
-        step, FILES_OUTPUT, "size long, armed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    # a change may lie outside what nanoseconds since 1970 can hold, so it travels as a number
+    looks = observations.select(key, "poll_ts", "size", F.unix_micros(F.col("mod_time").cast("timestamp")).alias("_changed"))
+    rows = _looks(looks, late_after).groupBy(key).applyInPandasWithState(
+        step, "item long, poll_ts timestamp_ntz, size long, _changed long", "size long, armed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.select("item", "poll_ts", "size", F.timestamp_micros("_changed").alias("mod_time"))
 
 
 def high_water_mark(emitted: DataFrame):

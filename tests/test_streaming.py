@@ -129,3 +129,15 @@ def test_sink_ignores_a_repeated_batch(spark, tmp_path):
     sink(df.unionByName(bad), 0)
     check(sink.snapshot(spark, 0), simulate(rows))
     assert [r.preserved_as for r in spark.read.parquet(f"{tmp_path}/dead/0").collect()] == ["a_b"]
+
+
+def test_change_far_ahead(spark, tmp_path):
+    """A file's change may lie beyond what nanoseconds since 1970 can hold."""
+    far = dt.datetime(2300, 5, 1, 12)
+    rows = [(k, T0 + dt.timedelta(seconds=30 * p), 7, far) for k in (1, 2) for p in range(3)]
+    spark.createDataFrame(rows, DDL).write.parquet(f"{tmp_path}/in")
+    stream = stability.stable_files(spark.readStream.schema(DDL).parquet(f"{tmp_path}/in"))
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(
+        availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stability.FILES_OUTPUT).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.item, r.poll_ts, r.size, r.mod_time) for r in found) == [(k, T0 + dt.timedelta(seconds=30), 7, far) for k in (1, 2)]
