@@ -153,15 +153,14 @@ class MarkedSink:
         start = self.mark(spark, batch)
         found = found.persist()
         try:
-            polls = found.groupBy("poll_ts").agg(F.max("mod_time").alias("_latest")).orderBy("poll_ts").collect()  # one row a poll of this batch
-            marks, mark = [], start
-            for poll in polls:
-                marks.append((poll["poll_ts"], mark))
-                mark = poll["_latest"] if mark is None else max(mark, poll["_latest"])
-            known = spark.createDataFrame(marks, "poll_ts timestamp_ntz, _mark timestamp")
-            kept = found.join(F.broadcast(known), "poll_ts").where(F.col("_mark").isNull() | (F.col("mod_time") >= F.col("_mark"))).drop("_mark")
+            polls = found.groupBy("poll_ts").agg(F.max("mod_time").alias("_latest"))  # one row a poll of this batch
+            before = polls.select("poll_ts", F.lit(0).alias("_side"), F.lit(None).cast("timestamp").alias("_latest"))
+            reached = running_total(before.unionAll(polls.select("poll_ts", F.lit(1), "_latest")), [], ["poll_ts", "_side"], F.col("_latest"), "_mark", how="max")
+            known = reached.where("_side = 0").select("poll_ts", F.greatest("_mark", F.lit(start).cast("timestamp")).alias("_mark"))
+            kept = found.join(known, "poll_ts").where(F.col("_mark").isNull() | (F.col("mod_time") >= F.col("_mark")))
             kept.select(found.columns).write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch}")
-            spark.createDataFrame([(mark,)], "mark timestamp").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/marks/batch={batch}")
+            after = found.agg(F.greatest(F.max("mod_time"), F.lit(start).cast("timestamp")).alias("mark"))
+            after.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/marks/batch={batch}")
         finally:
             found.unpersist()
 

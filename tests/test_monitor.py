@@ -144,3 +144,54 @@ def test_recording_outcomes(spark, tmp_path):
     run(spark, tmp_path, batches, ddl, start)
     got = {r.epoch_id: (r.outcome, r.rec_ts, r.names) for r in spark.read.schema(monitor.OUTCOMES).parquet(f"{tmp_path}/out").collect() if r.epoch_id > 0}
     assert got == {1: (monitor.FOUND, at(131), ["10", "11"]), 2: (monitor.NOT_FOUND, None, []), 3: (monitor.FOUND, at(5089), ["20"]), 4: (monitor.NOT_FOUND, None, [])}
+
+
+def test_sink_gathers_no_polls(spark, tmp_path, monkeypatch):
+    """Marks of a batch's polls are computed in the cluster: the driver gets single rows only."""
+    kind = type(spark.range(1))
+    collect, largest = kind.collect, []
+
+    def counted(self):
+        rows = collect(self)
+        largest.append(len(rows))
+        return rows
+    found = spark.createDataFrame([(n, at(n), 5, at(n % 7)) for n in range(50)], stability.FILES_OUTPUT)
+    sink = monitor.MarkedSink(str(tmp_path))
+    monkeypatch.setattr(kind, "collect", counted)
+    sink(found, 0)
+    monkeypatch.undo()
+    assert max(largest, default=0) <= 1
+    mark, want = None, []
+    for n in range(50):
+        if mark is None or n % 7 >= mark:
+            want.append(n)
+        mark = n % 7 if mark is None else max(mark, n % 7)
+    assert sorted(r.item for r in sink.rows(spark).collect()) == want
+
+
+def test_many_polls_in_one_batch_take_little_memory(spark):
+    """A scanner's rows are kept as numbers: well under 200 bytes each, not lists of objects."""
+    import tracemalloc
+
+    steps = []
+
+    class Listings:
+        withColumn = withWatermark = groupBy = lambda self, *a: self
+
+        def applyInPandasWithState(self, step, *a):
+            steps.append(step)
+
+    class State:
+        exists, hasTimedOut = False, False
+        update = setTimeoutTimestamp = lambda self, *a: None
+        getCurrentWatermarkMs = lambda self: 0
+
+    monitor.monitored_series(Listings())
+    n = 20_000
+    frame = pd.DataFrame({"poll_ts": [at(k // 1000) for k in range(n)], "exam_id": range(n), "exam_ts": at(0), "series_id": 1, "size": 2, "received": None})
+    tracemalloc.start()
+    try:
+        list(steps[0]((0,), iter([frame]), State()))
+        assert tracemalloc.get_traced_memory()[1] < 200 * n
+    finally:
+        tracemalloc.stop()
