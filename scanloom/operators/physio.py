@@ -503,27 +503,34 @@ def denoise(voxel: DataFrame, regressor: DataFrame) -> DataFrame:
     lines = rows.select(*[F.col(c).alias(c) for c in ("acq_id", "z", "y")]).distinct()
     spread = design.join(lines, ["acq_id", "z"])
 
+    def grid(cells: pd.DataFrame, across: str, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Times, columns and their values in one array; NaN where there is none."""
+        at, row = np.unique(cells["t"].to_numpy(), return_inverse=True)
+        names, column = np.unique(cells[across].to_numpy(), return_inverse=True)
+        if len(np.unique(row * len(names) + column)) < len(cells):
+            raise ValueError(f"a value of t and {across} comes twice")
+        filled = np.full((len(at), len(names)), np.nan)
+        filled[row, column] = cells[value].to_numpy()
+        return at, names, filled
+
     def solve(image: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if image.empty or model.empty:
             return pd.DataFrame({c: [] for c in ("acq_id", "x", "y", "z", "t", "v", "variance_reduced")})
-        x = model.pivot(index="t", columns="k", values="value").sort_index()
-        whole = image.pivot(index="t", columns="x", values="v").sort_index()
-        both = whole.index.intersection(x.index)
-        x, y = x.loc[both], whole.loc[both]
-        t = np.arange(len(x), dtype=float)[:, None]
+        steps, _, x = grid(model, "k", "value")
+        times, places, whole = grid(image, "x", "v")
+        both, seen, used = np.intersect1d(times, steps, assume_unique=True, return_indices=True)
+        x, data = x[used], whole[seen]
+        t = np.arange(len(both), dtype=float)[:, None]
         drift = np.hstack([t, t ** 2])
-        full = np.hstack([np.ones((len(x), 1)), (drift - drift.mean(0)) / drift.std(0), x.to_numpy()])
-        data = y.to_numpy()
+        full = np.hstack([np.ones((len(both), 1)), (drift - drift.mean(0)) / drift.std(0), x])
         beta = np.linalg.pinv(full) @ data
         clean = data - full[:, 3:-1] @ beta[3:-1]
         before = data.var(axis=0, ddof=1)
         reduced = (before - clean.var(axis=0, ddof=1)) / before
-        whole.loc[both] = clean
-        out = whole.stack().rename("v").reset_index()
-        out["variance_reduced"] = out["x"].map(dict(zip(y.columns, reduced)))
-        for c in ("acq_id", "y", "z"):
-            out[c] = image[c].iloc[0]
-        return out[["acq_id", "x", "y", "z", "t", "v", "variance_reduced"]]
+        whole[seen] = clean
+        row, column = np.nonzero(~np.isnan(whole))
+        return pd.DataFrame({"acq_id": image["acq_id"].iloc[0], "x": places[column], "y": image["y"].iloc[0], "z": image["z"].iloc[0],
+                             "t": times[row], "v": whole[row, column], "variance_reduced": reduced[column]})
 
     keys = ["acq_id", "z", "y"]
     return rows.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
