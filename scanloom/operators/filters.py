@@ -198,12 +198,11 @@ def purge_after(catalog: Catalog, when) -> Catalog:
     newer = lambda df: df.where(F.col("timestamp") > F.lit(when).cast("timestamp_ntz"))
     new_sessions = newer(catalog.session)
     subjects = new_sessions.select(F.col("subject_id").alias("id")).distinct()
+    # ids met twice change nothing below, and telling them apart would hold them all in memory
     sessions = new_sessions.select("id").unionByName(
-        catalog.session.join(subjects.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi").select("id")
-    ).distinct()
+        catalog.session.join(subjects.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi").select("id"))
     epochs = newer(catalog.epoch).select("id").unionByName(
-        catalog.epoch.join(sessions.withColumnRenamed("id", "session_id"), "session_id", "left_semi").select("id")
-    ).distinct()
+        catalog.epoch.join(sessions.withColumnRenamed("id", "session_id"), "session_id", "left_semi").select("id"))
     return catalog.replace(
         subject=catalog.subject.join(subjects, "id", "left_anti"),
         session=catalog.session.join(sessions, "id", "left_anti"),
