@@ -89,3 +89,12 @@ def test_many_small_files_are_written_by_several_tasks(spark, tmp_path):
     assert len({f.name.split("-")[1] for f in files}) > 4
     read = readers.whole_text(spark, f"{tmp_path}/files")
     assert {(r.folder, r.value.strip()) for r in read.collect()} == {(f"item={n}", f"text {n}") for n in range(200)}
+
+
+def test_grouped_documents_are_written_by_several_tasks(spark, tmp_path):
+    lines = spark.range(600).selectExpr("id % 200 as acq_id", "id as position", "concat('line ', id) as line")
+    writers.write_texts(writers.documents(lines, ["acq_id"], ["position"]), f"{tmp_path}/files", "acq_id")
+    files = list((tmp_path / "files").glob("acq_id=*/part-*.txt"))
+    assert len(files) == 200
+    assert len({f.name.split("-")[1] for f in files}) > 4
+    assert next((tmp_path / "files" / "acq_id=7").glob("part-*.txt")).read_text() == "line 7\nline 207\nline 407\n"
