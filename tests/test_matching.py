@@ -1,10 +1,13 @@
 """Joins and ordered operators against brute force, also with one key owning most rows."""
 
 import difflib
+import io
 import random
+from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from scanloom.functions import text
 from scanloom.operators import matching, ordering
 
 
@@ -121,3 +124,25 @@ def test_pieces_lose_no_pair_at_any_cutoff(spark):
         close = {(a, g) for a in labs for g in gids if a and g and difflib.SequenceMatcher(None, g, a).ratio() >= cutoff
                  or a and g and difflib.SequenceMatcher(None, a, g).ratio() >= cutoff}
         assert close <= found
+
+
+def _plan(df):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_recording_names_are_parsed_once(spark):
+    names = [f"RESPData_{psd}_0102201510_{minute:02d}_{second:02d}_{part}" for psd in ("a_b", "c")
+             for minute, second, part in ((0, 5, 0), (0, 5, 25), (7, 0, 0))] + ["RESPData_c_0103201523_00_00_0", "nothing", "RESPData_c_9902201510_00_00_0"]
+    raw = spark.createDataFrame([(n,) for n in names], "name string")
+    files = raw.select("name", text.physio_file_psd("name").alias("psd"), text.physio_file_time("name").alias("ts"))
+    scans = spark.createDataFrame([(1, "a_b", "2015-01-02 09:59:00"), (2, "a_b", "2015-01-02 10:00:00"), (3, "c", "2015-01-02 10:06:30"),
+                                   (4, "c", "2015-01-02 20:00:00"), (5, "c", "2015-01-01 23:00:00"), (6, "c", "2015-01-04 00:00:00"), (7, None, "2015-01-02 10:00:00")],
+                                  "epoch_id int, psd string, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    found = matching.physio_files(scans, files)
+    assert "regexp_extract" not in _plan(found)
+    assert sorted((r.epoch_id, r.name) for r in found.collect()) == [
+        (1, "RESPData_a_b_0102201510_00_05_0"), (2, "RESPData_a_b_0102201510_07_00_0"),
+        (3, "RESPData_c_0102201510_07_00_0"), (4, "RESPData_c_0103201523_00_00_0"), (5, "RESPData_c_0102201510_00_05_0")]
