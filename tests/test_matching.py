@@ -146,3 +146,35 @@ def test_recording_names_are_parsed_once(spark):
     assert sorted((r.epoch_id, r.name) for r in found.collect()) == [
         (1, "RESPData_a_b_0102201510_00_05_0"), (2, "RESPData_a_b_0102201510_07_00_0"),
         (3, "RESPData_c_0102201510_07_00_0"), (4, "RESPData_c_0103201523_00_00_0"), (5, "RESPData_c_0102201510_00_05_0")]
+
+
+def test_calibration_scan_reads_epochs_once(spark):
+    rng = random.Random(7)
+    rows = [dict(id=i, session_id=rng.choice([None, 1, 1, 2, 3, 4]), size_x=rng.choice([64, 96]), size_y=64, series=rng.randrange(0, 9),
+                 psd=rng.choice(["muxepi", "muxepi", "mux2", "spiral", None]), num_bands=rng.choice([1, 3, 3, 3, 3, 3, None]), num_mux_cal_cycle=rng.choice([0, 1, 2, 3, None]),
+                 description=rng.choice(["a_pe1", "a_pe0", "b", None]), trash=rng.random() < 0.2) for i in range(200)]
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], "id int, session_id int, size_x int, size_y int, series int, psd string, num_bands int, "
+                                  "num_mux_cal_cycle int, description string, trash boolean")
+    epochs = (spark.range(200).withColumnRenamed("id", "_id").join(frame, F.col("_id") == F.col("id"))
+              .withColumn("trashtime", F.when(F.col("trash"), F.lit("2001-01-01").cast("timestamp_ntz"))))
+    found = matching.calibration_scan(epochs)
+    assert "Range (" not in _plan(found)
+    live = [r for r in rows if not r["trash"] and (r["psd"] or "").startswith("mux")]
+    place = lambda r: (r["session_id"], r["size_x"], r["size_y"])
+    single = {place(r) for r in live if r["num_bands"] == 1}
+    cycles = lambda r: -1 if r["num_mux_cal_cycle"] is None else r["num_mux_cal_cycle"]
+    want = {}
+    for t in rows:
+        if t["psd"] != "muxepi" or (t["num_bands"] or 0) <= 1 or t["session_id"] is None or t["description"] is None:
+            continue
+        if place(t) in single:
+            pool = [r for r in live if r["num_bands"] == 1]
+        elif 0 <= cycles(t) < 2:
+            pool = [r for r in live if r["num_bands"] != 1 and cycles(r) >= 2]
+        else:
+            continue
+        near = [(abs(r["series"] - t["series"]), r["series"] - t["series"], r["id"]) for r in pool
+                if place(r) == place(t) and r["description"] is not None and ("pe1" in r["description"]) == ("pe1" in t["description"])]
+        if near:
+            want[t["id"]] = min(near)[2]
+    assert {r.epoch_id: r.calibration_id for r in found.collect()} == want and len(want) > 10
