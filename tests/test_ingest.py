@@ -144,3 +144,33 @@ def test_two_batches(spark):
         after = ingest.ingest(catalog, spark.createDataFrame([tuple(r.values()) for r in part], SCHEMA), NOW)
         catalog = catalog.replace(**{n: after.frames[n].checkpoint() for n in ("experiment", "access", "subject", "session", "epoch", "dataset")})
     check(catalog, state)
+
+
+def test_records_of_few_labs_are_spread(spark):
+    """Records meet their patient id, not their lab, so two labs do not leave two tasks with all rows."""
+    ids = [None, "", "s1@nobody/x"] + [f"s{i}@{'alpha' if i % 2 else 'Beta.'}/p{i % 5}" for i in range(200)]
+    rows = [(i, ids[i % len(ids)], i % 3, T0, i % 7 == 0) for i in range(1000)]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        records = spark.createDataFrame(rows, "arrival_seq int, patient_id string, acq_no int, timestamp timestamp_ntz, is_screenshot boolean")
+        groups = spark.createDataFrame([("alpha",), ("beta",), ("unknown",)], "gid string")
+        done = ingest.normalize(records, groups)
+        assert done.columns == [*records.columns, "subj_code", "group_gid", "exp_name"]
+        assert len({p for p, in done.rdd.mapPartitionsWithIndex(lambda i, part: [(i,) for _ in part]).collect()}) > 6
+        got = {r.arrival_seq: (r.subj_code, r.group_gid, r.exp_name) for r in done.collect()}
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+    def want(i):
+        name = ids[i % len(ids)]
+        if not name:
+            return ("", "unknown", "untitled")
+        if "nobody" in name:
+            return ("s1", "unknown", name)
+        n = int(name[1:name.index("@")])
+        return (f"s{n}", "alpha" if n % 2 else "beta", f"p{n % 5}")
+    assert got == {i: want(i) for i in range(1000)}
