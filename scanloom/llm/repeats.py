@@ -6,6 +6,11 @@ Equal windows have equal anchors at equal offsets, so they meet in the anchor's
 differ. Runs of equal content are equal window by window, hence only the first of each content takes part in the exact
 step, and only where its anchor leads runs of other content too.
 
+An anchor is short, so in a large corpus most runs of one anchor share nothing but it. A run is therefore halved: windows
+with more than half of their other symbols before the anchor, and the rest. All windows of a half hold the same core, the
+anchor with the symbols before it or after it. Equal windows have equal cores, so halves alone with theirs are done, and
+the others meet by anchor and core.
+
 Identity of content is a 64-bit anchor hash and a 64-bit hash of the whole run, compared within one anchor.
 """
 
@@ -18,6 +23,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,9 +91,12 @@ def leaders(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 def runs_of(values: np.ndarray, sizes: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor hash, content hash) of the runs of consecutive stretches of ``sizes`` symbols."""
+    """(start, windows, anchor hash, content hash, cores) of the runs of consecutive stretches of ``sizes`` symbols.
+
+    ``cores`` is one number: 28 bits of the hash of the first half's core, 28 of the second's, 8 bits windows of the first.
+    """
     if len(values) < width:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     spans, n = Spans(values), len(values)
     grams = spans.hashed(slice(0, n - anchor + 1), slice(anchor, n + 1))
     lead = leaders(grams, width - anchor + 1)
@@ -95,7 +104,12 @@ def runs_of(values: np.ndarray, sizes: np.ndarray, width: int, anchor: int) -> t
     new = np.concatenate([[True], lead[1:] != lead[:-1]])
     starts = np.flatnonzero(fits & (new | np.concatenate([[True], ~fits[:-1]])))
     ends = np.flatnonzero(fits & np.concatenate([new[1:] | ~fits[1:], [True]]))
-    return starts, ends - starts + 1, grams[lead[starts]], spans.hashed(starts, ends + width)
+    at, windows, half = lead[starts].astype(np.int64), ends - starts + 1, (width - anchor) // 2
+    first = np.clip(at - half - starts, 0, windows)  # the others start at most half a window's other symbols before the anchor
+    one = np.where(first > 0, spans.hashed(np.maximum(at - half - 1, 0), at + anchor), np.uint64(0))
+    two = np.where(first < windows, spans.hashed(at, np.minimum(at - half + width, n)), np.uint64(0))
+    cores = (one >> np.uint64(36) << np.uint64(36)) | (two >> np.uint64(36) << np.uint64(8)) | first.astype(np.uint64)
+    return starts, windows, grams[at], spans.hashed(starts, ends + width), cores
 
 
 def place(tag: np.ndarray | int, start: np.ndarray, windows: np.ndarray | int) -> np.ndarray:
@@ -114,12 +128,12 @@ def merged(keys: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray
     return keys[first], places[first] & ~np.int64(0xFF), ends[last]
 
 
-ROWS = "anchor long, content long, key long, place long, end long"
+ROWS = "anchor long, content long, key long, place long, end long, cores long"
 
 
-def _rows(anchor, content, keys, places, ends) -> pa.RecordBatch:
-    cols = [np.asarray(c).view(np.int64) for c in (anchor, content, keys, places, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "content", "key", "place", "end"])
+def _rows(anchor, content, keys, places, ends, cores) -> pa.RecordBatch:
+    cols = [np.asarray(c).view(np.int64) for c in (anchor, content, keys, places, ends, cores)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "content", "key", "place", "end", "cores"])
 
 
 def _find_runs(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -129,7 +143,7 @@ def _find_runs(docs: DataFrame, unit: Unit) -> DataFrame:
     def flush(tiles: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not tiles:
             return
-        keys, places, anchors, contents = (np.concatenate(c) for c in zip(*tiles))
+        keys, places, anchors, contents, cores = (np.concatenate(c) for c in zip(*tiles))
         order = np.argsort(anchors * np.uint64(3) + contents, kind="stable")  # rows are in document order, ties keep it
         twice = np.zeros(len(order), bool)  # the same run of a repeated row
         twice[1:] = ((anchors[order[1:]] == anchors[order[:-1]]) & (keys[order[1:]] == keys[order[:-1]])
@@ -140,11 +154,11 @@ def _find_runs(docs: DataFrame, unit: Unit) -> DataFrame:
         again[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
         covered = np.sort(order[again])
         fresh = order[~again]
-        yield _rows(anchors[fresh], contents[fresh], keys[fresh], places[fresh], np.zeros(len(fresh), np.int64))
+        yield _rows(anchors[fresh], contents[fresh], keys[fresh], places[fresh], np.zeros(len(fresh), np.int64), cores[fresh])
         if len(covered):
             keys, places, ends = merged(keys[covered], places[covered], width)
             spread = mixed(places.view(np.uint64) + keys.view(np.uint64))
-            yield _rows(spread, spread, keys, places, ends)
+            yield _rows(spread, spread, keys, places, ends, np.zeros(len(keys), np.int64))
 
     def step(batch: pa.RecordBatch):
         keys, tags = (batch.column(c).to_numpy() for c in ("key", "tag"))
@@ -153,11 +167,11 @@ def _find_runs(docs: DataFrame, unit: Unit) -> DataFrame:
 
         def hashed() -> None:
             sizes = np.array([len(s[3]) for s in stack])
-            starts, windows, anchors, contents = runs_of(np.concatenate([s[3] for s in stack]), sizes, width, unit.anchor)
+            starts, windows, anchors, contents, cores = runs_of(np.concatenate([s[3] for s in stack]), sizes, width, unit.anchor)
             before = np.cumsum(sizes) - sizes
             own = np.searchsorted(before, starts, side="right") - 1
             doc = np.array([(s[0], s[1], s[2]) for s in stack], np.int64)[own]
-            tiles.append((doc[:, 0], place(doc[:, 1], doc[:, 2] + starts - before[own], windows), anchors, contents))
+            tiles.append((doc[:, 0], place(doc[:, 1], doc[:, 2] + starts - before[own], windows), anchors, contents, cores))
             stack.clear()
 
         waiting = 0
@@ -182,23 +196,34 @@ def _find_runs(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def _decided(runs: DataFrame) -> DataFrame:
-    """Covered stretches (end > 0) and the runs left to settle (end 0), with the number of contents of their anchor."""
+    """Covered stretches (end > 0) and, of the runs left, the halves to settle (end 0), with their core (29 bits) and the
+    number of runs left that have it. Only an anchor with several contents, and then a core with several, needs settling."""
     first = Window.partitionBy("anchor").orderBy("content", "key", "place")
     before = lambda c: F.lag(c).over(first) == F.col(c)
     covered = F.col("end") > 0
     once = runs.withColumn("twice", before("content") & before("key") & before("place")).filter(F.col("twice").isNull() | ~F.col("twice"))
-    return (once.withColumn("again", F.coalesce(before("content"), F.lit(False)) & ~covered)
-            .withColumn("contents", F.sum(F.when(F.col("again") | covered, 0).otherwise(1)).over(Window.partitionBy("anchor")))
-            .filter(covered | F.col("again") | (F.col("contents") > 1))
-            .select("anchor", "key", "place", "end", "again", "contents"))
+    done = covered | F.col("again")
+    several = (once.withColumn("again", F.coalesce(before("content"), F.lit(False)) & ~covered)
+               .withColumn("contents", F.sum(F.when(done, 0).otherwise(1)).over(Window.partitionBy("anchor")))
+               .filter(done | (F.col("contents") > 1)))
+    windows, first = F.col("place").bitwiseAND(F.lit(0xFF)), F.col("cores").bitwiseAND(F.lit(0xFF))
+    halves = F.array(
+        F.struct((F.col("place") - windows + first).alias("place"), F.shiftrightunsigned("cores", 36).alias("core"), first.alias("n")),
+        F.struct((F.col("place") + F.shiftleft(first, 8) - first).alias("place"),
+                 F.shiftrightunsigned("cores", 8).bitwiseAND(F.lit((1 << 28) - 1)).bitwiseOR(F.lit(1 << 28)).alias("core"), (windows - first).alias("n")))
+    whole = F.array(F.struct("place", F.lit(-1).cast("long").alias("core"), F.lit(1).cast("long").alias("n")))
+    return (several.withColumn("half", F.explode(F.when(done, whole).otherwise(halves))).filter("half.n > 0")
+            .select("anchor", "key", F.col("half.place").alias("place"), "end", "again", F.col("half.core").alias("core"))
+            .withColumn("contents", F.count("*").over(Window.partitionBy("anchor", "core")))
+            .filter((F.col("core") < 0) | (F.col("contents") > 1)))
 
 
 def _packed(docs: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
-    """The runs as packed strings. Of anchors with many contents each window travels singly, dealt by its content;
-    equal ones of a batch are combined (the later come out with an empty string)."""
+    """The halves as packed strings, dealt by anchor and core. Of cores with many contents each window travels singly, dealt
+    by its content too; equal ones of a batch are combined (the later come out with an empty string)."""
     width = unit.width
     by_doc = (runs.withColumn("tag", F.shiftright("place", 40)).groupBy("key", "tag")
-              .agg(F.sort_array(F.collect_list(F.struct("place", "anchor", "contents"))).alias("__runs")))
+              .agg(F.sort_array(F.collect_list(F.struct("place", "anchor", "core", "contents"))).alias("__runs")))
     rows = docs.select("key", "tag", "__text").join(by_doc, ["key", "tag"])
 
     def step(batch: pa.RecordBatch):
@@ -209,11 +234,11 @@ def _packed(docs: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
         size = 0
         for row in sorted(range(len(keys)), key=lambda r: (keys[r], tags[r])):
             symbols, inner = unit.split(texts[row].as_py()), lists[row].values
-            for spot, anchor, contents in zip(*(inner.field(f).to_pylist() for f in ("place", "anchor", "contents"))):
+            for spot, anchor, core, contents in zip(*(inner.field(f).to_pylist() for f in ("place", "anchor", "core", "contents"))):
                 start, windows = (spot >> 8) & 0xFFFFFFFF, spot & 0xFF
                 parts = contents // BUCKET_ROWS + 1
                 if parts == 1:
-                    out.append((anchor, 0, keys[row], spot, unit.join(symbols[start:start + windows + width - 1])))
+                    out.append((anchor, core, keys[row], spot, unit.join(symbols[start:start + windows + width - 1])))
                     size += len(out[-1][4])
                     continue
                 for at in range(start, start + windows):
@@ -221,7 +246,7 @@ def _packed(docs: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
                     own = int(place(tags[row], at, 1))
                     fresh = seen.setdefault((anchor, window), (keys[row], own)) == (keys[row], own)
                     deal = xxhash.xxh64_intdigest(window if fresh else own.to_bytes(8, "little")) % (parts * 32)
-                    out.append((anchor, deal, keys[row], own, window if fresh else b""))
+                    out.append((anchor, core | deal << 29, keys[row], own, window if fresh else b""))
                     size += len(window) * fresh
             if size > BLOCK_BYTES:
                 yield _strings(out)
@@ -242,15 +267,20 @@ def _settled(packed: DataFrame, unit: Unit) -> DataFrame:
     width = unit.width
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        keys, places = (table.column(c).to_numpy() for c in ("key", "place"))
-        order = np.lexsort((places, keys))
+        keys, places, anchors, parts = (table.column(c).to_numpy() for c in ("key", "place", "anchor", "part"))
+        sizes = pc.binary_length(table.column("string")).to_numpy()
+        new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (parts[1:] != parts[:-1])])
+        block = np.maximum.accumulate(np.where(new, (np.cumsum(sizes) - sizes) // unit.block, 0))  # groups stay whole
+        order = np.lexsort((places, keys, block))
         again = (keys[order[1:]] == keys[order[:-1]]) & (places[order[1:]] == places[order[:-1]])
         order = order[np.concatenate([[True], ~again])]  # a repeated row brings its runs twice
         strings = table.column("string").to_pylist()
         keys, places, strings = keys[order], places[order], [strings[i] for i in order.tolist()]
         empty = np.array([not s for s in strings], bool)
         real = np.flatnonzero(~empty)
-        flags = unit.repeated([strings[i] for i in real.tolist()], width)
+        block = block[order[real]]
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(real)]
+        flags = np.concatenate([unit.repeated([strings[i] for i in real[a:b].tolist()], width) for a, b in zip(cuts, cuts[1:])])
         windows = places[real] & 0xFF
         owner = np.repeat(real, windows)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
