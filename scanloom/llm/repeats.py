@@ -33,7 +33,7 @@ from scanloom.llm.common import arrow_map, by_groups, doc_key, staged, text_tag
 BASE = 0x9E3779B97F4A7C15
 TILE = 1 << 17  # symbols hashed at a time
 FLUSH = 1 << 22  # symbols whose equal runs are combined before the shuffle
-BUCKET_ROWS = 4096  # runs of one anchor beyond which its windows travel singly, dealt by content
+BUCKET_ROWS = 1024  # runs of one core beyond which its windows travel singly, dealt by content
 BLOCK_BYTES = 1 << 22  # packed bytes settled at a time
 
 
